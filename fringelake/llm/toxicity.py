@@ -9,14 +9,14 @@ coordinates with a bound known beforehand.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textkit import FOLDED, NON_ALNUM, SPACE, U64, buffers, column, mix, slices, word_hashes, words
+from .textkit import FOLDED, NON_ALNUM, U64, Sums, buffers, column, mix, slices, words
 
 
 @dataclass(frozen=True)
@@ -24,9 +24,9 @@ class Ftrl:
     """most_rows: about so many labelled rows are learnt from, chosen by a hash of doc_id; the fit's only bound on rows."""
 
     bits: int = 20
-    alpha: float = 0.15
+    alpha: float = 0.3
     beta: float = 1.0
-    l1: float = 0.6
+    l1: float = 4.0
     l2: float = 1.0
     epochs: int = 4
     most_rows: int = 12000
@@ -36,12 +36,22 @@ PAIR = (U64(0x9E6C63D0876A9A35), U64(0xC2B2AE3D27D4EB4F))
 SKIP = (U64(0x165667B19E3779F9), U64(0xD1B54A32D192ED03))
 
 
+#: Bytes of a word's beginning that count as a word of their own; they catch inflected forms.
+STEMS = (4, 5, 6, 7, 8)
+STEM = U64(0xE7037ED1A0B428DB)
+
+
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, coordinate) of every word, pair and skip pair; pairs stay within a text."""
+    """(row, coordinate) of every word, stem, pair and skip pair; pairs stay within a text."""
     starts, ends, rows = words(data, offsets, NON_ALNUM)
-    h = word_hashes(data, starts, ends, FOLDED)
+    sums = Sums(FOLDED[data])
+    h = sums.hash(starts, ends)
     shift = U64(64 - bits)
     found_rows, found = [rows], [mix(h) >> shift]
+    for n in STEMS:
+        longer = np.flatnonzero(ends - starts > n)
+        found_rows.append(rows[longer])
+        found.append(mix(sums.hash(starts[longer], starts[longer] + n) ^ STEM) >> shift)
     for gap, (a, b) in ((1, PAIR), (2, SKIP)):
         if len(h) > gap:
             same = rows[gap:] == rows[:-gap]
@@ -50,13 +60,16 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     return np.concatenate(found_rows), np.concatenate(found).astype(np.int64)
 
 
-def vectors(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+Features = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
+
+
+def vectors(batches: Iterator[pa.RecordBatch], bits: int, use: Features = features) -> Iterator[pa.RecordBatch]:
     """(doc_id, label, x): x has a text's distinct coordinates as int32 bytes."""
     for batch in batches:
         data, off = buffers(column(batch, "text"))
         out = []
         for i, j in slices(off):
-            rows, x = features(data[off[i] : off[j]], off[i : j + 1] - off[i], bits)
+            rows, x = use(data[off[i] : off[j]], off[i : j + 1] - off[i], bits)
             key = np.unique((rows << bits) | x)
             cuts = np.searchsorted(key, np.arange(j - i + 1, dtype=np.int64) << bits)
             ids = (key & ((1 << bits) - 1)).astype(np.int32)
@@ -111,10 +124,10 @@ def _learnt(batches: Iterator[pa.RecordBatch], p: Ftrl, classes: list[float] | N
         yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([bias]), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([w.astype("<f8").tobytes()], pa.binary())], ["k", "bias", "at", "w"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, p: Ftrl, classes: list[float] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+def train(docs: DataFrame, labels: DataFrame, label: str, p: Ftrl, classes: list[float] | None = None, use: Features = features) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """One model a class; the samples meet in one task, a bounded number of them."""
     bits = p.bits
-    x = training(docs, labels, label, p).mapInArrow(lambda it: vectors(it, bits), "doc_id long, label double, x binary")
+    x = training(docs, labels, label, p).mapInArrow(lambda it: vectors(it, bits, use), "doc_id long, label double, x binary")
     rows = x.repartition(1).mapInArrow(lambda it: _learnt(it, p, classes), "k long, bias double, at binary, w binary").collect()
     return [(r["bias"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["w"], "<f8")) for r in sorted(rows, key=lambda r: r["k"])]
 
@@ -125,15 +138,11 @@ def dense(model: tuple[float, np.ndarray, np.ndarray], bits: int) -> np.ndarray:
     return w
 
 
-def margins(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bits: int) -> np.ndarray:
-    """Sum of the weights of each text's distinct coordinates."""
-    out = np.zeros(len(offsets) - 1)
-    for i, j in slices(offsets):
-        rows, x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bits)
-        hit = np.flatnonzero(weights[x])
-        key = np.unique((rows[hit] << bits) | x[hit])
-        out[i:j] = np.bincount(key >> bits, weights[key & ((1 << bits) - 1)], minlength=j - i)
-    return out
+def margins(rows: np.ndarray, x: np.ndarray, weights: np.ndarray, bits: int, n: int) -> np.ndarray:
+    """Sum of the weights of each of n texts' distinct coordinates."""
+    hit = np.flatnonzero(weights[x])
+    key = np.unique((rows[hit] << bits) | x[hit])
+    return np.bincount(key >> bits, weights[key & ((1 << bits) - 1)], minlength=n)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
@@ -151,7 +160,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
         weights = dense(model, bits)
         for batch in batches:
             data, off = buffers(column(batch, "text"))
-            s = 1 / (1 + np.exp(-np.clip(model[0] + margins(data, off, weights, bits), -35, 35)))
+            s = np.full(len(off) - 1, model[0])
+            for i, j in slices(off):
+                s[i:j] += margins(*features(data[off[i] : off[j]], off[i : j + 1] - off[i], bits), weights, bits, j - i)
+            s = 1 / (1 + np.exp(-np.clip(s, -35, 35)))
             ids = column(batch, "doc_id")
             out = [ids, pa.array([held_out(i) for i in ids.to_pylist()], pa.bool_()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "score", "predicted"])
