@@ -1,7 +1,68 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns a DataFrame.
 
-STAGES = []
+All but the last return the columns of `documents`; the last adds the rate that
+a document is to be drawn with.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from . import decontam, mixing, pii, quality, simhash
+from .session import checkpoint_folder, checkpointed, table
+
+
+def _of(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id is among the verdicts'; a null id matches a null one."""
+    ids = verdicts.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return _of(docs, quality.quality(docs).where("kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest doc_id stays; of its repeated rows, one."""
+    groups = simhash.near_duplicates(docs)
+    first = checkpointed(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return _of(docs, first).dropDuplicates(["doc_id"])
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return _of(docs, decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that disclose it become placeholders; n_chars follows."""
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds n_tokens, the posteriors and the rate of each document."""
+    rates = mixing.mix_rates(docs, table(spark, sf_dir, "labels")).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rated_id")
+    return docs.join(rates, docs["doc_id"].eqNullSafe(rates["rated_id"])).drop("rated_id")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_free),
+    ("personal data", without_personal_data),
+    ("mixing", mixed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on `documents`; what each keeps is written as Parquet to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

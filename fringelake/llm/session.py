@@ -11,16 +11,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set first if need be."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fringelake-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes `df` to the shared checkpoint folder and returns the written copy.
 
     The folder comes from ``spark.checkpoint.dir``; only where that is unset
     (tests, one machine) a folder of our own is used.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fringelake-checkpoint-")
-        sc.setCheckpointDir(folder)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
