@@ -3,9 +3,9 @@
 Fingerprints at `radius` or fewer differing bits are linked. The 64 bits are
 split into blocks; a close pair must agree on all but `radius` of them, so it
 shares at least one choice of `agree` blocks. Candidates meet in those choices
-only. A bucket that is too large is split again by the bits it does not share
-yet, which keeps the pigeonhole guarantee, so no candidate is ever dropped and
-no task sees an unbounded group. Buckets give a spanning forest, not all pairs.
+only, and each bucket gives a spanning forest of its verified links, not all
+pairs. Fingerprints of a bucket that is too large to compare all with all meet
+at the values halfway between them instead, an exact way without large groups.
 """
 
 from __future__ import annotations
@@ -83,18 +83,18 @@ def _scheme(n: int) -> list[int]:
     return [_mask(list(c)) for c in combinations(spans, agree)]
 
 
-def _rest(mask: int) -> list[int]:
-    """`mask` with one more of RADIUS + 1 parts of the bits that it does not hold yet, for each part."""
-    free = [b for b in range(64) if not (mask >> b) & 1]
-    if len(free) <= RADIUS + 1:
-        return [mask]
-    out = []
-    for a, b in _bounds(len(free), RADIUS + 1):
-        m = mask & (2**64 - 1)
-        for bit in free[a:b]:
-            m |= 1 << bit
-        out.append(m - (1 << 64) if m >> 63 else m)
-    return out
+def _halfway(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fp): every 64-bit value at most RADIUS / 2 bits from a fingerprint."""
+    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    i, j = np.triu_indices(64, 1)
+    flips = np.concatenate([np.zeros(1, np.uint64), one, one[i] | one[j]])
+    assert RADIUS == 4
+    for batch in batches:
+        fps = column(batch, "fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        for k in range(0, len(fps), 64):
+            some = fps[k : k + 64]
+            keys = (some[:, None] ^ flips).ravel().view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(some, len(flips)).view(np.int64))], ["key", "fp"])
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,22 +117,18 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(src, dst) fingerprints at most RADIUS bits apart; their closure is that of all such pairs."""
-    n = distinct.count()
-    keyed = distinct.select("fp", F.explode(F.array([F.lit(m) for m in _scheme(n)])).alias("mask"))
-    edges = None
-    while True:
-        keyed = keyed.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-        sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        crowded = checkpointed(sizes.where(F.col("n") > bucket))
-        busy = sizes.where(F.col("n") <= bucket).drop("n")
-        groups = keyed.join(busy, ["mask", "key"]).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
-        found = groups.select("fps").mapInArrow(_forest, "src long, dst long")
-        edges = found if edges is None else edges.unionByName(found)
-        masks = [r["mask"] for r in crowded.select("mask").distinct().collect()]  # of a fixed list of masks, never of rows
-        if not masks:
-            return edges.distinct()
-        finer = F.create_map(*[x for m in masks for x in (F.lit(m), F.array([F.lit(v) for v in _rest(m)]))])
-        keyed = checkpointed(keyed.join(crowded.drop("n"), ["mask", "key"]).select("fp", F.explode(finer[F.col("mask")]).alias("mask")))
+    keyed = distinct.select("fp", F.explode(F.array([F.lit(m) for m in _scheme(distinct.count())])).alias("mask"))
+    keyed = keyed.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = keyed.join(sizes.where(F.col("n") <= bucket).drop("n"), ["mask", "key"]).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
+    edges = groups.select("fps").mapInArrow(_forest, "src long, dst long")
+    # two fingerprints are within RADIUS if and only if some value is within half of it of both, and
+    # no more than 2,081 fingerprints are that near a value: linear work, and bounded groups
+    crowded = checkpointed(sizes.where(F.col("n") > bucket).select("mask", "key"))
+    members = keyed.join(crowded, ["mask", "key"]).select("fp").distinct()
+    near = members.mapInArrow(_halfway, "key long, fp long").groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    stars = near.select(F.explode("fps").alias("src"), F.array_min("fps").alias("dst")).where("src <> dst")
+    return edges.unionByName(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fringelake.llm import decontam, pii, quality, simhash, substring_rlz, suffix_dedup, toxicity
+from fringelake.llm import blocks, decontam, pii, quality, simhash, substring_rlz, suffix_dedup, toxicity
 from fringelake.llm.components import components
 from fringelake.llm.textkit import NON_ALNUM, SPACE, buffers, words
 
@@ -65,7 +65,13 @@ def repeats(rows, units, size):
         yield doc_id, u, gone
 
 
-def test_substring_dedup(docs):
+@pytest.fixture(params=[1_000_000, 2_000])
+def some_blocks(request, monkeypatch):
+    """One block of all texts, and as many as there are tasks."""
+    monkeypatch.setattr(blocks, "SMALLEST", request.param)
+
+
+def test_substring_dedup(docs, some_blocks):
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_rlz.dedup_words(docs, text=False).collect())
     want = []
     for doc_id, u, gone in repeats(held(docs), BLANKS.findall, 50):
@@ -74,13 +80,14 @@ def test_substring_dedup(docs):
     assert got == sorted(want) and any(w[2] for w in want)
 
 
-def test_suffix_dedup(docs):
+def test_suffix_dedup(docs, some_blocks):
     got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup_bytes(docs, text=False).collect())
     want = []
     for doc_id, u, gone in repeats(held(docs), lambda t: t.encode(), 50):
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         want.append((str(doc_id), len(u), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(u, gone) if not g)).hexdigest()))
     assert got == sorted(want) and any(w[2] for w in want)
+    assert suffix_dedup.dedup_bytes(docs.limit(0)).count() == 0 and substring_rlz.dedup_words(docs.limit(0)).count() == 0
 
 
 def test_loser_tree():
