@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from .session import shuffle_width
 from .textkit import U64, buffers, column, mix
 
-#: Characters of a block, about.
-BLOCK = 12_000_000
+#: Characters of a block, about, and of one at least where there are fewer tasks than that.
+BLOCK, SMALLEST = 12_000_000, 1_000_000
 #: Stands for a null doc_id: after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -94,7 +94,7 @@ def packed(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """(block, docs) rows, the number of blocks and of characters; a block has several rows."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(shuffle_width(docs.sparkSession), -(-chars // BLOCK))
+    blocks = max(1, -(-chars // BLOCK), min(shuffle_width(docs.sparkSession), -(-chars // SMALLEST)))
     return texts.mapInArrow(lambda it: _pack(it, blocks), "block long, docs binary"), blocks, chars
 
 

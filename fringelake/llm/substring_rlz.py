@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import Block, Replies, Runs, answer, bits, conclude, covered, dump, flags, packed, send, window_runs
-from .session import shuffle_width
 from .textkit import EXACT, SPACE, U64, Sums, mix, slices, word_hashes, words
 
 WINDOW, GRAM = 50, 8
@@ -167,7 +166,7 @@ def dedup_words(docs: DataFrame, text: bool = True) -> DataFrame:
     not read.
     """
     blocks, n, _ = packed(docs)
-    parts = max(shuffle_width(docs.sparkSession), n)
+    parts = n
 
     def ask_phrases(block: Block, _: Replies) -> dict[int, bytes]:
         return Parsed(block).ask_phrases(parts)
@@ -180,3 +179,14 @@ def dedup_words(docs: DataFrame, text: bool = True) -> DataFrame:
     factors = answer(send(blocks, None, PHRASES, parts, ask_phrases), judge_phrases)
     boundaries = answer(send(blocks, factors, WINDOWS, parts, ask_windows), judge_windows)
     return conclude(blocks, boundaries, SCHEMA, lambda b, r: _result(b, r, parts, text))
+
+
+SQL = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, i, list_aggregate(w[i:i + 49], 'string_agg', ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+h AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM p) WHERE least < doc_id),
+j AS (SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+k AS (SELECT j.doc_id, j.i, word, max(h.i) OVER (PARTITION BY j.doc_id ORDER BY j.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM j LEFT JOIN h ON j.doc_id = h.doc_id AND j.i = h.i),
+a AS (SELECT doc_id, sum(CAST(gone AS INT)) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM k GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN a ON w.doc_id = a.doc_id
+"""
