@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.SQL}
+    return {"op2_substring_dedup": substring_rlz.SQL, "op5_quality_rules": quality.SQL, "op6_suffix_dedup": suffix_dedup.SQL}
