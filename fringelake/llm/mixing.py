@@ -110,11 +110,12 @@ def fit_rates(cells: DataFrame, p: Mix) -> list[list[float]]:
         for batch in batches:
             q = np.array(column(batch, "q").to_pylist(), float).reshape(-1, len(targets))
             got = (rates(q, history, p)[1] * np.array(column(batch, "tokens").to_pylist(), float)) @ (q / p.grid)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(got))), pa.array(got)], ["k", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in got.tolist()], names)
 
+    names = [f"s{k}" for k in range(len(targets))]
     for _ in range(p.steps):
-        got = {r["k"]: r["s"] for r in cells.mapInArrow(sums, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
-        residual = [round(got.get(k, 0.0) / total - t, 12) for k, t in enumerate(targets)]
+        got = cells.mapInArrow(sums, ", ".join(f"{n} double" for n in names)).agg(*[F.sum(n) for n in names]).first()
+        residual = [round((got[k] or 0.0) / total - t, 12) for k, t in enumerate(targets)]
         history.append(residual)
         if len(history) > 1 and max(abs(a - b) for a, b in zip(history[-1], history[-2])) < p.tolerance / 10 and max(map(abs, residual)) < p.tolerance:
             break
@@ -130,7 +131,8 @@ def mix_rates(docs: DataFrame, labels: DataFrame, p: Mix = Mix()) -> DataFrame:
     rows count each; an empty table gives no rows; other columns are not read.
     """
     scored = checkpointed(posteriors(docs, labels, p))  # narrow: a count and three small numbers a document
-    cells = checkpointed(scored.groupBy("q").agg(F.sum("n_tokens").alias("tokens")))
+    # (grid + 1) ** (domains - 1) cells at most, so few tasks do for each step
+    cells = checkpointed(scored.groupBy("q").agg(F.sum("n_tokens").alias("tokens")).coalesce(8))
     history = fit_rates(cells, p)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
