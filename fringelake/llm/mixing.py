@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .session import checkpointed
 from .textkit import NON_ALNUM, SPACE, U64, buffers, column, mix, slices, words
-from .toxicity import Ftrl, dense, features, margins, train
+from .toxicity import Ftrl, dense, features, train
 
 #: Domains by label: a toxic document, else one of low quality, else a good one.
 DOMAINS = ("good", "low", "toxic")
@@ -48,8 +48,9 @@ def shaped(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray
     symbols = (total[offsets[1:]] - total[offsets[:-1]]) / size
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     breaks = (lines[offsets[1:]] - lines[offsets[:-1]]) / size
-    count = np.bincount(rows, minlength=n)
-    unlike = np.bincount(np.unique((rows << bits) | x) >> bits, minlength=n) / np.maximum(1, count)
+    first = len(words(data, offsets, NON_ALNUM)[0])  # the words themselves come first
+    count = np.bincount(rows[:first], minlength=n)
+    unlike = np.bincount(np.unique((rows[:first] << bits) | x[:first]) >> bits, minlength=n) / np.maximum(1, count)
     bins = [np.log2(1 + size).astype(int), np.minimum(31, symbols * 64).astype(int), np.minimum(31, breaks * 256).astype(int), (unlike * 16).astype(int)]
     shape = [(mix((np.full(n, 1 + k, U64) << U64(32)) + b.astype(U64)) >> U64(64 - bits)).astype(np.int64) for k, b in enumerate(bins)]
     return np.concatenate([rows, *[np.arange(n)] * len(bins)]), np.concatenate([x, *shape])
@@ -64,6 +65,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, p: Mix) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = [dense(m, bits).astype(np.float32) for m in models]
+        used = np.any(weights, axis=0)
         for batch in batches:
             data, off = buffers(column(batch, "text"))
             each = np.empty((len(off) - 1, len(models)))
@@ -71,8 +73,11 @@ def posteriors(docs: DataFrame, labels: DataFrame, p: Mix) -> DataFrame:
             for i, j in slices(off):
                 part, own = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 rows, x = shaped(part, own, bits)
+                hit = np.flatnonzero(used[x])
+                key = np.unique((rows[hit] << bits) | x[hit])
+                own_rows, own_x = key >> bits, key & ((1 << bits) - 1)
                 for k, m in enumerate(models):
-                    each[i:j, k] = m[0] + margins(rows, x, weights[k], bits, j - i)
+                    each[i:j, k] = m[0] + np.bincount(own_rows, weights[k][own_x], minlength=j - i)
                 tokens[i:j] = np.bincount(words(part, own, SPACE)[2], minlength=j - i)
             chance = 1 / (1 + np.exp(-np.clip(each, -30, 30)))
             chance /= chance.sum(axis=1, keepdims=True)
