@@ -40,10 +40,8 @@ SAMPLE = 32
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each position; those past the end are zero."""
     padded = np.concatenate([data, np.zeros(GRAM + 8, np.uint8)])
-    eight = np.zeros(len(data) + GRAM, U64)
-    for k in range(8):
-        eight |= padded[k : k + len(eight)].astype(U64) << U64(8 * k)
     n = len(data)
+    eight = np.ndarray((n + GRAM,), "<u8", padded, strides=(1,)).astype(U64)  # the 8 bytes from each position
     h = eight[:n] * U64(0x9E3779B97F4A7C15)
     h ^= h >> U64(29)
     h += eight[8 : n + 8]
