@@ -10,9 +10,9 @@ each run's common prefix with the last winner: two heads are compared by these
 lengths first, and by bytes only from there on. Equal neighbours are repeats.
 
 Two sorts are made: of the suffixes at anchors with all bytes that the anchor's
-windows can cover (equal: all its windows are repeats of the smallest
-document's), and then, for 24-grams that stand in unlike surroundings, of the
-windows themselves. Equality is decided on bytes.
+windows can cover (equal, or alike from the anchor on and so far before it: its
+windows are repeats of the smallest document's), and then of those windows that
+may repeat in suffixes which part from theirs after the anchor. Equality is decided on bytes.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .blocks import Block, Replies, Runs, answer, bits, conclude, covered, dump, flags, packed, send, window_runs
-from .session import shuffle_width
 from .textkit import U64, buffers, column, mix, slices
 
 SIZE, GRAM = 50, 24
@@ -102,11 +101,9 @@ def merged(runs: list[tuple[np.ndarray, list[bytes]]], width: int) -> tuple[np.n
     prefixes = [p.tolist() for p, _ in runs]
     strings = [s for _, s in runs]
     at = [0] * k
-    size = 1
-    while size < k:
-        size *= 2
+    size = k  # leaves size..2 * size - 1 of a complete tree
     # head[r]: string, common[r]: its common prefix with the last winner; an ended run loses always
-    head: list[bytes | None] = [strings[r][0] if r < k and strings[r] else None for r in range(size)]
+    head: list[bytes | None] = [s[0] if s else None for s in strings]
     common = [0 if h is not None else -1 for h in head]
     tree = [0] * size  # losers at inner nodes
 
@@ -218,18 +215,34 @@ class Suffixes:
         self.least = own[first]  # rows are in order of doc_id, and the sort is stable
 
     def take_suffixes(self, replies: Replies, cuts: np.ndarray) -> None:
-        """Runs that are repeats as a whole, and the sorted windows of those still open."""
-        held, mixed = np.zeros(len(self.sorted), bool), np.zeros(len(self.sorted), bool)
+        """Windows that are repeats for sure, and the sorted ones that still can be.
+
+        A window that starts o bytes before its anchor can only repeat in a
+        suffix with the same SIZE bytes from the anchor on and o alike before
+        it, which the merge has told (o <= known), or in one that is alike for
+        SIZE - o at least but not for all SIZE (o >= SIZE - after).
+        """
+        n = len(self.sorted)
+        held, known, unknown, after = np.zeros(n, bool), np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.zeros(n, np.int64)
         which = ranges(self.sorted, cuts)
         for p, body in replies.get(SUFFIXES, {}).items():
-            held[which == p], mixed[which == p] = flags(body)
+            k = which == p
+            held[k], known[k], unknown[k], after[k] = flags(body[:2])[0], body[2], body[3], body[4]
         own = self.id[self.live]
-        whole = held[self.suffix] | (own > self.least[self.suffix])
-        self.whole = self.live[whole]
-        runs = self.live[~whole & mixed[self.suffix]]
-        size = self.runs.last[runs] - self.runs.first[runs] + 1
-        self.at = np.repeat(self.runs.first[runs], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        self.window_id = np.repeat(self.id[runs], size)
+        known[held] = SIZE  # more than any window's distance
+        known = np.where(own > self.least[self.suffix], SIZE, known[self.suffix])
+        anchor, first, last = self.runs.anchor[self.live], self.runs.first[self.live], self.runs.last[self.live]
+        low = np.maximum(first, anchor - known)
+        sure = low <= last
+        self.sure = low[sure], last[sure]
+        still = np.minimum(last, low - 1)
+        open_ = np.flatnonzero((first <= still) & ((anchor - still <= unknown[self.suffix]) | (anchor - first >= SIZE - after[self.suffix])))
+        size = still[open_] - first[open_] + 1
+        at = np.repeat(first[open_], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        left = np.repeat(anchor[open_], size) - at
+        s = self.suffix[open_]
+        can = (left <= np.repeat(unknown[s], size)) | (left >= np.repeat(SIZE - after[s], size))
+        self.at, self.window_id = at[can], np.repeat(own[open_], size)[can]
         m = rows_at(self.data, self.at, SIZE)
         first, self.window = distinct_sorted(m)
         self.windows, self.window_least = m[first], self.window_id[first]
@@ -240,8 +253,7 @@ class Suffixes:
         for p, body in replies.get(WINDOWS, {}).items():
             held[which == p] = flags(body)[0]
         hit = self.at[held[self.window] | (self.window_id > self.window_least[self.window])]
-        r = self.runs
-        return covered(len(self.data), np.r_[r.first[self.whole], hit], np.r_[r.last[self.whole], hit], SIZE)
+        return covered(len(self.data), np.r_[self.sure[0], hit], np.r_[self.sure[1], hit], SIZE)
 
 
 def ranges(rows: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -285,18 +297,39 @@ def _merge(bodies: list[list[np.ndarray]], width: int) -> tuple[np.ndarray, np.n
 
 
 def judge_suffixes(bodies: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    """For each suffix: does a smaller document have it; most bytes before the anchor that a smaller
+    document has too before the same SIZE bytes (-1: none); up to which of them that is unknown; most
+    bytes from the anchor on that a suffix without all of them has too. Neighbours in the merged order
+    have the longest common prefixes, and those alike so far stand together."""
     place, lcp, less, sizes = _merge(bodies, WIDTH)
     new = lcp < WIDTH
     new[:1] = True
-    begins = lcp < GRAM
+    of = np.cumsum(new) - 1
+    docs = np.minimum.reduceat(np.concatenate([b[2] for b in bodies])[place], np.flatnonzero(new))
+    common = lcp[new].astype(np.int64)  # of unlike suffixes with the one before
+    begins = common < SIZE
     begins[:1] = True
-    kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(begins))
-    kinds[0] = kinds[-1] = 2  # the parts beside this one may have others with that 24-gram
-    several = kinds[np.cumsum(begins) - 1] > 1
-    held, mixed = np.empty(len(place), bool), np.empty(len(place), bool)
-    held[place], mixed[place] = less, several
+    start = np.flatnonzero(begins)
+    group = np.cumsum(begins) - 1
+    edge = common[start]
+    edge[0] = SIZE - 1
+    after = np.maximum(edge, np.r_[edge[1:], SIZE - 1])[group]
+    known = np.full(len(common), -1, np.int8)
+    many = np.flatnonzero((np.diff(np.r_[start, len(common)]) > 1)[group])
+    near, own, got = common[many], docs[many], known[many]
+    for o in range(LEFT, -1, -1) if len(many) else ():
+        cut = near < SIZE + o
+        cut[0] = True
+        hit = (np.minimum.reduceat(own, np.flatnonzero(cut))[np.cumsum(cut) - 1] < own) & (got < 0)
+        got[hit] = o
+    known[many] = got
+    # the parts beside this one may have more suffixes like its first and last
+    unknown = np.where((group == 0) | (group == len(start) - 1), LEFT, -1).astype(np.int8)
+    out = [np.empty(len(place), k) for k in (bool, np.int8, np.int8, np.int8)]
+    for x, v in zip(out, (less, known[of], unknown[of], after[of])):
+        x[place] = v
     cuts = np.cumsum(sizes)[:-1]
-    return [bits(a, b) for a, b in zip(np.split(held, cuts), np.split(mixed, cuts))]
+    return [[*bits(h), *rest] for h, *rest in zip(*(np.split(x, cuts) for x in out))]
 
 
 def judge_windows(bodies: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
@@ -360,7 +393,7 @@ def dedup_bytes(docs: DataFrame, text: bool = True) -> DataFrame:
     read. kept_text replaces bytes that are no whole characters any more.
     """
     blocks, n, chars = packed(docs)
-    parts = max(shuffle_width(docs.sparkSession), n)
+    parts = n
     cuts = split_points(docs, parts, chars)
 
     def ask_shared(block: Block, _: Replies) -> dict[int, bytes]:
@@ -381,3 +414,17 @@ def dedup_bytes(docs: DataFrame, text: bool = True) -> DataFrame:
     suffixes = answer(send(blocks, shared, SUFFIXES, parts, ask_suffixes), judge_suffixes)
     windows = answer(send(blocks, suffixes, WINDOWS, parts, ask_windows), judge_windows)
     return conclude(blocks, windows, SCHEMA, lambda b, r: _result(b, r, parts, cuts, text))
+
+
+SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n FROM t),
+p AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM b)),
+h AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM p) WHERE least < doc_id),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM h)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM r GROUP BY doc_id, run),
+k AS (SELECT s.doc_id, s.a, s.z, substr(x, 2 * coalesce(lag(z) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0) + 1, 2 * (s.a - coalesce(lag(z) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0))) AS before FROM s JOIN b ON s.doc_id = b.doc_id),
+g AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS z, string_agg(before, '' ORDER BY a) AS kept FROM k GROUP BY doc_id)
+SELECT b.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(z, 0) + 1))) AS kept_sha256 FROM b LEFT JOIN g ON b.doc_id = g.doc_id
+"""
