@@ -2,8 +2,9 @@
 
 Patterns stay in a table, dealt by group; object and probe are small arrays of
 a known size that travel with each step. A step over one group runs as NumPy
-kernels in Arrow batches and returns one row of partial sums a partition, which
-are added on the driver: as many bytes as object and probe, whatever the scan.
+kernels in Arrow batches and gives one row of partial sums a partition; these are
+added in a few tasks first, so the driver gets a few times the bytes of object
+and probe, whatever the scan.
 Groups follow one another, as the algorithms ask; positions within a group are
 done in parallel.
 """
@@ -105,11 +106,27 @@ def _partial(state: State, e: Engine) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
+_SUMS = "d_obj binary, d_probe binary, w_obj binary, w_probe binary, loss double, error double, n long"
+#: Rows of partial sums that reach the driver.
+LAST = 8
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the sums of all rows."""
+    total: list | None = None
+    for batch in batches:
+        for r in batch.to_pylist():
+            got = [np.frombuffer(r["d_obj"], complex), np.frombuffer(r["d_probe"], complex), np.frombuffer(r["w_obj"]), np.frombuffer(r["w_probe"]), r["loss"], r["error"], r["n"]]
+            total = got if total is None else [a + b for a, b in zip(total, got)]
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in total[:4]] + [pa.array([x]) for x in total[4:]], ["d_obj", "d_probe", "w_obj", "w_probe", "loss", "error", "n"])
+
+
 def step_sums(group: DataFrame, state: State, e: Engine) -> dict[str, np.ndarray | float]:
     """Sums over one group of positions."""
     if state.obj.nbytes + state.probe.nbytes > LARGEST_STATE:
         raise ValueError("object and probe are larger than a step may carry; cut the object into tiles")
-    rows = group.mapInArrow(_partial(state, e), "d_obj binary, d_probe binary, w_obj binary, w_probe binary, loss double, error double, n long").toLocalIterator()
+    rows = group.mapInArrow(_partial(state, e), _SUMS).repartition(LAST).mapInArrow(_added, _SUMS).collect()
     total: dict[str, np.ndarray | float] = {}
     for r in rows:
         got = {"d_obj": np.frombuffer(r["d_obj"], complex).reshape(state.obj.shape), "d_probe": np.frombuffer(r["d_probe"], complex).reshape(state.probe.shape), "w_obj": np.frombuffer(r["w_obj"]).reshape(state.obj.shape[1:]), "w_probe": np.frombuffer(r["w_probe"]).reshape(state.probe.shape[1:]), "loss": r["loss"], "error": r["error"], "n": r["n"]}
