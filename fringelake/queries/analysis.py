@@ -449,3 +449,41 @@ def argsort_rank(spark, d):
 @query(sql="SELECT k AS mode, CAST(ceil((sqrt(8.0 * k + 9) - 3) / 2) AS BIGINT) AS ord FROM range(40) AS t(k)")
 def mode_orders(spark, d):
     return spark.range(40).select(F.col("id").alias("mode"), optics.hermite_order(F.col("id")).alias("ord"))
+
+
+def _resample_sql(u: str, w: str, prelude: str) -> str:
+    """SQL of an order-1 resampling of img (z, y, x, v) on an 8 x 8 grid of (oy, ox)."""
+    return f"""WITH {bridge.CTE["cx"]}, {bridge.CTE["stack"]}, {prelude}, p AS (SELECT oy, ox, {u} AS u, {w} AS w FROM (SELECT k // 8 AS oy, k % 8 AS ox FROM range(64) AS t(k))),
+  n AS (SELECT oy, ox, CAST(floor(u) AS BIGINT) + dy AS y, CAST(floor(w) AS BIGINT) + dx AS x, (CASE WHEN dy = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN dx = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END) AS weight FROM p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS c(dy, dx)),
+  zs AS (SELECT DISTINCT z FROM stack), o AS (SELECT zs.z, oy AS y, ox AS x, sum(weight * coalesce(v, 1.0)) AS v FROM n CROSS JOIN zs LEFT JOIN i s ON s.z = zs.z AND s.y = n.y AND s.x = n.x GROUP BY zs.z, oy, ox)"""
+
+
+_C, _S = math.cos(math.radians(30)), math.sin(math.radians(30))
+
+
+@query(sql=_resample_sql(f"{_C!r} * oy - {_S!r} * ox + {3.5 - 3.5 * _C + 3.5 * _S!r}", f"{_S!r} * oy + {_C!r} * ox + {3.5 - 3.5 * _S - 3.5 * _C!r}", "i AS (SELECT z, y, x, re AS v FROM stack)") + " SELECT z, y, x, round(v, 5) AS v FROM o")
+def object_rotate(spark, d):
+    """The object turned by 30 degrees about its centre; vacuum (1) comes in from outside."""
+    return rounded(images.resample(bridge.img(spark, d), (N, N), ((_C, -_S), (_S, _C)), (3.5 - 3.5 * _C + 3.5 * _S, 3.5 - 3.5 * _S - 3.5 * _C), 1.0, ["z"]), 5)
+
+
+@query(sql=_resample_sql("0.8 * oy + 0.7", "0.8 * ox + 0.7", "i AS (SELECT z, (y + 4) % 8 AS y, (x + 4) % 8 AS x, re AS v FROM stack)") + " SELECT z, (y + 4) % 8 AS y, (x + 4) % 8 AS x, round(v, 5) AS v FROM o")
+def recip_resample(spark, d):
+    """Resampling of a corner-origin image: shift, resample about the middle, shift back."""
+    centred = preprocess.shift_index(bridge.img(spark, d), {"y": N, "x": N})
+    out = images.resample(centred, (N, N), ((0.8, 0.0), (0.0, 0.8)), (0.7, 0.7), 1.0, ["z"])
+    return rounded(preprocess.shift_index(out, {"y": N, "x": N}, inverse=True), 5)
+
+
+@query("stack", sql="SELECT y, x, round(exp(sum(ln(sqrt(re * re + im * im)))) * cos(sum(atan2(im, re))), 5) + 0.0 AS re, round(exp(sum(ln(sqrt(re * re + im * im)))) * sin(sum(atan2(im, re))), 5) + 0.0 AS im FROM stack GROUP BY y, x")
+def project_object(spark, d):
+    """The product over slices of the complex object, as the exponential of summed logarithms."""
+    a, p = F.sum(F.ln(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2))), F.sum(F.atan2("im", "re"))
+    return rounded(bridge.stack(spark, d).groupBy("y", "x").agg(a.alias("a"), p.alias("p")).select("y", "x", (F.exp("a") * F.cos("p")).alias("re"), (F.exp("a") * F.sin("p")).alias("im")), 5)
+
+
+@query("stack", sql="SELECT z, y, x, round(exp(ln(sqrt(re * re + im * im)) * 0.25) * cos(atan2(im, re) * 0.25), 6) AS re, round(exp(ln(sqrt(re * re + im * im)) * 0.25) * sin(atan2(im, re) * 0.25), 6) + 0.0 AS im FROM stack")
+def split_slice(spark, d):
+    """A slice's share of a thicker one: its logarithm scaled by the share of the thickness."""
+    a, p = F.ln(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)) * 0.25, F.atan2("im", "re") * 0.25
+    return rounded(bridge.stack(spark, d).select("z", "y", "x", (F.exp(a) * F.cos(p)).alias("re"), (F.exp(a) * F.sin(p)).alias("im")))
