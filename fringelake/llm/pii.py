@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -115,7 +115,7 @@ class _Words:
 
 def _cooccurrences(batches: Iterator[pa.RecordBatch], p: Disclosure) -> Iterator[pa.RecordBatch]:
     """(term, entity, around) of the terms near each base span."""
-    for batch in batches:
+    for batch in _pieces(batches):
         terms, entities, rounds = [], [], []
         for text in column(batch, "text").to_pylist():
             spans = base_spans(text or "")
@@ -187,7 +187,7 @@ def disclosing_terms(texts: DataFrame, p: Disclosure) -> DataFrame:
 
 def _term_spans(batches: Iterator[pa.RecordBatch], terms: np.ndarray, p: Disclosure) -> Iterator[pa.RecordBatch]:
     """Adds the byte spans of the given terms to each row's `found`."""
-    for batch in batches:
+    for batch in _pieces(batches):
         data, off = buffers(column(batch, "text"))
         out = [list(x or []) for x in column(batch, "found").to_pylist()]
         for i, j in slices(off):
@@ -221,8 +221,15 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{NAMES[k]}:{a}:{b}" for a, b, k in spans)
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, as Python strings take several times a batch's bytes."""
     for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _pieces(batches):
         counts, shas, listed = [[] for _ in KINDS], [], []
         for text, found in zip(column(batch, "text").to_pylist(), column(batch, "found").to_pylist()):
             spans = all_spans(text or "", found or [])
@@ -235,7 +242,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sanitised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _pieces(batches):
         out = []
         for text, found in zip(column(batch, "text").to_pylist(), column(batch, "found").to_pylist()):
             if text is not None:
@@ -250,14 +257,20 @@ def _sanitised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in keep), pa.array(out, pa.string())], [*keep, "clean_text"])
 
 
-def _with_terms(docs: DataFrame, p: Disclosure) -> DataFrame:
-    """`docs` with `found`: byte spans of protected terms."""
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    terms = disclosing_terms(texts, p)
+def _with_spans(docs: DataFrame, p: Disclosure, last: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`last` over `docs` with `found`, the byte spans of protected terms.
+
+    The last block of terms is marked in the same Python worker as `last` runs
+    in: each further step would be a further worker for every task.
+    """
+    terms = disclosing_terms(docs.select(F.col("text").cast("string").alias("text")), p)
     marked = docs.withColumn("text", F.col("text").cast("string")).withColumn("found", F.array().cast("array<bigint>"))
-    for block in _blocks(terms, p):  # narrow steps, one after the other in the same tasks
-        marked = marked.mapInArrow(lambda it, b=block: _term_spans(it, b, p), marked.schema)
-    return marked
+    final = None
+    for block in _blocks(terms, p):
+        if final is not None:
+            marked = marked.mapInArrow(lambda it, b=final: _term_spans(it, b, p), marked.schema)
+        final = block
+    return marked.mapInArrow(lambda it: last(it if final is None else _term_spans(it, final, p)), schema)
 
 
 def personal_data(docs: DataFrame, p: Disclosure = Disclosure()) -> DataFrame:
@@ -267,15 +280,13 @@ def personal_data(docs: DataFrame, p: Disclosure = Disclosure()) -> DataFrame:
     rows are judged each, and identical surroundings count once, so copies add
     no evidence. An empty table gives no rows; other columns are not read.
     """
-    marked = _with_terms(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), p)
     kinds = ", ".join(f"n_{k} long" for k in KINDS)
-    return marked.mapInArrow(_digest, f"doc_id long, {kinds}, base_sha256 string, spans string")
+    return _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), p, _digest, f"doc_id long, {kinds}, base_sha256 string, spans string")
 
 
 def sanitise(docs: DataFrame, p: Disclosure = Disclosure()) -> DataFrame:
     """`docs` with each span of `text` replaced by its kind in angle brackets; null stays null."""
-    marked = _with_terms(docs, p)
-    kept = [f for f in marked.schema.fields if f.name not in ("text", "found")]
+    kept = [f for f in docs.schema.fields if f.name not in ("text", "found")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", clean_text string"
-    clean = marked.mapInArrow(_sanitised, schema)
+    clean = _with_spans(docs, p, _sanitised, schema)
     return clean.select(*[F.col("clean_text").alias("text") if n == "text" else F.col(f"`{n}`") for n in docs.columns])
