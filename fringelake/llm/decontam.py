@@ -6,7 +6,8 @@ hash-joined between benchmark and documents: the benchmark's windows are a
 stated query set and meet every document in blocks of a fixed size, held as a
 sorted hash table in each task. A document is contaminated by an item if one
 stretch of it has at least 0.8 of the item's distinct windows and the slots
-agree: each value of the item's slots maps to one value of the document's.
+agree along an alignment (in a copy they always do): each value of the item's
+slots maps to one value of the document's.
 """
 
 from __future__ import annotations
@@ -124,6 +125,87 @@ class Index:
         return Index(h[order], rows[order], (at - first[rows])[order], distinct, length, slots)
 
 
+def _stretch(hits: list[tuple[int, int, int]], span: int) -> tuple[int, int, int]:
+    """(distinct windows, first hit, last hit) of the stretch of `span` words that has the most; hits are (word, place, key) in order."""
+    seen, left, best = Counter(), 0, (0, 0, 0)
+    for right, (word, _, key) in enumerate(hits):
+        seen[key] += 1
+        while word - hits[left][0] > span:
+            old = hits[left][2]
+            seen[old] -= 1
+            if not seen[old]:
+                del seen[old]
+            left += 1
+        best = max(best, (len(seen), -left, right))
+    return best[0], -best[1], best[2]
+
+
+def _agree(hits: list[tuple[int, int, int]], own: np.ndarray, raw: np.ndarray, slot: np.ndarray, p: Match) -> bool:
+    """Whether the hits' slots agree: each value of the item's (`raw`) maps to one of the document's (`own`)."""
+    pairs = defaultdict(Counter)
+    for word, place, _ in hits:
+        for o in range(min(p.window, len(raw) - place)):
+            if slot[place + o]:
+                pairs[int(raw[place + o])][int(own[word + o])] += 1
+    votes = sum(sum(v.values()) for v in pairs.values())
+    return votes == 0 or sum(max(v.values()) for v in pairs.values()) >= p.agree * votes
+
+
+def _chain(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The most hits that go forward in both texts; of equally many those with the fewest shifts between them."""
+    word, place = np.array([h[0] for h in hits]), np.array([h[1] for h in hits])
+    score, back = np.zeros(len(hits), np.int64), np.full(len(hits), -1)
+    for i in range(len(hits)):
+        j = np.flatnonzero((word[:i] < word[i]) & (place[:i] < place[i]))
+        score[i] = 1 << 20
+        if len(j):
+            got = score[j] - (word[j] - place[j] != word[i] - place[i])
+            back[i] = j[got.argmax()]
+            score[i] += got.max()
+    out, i = [], int(score.argmax())
+    while i >= 0:
+        out.append(hits[i])
+        i = int(back[i])
+    return out[::-1]
+
+
+def _consistent(hits: list[tuple[int, int, int]], best: tuple[int, int, int], span: int, need: float, item: int, own: np.ndarray, index: Index, p: Match) -> bool:
+    """Whether a stretch of the document is the item with consistent slots; a copy word by word is.
+
+    An item may have a template at several places, so a window that is like it
+    has a hit for each; only hits of one alignment are judged together. An
+    alignment has the item's windows by place, repeated ones too.
+    """
+    raw, slot = index.slots[item]
+    windows = max(1, len(raw) - p.window + 1)
+
+    def whole(some: list[tuple[int, int, int]]) -> bool:
+        return len({h[1] for h in some}) >= p.similarity * windows and len({h[2] for h in some}) >= need
+
+    if _agree(hits[best[1] : best[2] + 1], own, raw, slot, p):
+        return True
+    lines = defaultdict(list)
+    for h in hits:
+        lines[h[0] - h[1]].append(h)
+    if any(whole(x) and _agree(x, own, raw, slot, p) for x in lines.values()):
+        return True
+    # words were put in or left out: alignments that shift, in every stretch that can hold one
+    left, seen = 0, Counter()
+    for right, (word, place, _) in enumerate(hits):
+        seen[place] += 1
+        while word - hits[left][0] > span:
+            seen[hits[left][1]] -= 1
+            if not seen[hits[left][1]]:
+                del seen[hits[left][1]]
+            left += 1
+        last = right + 1 == len(hits) or hits[right + 1][0] - hits[left][0] > span
+        if last and len(seen) >= p.similarity * windows:
+            x = _chain(hits[left : right + 1])
+            if whole(x) and _agree(x, own, raw, slot, p):
+                return True
+    return False
+
+
 def contaminations(c: Canonical, index: Index, p: Match) -> list[tuple[int, int, float]]:
     """(row, item number, share) of the items found in the slice's texts."""
     at, h = c.windows(p.window)
@@ -138,34 +220,16 @@ def contaminations(c: Canonical, index: Index, p: Match) -> list[tuple[int, int,
     for word, a, b in zip(at[hit].tolist(), low[hit].tolist(), high.tolist()):
         row = int(c.row[word])
         for k in range(a, b):  # the windows of the query set that are alike
-            by[row, int(index.item[k])].append((word, int(index.place[k]), k))
+            by[row, int(index.item[k])].append((word, int(index.place[k]), int(index.key[k])))
     found = []
     for (row, item), hits in by.items():
         need = p.similarity * index.distinct[item]
-        if len({int(index.key[k]) for _, _, k in hits}) < need:
+        if len({key for _, _, key in hits}) < need:
             continue
         hits.sort()
-        span, seen, left = int(index.length[item] * p.slack) + p.window, Counter(), 0
-        best = (0, 0, 0)
-        for right, (word, _, k) in enumerate(hits):
-            seen[int(index.key[k])] += 1
-            while word - hits[left][0] > span:
-                old = int(index.key[hits[left][2]])
-                seen[old] -= 1
-                if not seen[old]:
-                    del seen[old]
-                left += 1
-            best = max(best, (len(seen), -left, right))
-        if best[0] < need:
-            continue
-        raw, slot = index.slots[item]
-        pairs = defaultdict(Counter)
-        for word, place, _ in hits[-best[1] : best[2] + 1]:
-            for o in range(min(p.window, len(raw) - place)):
-                if slot[place + o]:
-                    pairs[int(raw[place + o])][int(c.raw[word + o])] += 1
-        votes = sum(sum(v.values()) for v in pairs.values())
-        if votes == 0 or sum(max(v.values()) for v in pairs.values()) >= p.agree * votes:
+        span = int(index.length[item] * p.slack) + p.window
+        best = _stretch(hits, span)
+        if best[0] >= need and _consistent(hits, best, span, need, item, c.raw, index, p):
             found.append((row, item, best[0] / index.distinct[item]))
     return found
 

@@ -268,6 +268,26 @@ def test_decontamination(spark):
     assert not any(r["contaminated"] for r in decontam.decontaminate(docs, bench.limit(0)).collect())
 
 
+def test_decontamination_of_repeated_templates(spark):
+    numbers = "Add 12 34 56 78 91 23 45 67 please now"
+    shop = "The shop sells 12 red pens for 3 dollars and the shop sells 40 red pens for 9 dollars so how much do both cost"
+    again = "The shop sells 12 red pens for 3 dollars and the shop sells 12 red pens for 3 dollars so how much do both cost"
+    fill = " blank then some plain filling that no item of ours has in it. "
+    rows = [
+        (1, numbers), (2, shop), (3, fill + numbers + fill), (4, fill * 40 + shop + fill * 9),
+        (5, fill + shop.replace("12", "71").replace("3 ", "8 ").replace("40", "66").replace("9 ", "5 ") + fill),  # other values
+        (6, fill + shop.replace("both cost", "both really cost") + fill),  # a word put in
+        (7, fill + again.replace("12", "55", 1) + fill),  # one value became two: no copy of `again`, but one of `shop`
+        (8, fill + "Add 1 2 3 4 5 please now" + fill), (9, fill * 30), (10, numbers.replace("34", "99") + "." + fill + numbers),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(20, numbers), (21, shop), (22, again)], "item_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontam.decontaminate(docs, bench).collect()}
+    assert [20 in got[k] for k in range(1, 11)] == [True, False, True, False, False, False, False, False, False, True]
+    assert [21 in got[k] for k in range(1, 11)] == [False, True, False, True, True, True, True, False, False, False]
+    assert not any(22 in x for x in got.values())
+
+
 def test_words_match_python():
     texts = [t or "" for t in some_texts()] + ["\x0b\x0c a\x1fb \x85c"]
     data, off = buffers(pa.array(texts))
