@@ -12,7 +12,8 @@ lengths first, and by bytes only from there on. Equal neighbours are repeats.
 Two sorts are made: of the suffixes at anchors with all bytes that the anchor's
 windows can cover (equal, or alike from the anchor on and so far before it: its
 windows are repeats of the smallest document's), and then of those windows that
-may repeat in suffixes which part from theirs after the anchor. Equality is decided on bytes.
+may repeat in suffixes which part from theirs after the anchor, or that hold the
+anchor's 24-gram twice: equal windows pick either. Equality is decided on bytes.
 """
 
 from __future__ import annotations
@@ -157,6 +158,25 @@ def merged(runs: list[tuple[np.ndarray, list[bytes]]], width: int) -> tuple[np.n
     return out_run, out_lcp
 
 
+def twice(data: np.ndarray, anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start up to which, start from which) windows of first..last hold the anchor's 24-gram at another place too."""
+    padded = np.concatenate([data, np.zeros(LEFT + GRAM + 8, np.uint8)])
+    eight = np.ndarray((len(data) + LEFT + GRAM,), "<u8", padded, strides=(1,))
+    upto, since = np.full(len(anchor), -1, np.int64), np.full(len(anchor), len(data), np.int64)
+    own = eight[anchor]
+    for k in range(LEFT, 0, -1):  # the nearest place last
+        for step, fits in ((-k, anchor - k >= first), (k, anchor + k <= last + LEFT)):
+            i = np.flatnonzero(fits)
+            i = i[eight[anchor[i] + step] == own[i]]
+            for g in range(8, GRAM, 8):
+                i = i[eight[anchor[i] + step + g] == eight[anchor[i] + g]]
+            if step < 0:
+                upto[i] = anchor[i] - k
+            else:
+                since[i] = anchor[i] + k - LEFT
+    return upto, since
+
+
 class Suffixes:
     """A block's window runs and their anchors' suffixes."""
 
@@ -220,7 +240,9 @@ class Suffixes:
         A window that starts o bytes before its anchor can only repeat in a
         suffix with the same SIZE bytes from the anchor on and o alike before
         it, which the merge has told (o <= known), or in one that is alike for
-        SIZE - o at least but not for all SIZE (o >= SIZE - after).
+        SIZE - o at least but not for all SIZE (o >= SIZE - after). That holds
+        where the anchor's 24-gram stands in the window once; of several places
+        the anchor is any, so those windows are sent unless they are repeats for sure.
         """
         n = len(self.sorted)
         held, known, unknown, after = np.zeros(n, bool), np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.zeros(n, np.int64)
@@ -236,12 +258,16 @@ class Suffixes:
         sure = low <= last
         self.sure = low[sure], last[sure]
         still = np.minimum(last, low - 1)
-        open_ = np.flatnonzero((first <= still) & ((anchor - still <= unknown[self.suffix]) | (anchor - first >= SIZE - after[self.suffix])))
+        left = np.flatnonzero(first <= still)
+        anchor, first, still, s, own = anchor[left], first[left], still[left], self.suffix[left], own[left]
+        upto, since = twice(self.data, anchor, first, still)
+        open_ = np.flatnonzero((anchor - still <= unknown[s]) | (anchor - first >= SIZE - after[s]) | (first <= upto) | (still >= since))
         size = still[open_] - first[open_] + 1
         at = np.repeat(first[open_], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         left = np.repeat(anchor[open_], size) - at
-        s = self.suffix[open_]
+        s = s[open_]
         can = (left <= np.repeat(unknown[s], size)) | (left >= np.repeat(SIZE - after[s], size))
+        can |= (at <= np.repeat(upto[open_], size)) | (at >= np.repeat(since[open_], size))
         self.at, self.window_id = at[can], np.repeat(own[open_], size)[can]
         m = rows_at(self.data, self.at, SIZE)
         first, self.window = distinct_sorted(m)

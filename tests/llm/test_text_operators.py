@@ -90,6 +90,23 @@ def test_suffix_dedup(docs, some_blocks):
     assert suffix_dedup.dedup_bytes(docs.limit(0)).count() == 0 and substring_rlz.dedup_words(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_periodic_lines(spark, some_blocks):
+    """Windows that hold their anchor's 24-gram at several places pick any of them, by their position modulo 64."""
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passages = [noise(120) for _ in range(40)]
+    periods = ["-", "=", "ab", "x y", "lo la ", "twelve bytes", "just twenty-six of bytes.. "[:26]]
+    rows = []
+    for k in range(64):
+        lines = [(u * 80)[: 50 + (k * 7 + n) % 27] for n, u in enumerate(periods)]
+        for line in lines:
+            rows.append((len(rows), noise(k) + "\n" + line + "\n" + r.choice(passages) + noise(9)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["n_removed"] for x in suffix_dedup.dedup_bytes(docs, text=False).collect()}
+    want = {doc_id: sum(gone) for doc_id, _, gone in repeats(rows, lambda t: t.encode(), 50)}
+    assert {k: (got[k], v) for k, v in want.items() if got[k] != v} == {}
+
+
 def test_loser_tree():
     r = random.Random(5)
     for k in (1, 2, 3, 7):
