@@ -56,8 +56,8 @@ def shaped(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray
     return np.concatenate([rows, *[np.arange(n)] * len(bins)]), np.concatenate([x, *shape])
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, p: Mix) -> DataFrame:
-    """(doc_id, n_tokens, q): q has each domain's posterior in 1/grid; the q sum to grid."""
+def posteriors(docs: DataFrame, labels: DataFrame, p: Mix, key: str = "doc_id") -> DataFrame:
+    """(doc_id, n_tokens, q): q has each domain's posterior in 1/grid; the q sum to grid. doc_id is the column `key`."""
     domain = F.when(F.col("toxic") == 1, 2.0).when(F.col("quality") == 0, 1.0).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0.0)
     known = labels.select("doc_id", domain.alias("domain"))
     models = train(docs, known, "domain", p.classifier, [float(k) for k in range(len(DOMAINS))], shaped)
@@ -86,7 +86,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, p: Mix) -> DataFrame:
             q[np.arange(len(q)), top] += grid - q.sum(axis=1)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(tokens), pa.array(list(q), pa.list_(pa.int64()))], ["doc_id", "n_tokens", "q"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(score, "doc_id long, n_tokens long, q array<bigint>")
 
 
@@ -127,15 +127,16 @@ def fit_rates(cells: DataFrame, p: Mix) -> list[list[float]]:
     return history
 
 
-def mix_rates(docs: DataFrame, labels: DataFrame, p: Mix = Mix()) -> DataFrame:
+def mix_rates(docs: DataFrame, labels: DataFrame, p: Mix = Mix(), key: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, p_good, p_low, p_toxic, rate of every document.
 
     A null or empty text has no tokens and gets its posterior's rate all the
     same. A domain that no document can belong to leaves its target unmet.
     Without labels every posterior is even and the rates are equal. Repeated
-    rows count each; an empty table gives no rows; other columns are not read.
+    rows count each; an empty table gives no rows; other columns are not read,
+    but for `key`, which then stands as doc_id in the result (labels go by doc_id).
     """
-    scored = checkpointed(posteriors(docs, labels, p))  # narrow: a count and three small numbers a document
+    scored = checkpointed(posteriors(docs, labels, p, key))  # narrow: a count and three small numbers a document
     # (grid + 1) ** (domains - 1) cells at most, so few tasks do for each step
     cells = checkpointed(scored.groupBy("q").agg(F.sum("n_tokens").alias("tokens")).coalesce(8))
     history = fit_rates(cells, p)

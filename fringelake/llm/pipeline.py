@@ -13,28 +13,45 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import decontam, mixing, pii, quality, simhash
 from .session import checkpoint_folder, checkpointed, table
 
+#: Rows are told apart by a hash of all their columns: ids may be null or shared by unlike texts.
+KEY = "__row_key"
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with a key of the row's content; rows of one key are copies in all columns."""
+    nulls = F.array(*[F.col(f"`{c}`").isNull() for c in docs.columns])  # the hash skips nulls
+    return docs.withColumn(KEY, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], nulls))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """Keyed `docs` with the key as doc_id, for operators that tell rows apart by it alone."""
+    return docs.withColumn("doc_id", F.col(KEY))
+
 
 def _of(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is among the verdicts'; a null id matches a null one."""
-    ids = verdicts.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    """Rows of the keyed `docs` whose key is among the verdicts' doc_ids."""
+    return docs.join(verdicts.select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return _of(docs, quality.quality(docs).where("kept"))
+    keyed = _keyed(docs)
+    return _of(keyed, quality.quality(_judged(keyed)).where("kept")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest doc_id stays; of its repeated rows, one."""
-    groups = simhash.near_duplicates(docs)
-    first = checkpointed(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    return _of(docs, first).dropDuplicates(["doc_id"])
+    """Of each group of near-duplicates one row of the smallest doc_id stays (a null one counts as larger than all others)."""
+    keyed = _keyed(docs)
+    groups = simhash.near_duplicates(_judged(keyed)).select(F.col("doc_id").alias(KEY), "component_id").distinct()
+    ids = keyed.select(KEY, F.col("doc_id").cast("long").alias("id")).distinct()
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col(KEY))
+    first = groups.join(ids, KEY).groupBy("component_id").agg(F.min(order)[KEY].alias("doc_id"))
+    return _of(keyed, checkpointed(first)).dropDuplicates([KEY]).select(*docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _of(docs, decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
+    keyed = _keyed(docs)
+    return _of(keyed, decontam.decontaminate(_judged(keyed), table(spark, sf_dir, "benchmark")).where("not contaminated")).select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +62,9 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds n_tokens, the posteriors and the rate of each document."""
-    rates = mixing.mix_rates(docs, table(spark, sf_dir, "labels")).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rated_id")
-    return docs.join(rates, docs["doc_id"].eqNullSafe(rates["rated_id"])).drop("rated_id")
+    keyed = _keyed(docs)
+    rates = mixing.mix_rates(keyed, table(spark, sf_dir, "labels"), key=KEY).withColumnRenamed("doc_id", KEY)
+    return keyed.join(rates.dropDuplicates([KEY]), KEY).drop(KEY)
 
 
 STAGES = [

@@ -82,3 +82,21 @@ def test_pipeline(spark, sf):
     n = out.count()
     assert 0 < n < docs.count() and out.select("doc_id").distinct().count() == n
     assert out.where("text rlike '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9-]+'").count() == 0
+
+
+def test_stages_tell_rows_apart_without_ids(spark, tmp_path):
+    """Rows with a null or shared doc_id are judged each."""
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ra", "so", "tu") for b in ("bin", "cor", "dal", "fen", "gam", "hol", "jur")]
+    text = lambda k: " ".join(words[(k * 17 + i * i * (k + 3) + 5 * i) % len(words)] + str(k) for i in range(60))
+    item = "what is the height of the old tower in the middle of the town when measured from the ground"
+    rows = [(3, text(0)), (7, text(0)), (7, text(1)), (None, text(2)), (None, text(3)), (None, text(3)), (None, text(0)), (8, text(4) + " " + item), (8, text(5)), (9, "short"), (9, text(6))]
+    docs = spark.createDataFrame([(d, t, "en", None, len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(3, 1, 0), (7, 0, 0), (8, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    held = lambda df: sorted((str(r["doc_id"]), r["text"]) for r in df.collect())
+    want = lambda *k: sorted((str(rows[i][0]), rows[i][1]) for i in k)
+    assert held(pipeline.quality_rules(spark, docs, str(tmp_path))) == want(0, 1, 2, 3, 4, 5, 6, 7, 8, 10)
+    assert held(pipeline.near_duplicates(spark, docs, str(tmp_path))) == want(0, 2, 3, 4, 7, 8, 9, 10)
+    assert held(pipeline.benchmark_free(spark, docs, str(tmp_path))) == want(0, 1, 2, 3, 4, 5, 6, 8, 9, 10)
+    mixed = pipeline.mixed(spark, docs, str(tmp_path))
+    assert held(mixed) == want(*range(len(rows))) and all(r["n_tokens"] == len(r["text"].split()) for r in mixed.collect())
