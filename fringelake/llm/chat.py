@@ -43,32 +43,35 @@ def _problems(schemas: Schemas) -> Column:
     return out.otherwise(F.array(F.lit("unknown tool")))
 
 
-def _levels(calls: DataFrame, depth: int) -> DataFrame:
-    """(conv_id, call_id, level) of the calls that a chain of at most `depth` others precedes; calls in a cycle have none."""
+def _levels(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level): how long a chain of others precedes a call; calls in or behind a cycle have none."""
     mention = F.explode(F.regexp_extract_all(F.to_json("args"), F.lit(r'"\$([^"\\]+)"'), F.lit(1))).alias("needs")
     ids = calls.select("conv_id", "call_id").distinct()
     needs = calls.select("conv_id", "call_id", mention).distinct()
     needs = checkpointed(needs.join(ids.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"]))
     waiting = checkpointed(needs.select("conv_id", "call_id").distinct())
     levels = ids.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    for level in range(1, depth + 1):
-        if waiting.isEmpty():
+    level, n = 0, waiting.count()
+    while n:
+        # what a call needs that has a level holds it up no more
+        needs = needs.join(waiting.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi")
+        rest = checkpointed(needs.select("conv_id", "call_id").distinct())
+        left = rest.count()
+        if left == n:
             break
-        blocked = needs.join(waiting.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi").select("conv_id", "call_id").distinct()
-        free = waiting.join(blocked, ["conv_id", "call_id"], "left_anti")
-        levels = levels.unionByName(free.withColumn("level", F.lit(level)))
-        rest = checkpointed(blocked.join(waiting, ["conv_id", "call_id"], "left_semi"))
-        if free.isEmpty():
-            break
-        waiting = rest
+        level += 1
+        levels = levels.unionByName(waiting.join(rest, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
+        waiting, n = rest, left
+        if level % 8 == 0:  # plans stay short however long the chains
+            levels, needs = checkpointed(levels), checkpointed(needs)
     return levels
 
 
-def linked_chats(conversations: DataFrame, schemas: Schemas = TOOLS, depth: int = 32) -> DataFrame:
+def linked_chats(conversations: DataFrame, schemas: Schemas = TOOLS) -> DataFrame:
     """conv_id, turn, level, seq, kind, role, call_id, status, json.
 
     kind is message, call or result. status is ok for messages; for calls ok,
-    unanswered, duplicate (a later use of an identifier), cycle, or invalid
+    unanswered, duplicate (a later use of an identifier), cycle (in one or behind it), or invalid
     with the complaints; for results ok, or orphan, duplicate. A null text is a message
     with null content; JSON that does not parse, or lacks these fields, is an
     ordinary message. Repeated rows give repeated messages; equal calls count
@@ -98,7 +101,7 @@ def linked_chats(conversations: DataFrame, schemas: Schemas = TOOLS, depth: int
     key = ["conv_id", "call_id"]
     first_call = calls.groupBy(key).agg(F.min(F.struct("turn", "seq")).alias("first"))
     first_result = results.groupBy(key).agg(F.min("turn").alias("answered"))
-    levels = _levels(calls.join(first_call, key).where((F.col("turn") == F.col("first.turn")) & (F.col("seq") == F.col("first.seq"))), depth)
+    levels = _levels(calls.join(first_call, key).where((F.col("turn") == F.col("first.turn")) & (F.col("seq") == F.col("first.seq"))))
 
     linked = calls.join(first_call, key, "left").join(first_result, key, "left").join(levels, key, "left")
     own = (F.col("turn") == F.col("first.turn")) & (F.col("seq") == F.col("first.seq"))

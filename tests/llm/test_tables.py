@@ -48,6 +48,14 @@ def test_urls(spark):
     assert urls.url_verdicts(pages.limit(0)).count() == 0
 
 
+def test_long_chains_of_calls_have_levels(spark):
+    calls = [(f"c{k}", "calculator", {"expression": f"$c{k - 1}" if k else "1"}) for k in range(40)]
+    loop = [("a", "calculator", {"expression": "$b"}), ("b", "calculator", {"expression": "$a"}), ("d", "calculator", {"expression": "$a"})]
+    c = spark.createDataFrame([(1, 0, "assistant", CALL(*calls[::-1])), (2, 0, "assistant", CALL(*loop))], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["call_id"]): (r["level"], r["status"]) for r in chat.linked_chats(c).collect()}
+    assert got == {(1, f"c{k}"): (k, "unanswered") for k in range(40)} | {(2, k): (0, "cycle") for k in "abd"}
+
+
 def test_segmentation_is_best():
     counts = {"free": 5, "bets": 5, "fre": 1, "ebets": 1}
     assert urls.segment("freebets", counts, 100.0) == ["free", "bets"]
