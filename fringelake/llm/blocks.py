@@ -7,9 +7,12 @@ brings back a few bits per key. A key is sent once a block, however many of
 its documents hold it, so a hot key costs a part as many entries as there are
 blocks, and the answers never expand into pairs.
 
-Anchors: each window of `size` symbols picks the k-gram of least hash in it.
-Equal windows pick equal k-grams, so a window can only repeat where its
-anchor's k-gram does.
+Anchors: each window of `size` symbols picks the leftmost of the k-grams of
+least hash in it. Equal windows pick equal k-grams at equal places, so a window
+can only repeat where its anchor's k-gram does, and alike around it.
+
+What a block has worked out (its anchors, its windows) travels along with a
+trip as its state, so that the next trip goes on from there.
 """
 
 from __future__ import annotations
@@ -100,8 +103,8 @@ def packed(docs: DataFrame) -> tuple[DataFrame, int, int]:
 
 MESSAGE = "part long, block long, kind int, body binary"
 REPLY = "block long, part long, kind int, body binary"
-#: Replies of an earlier trip travel on to the block with this flag.
-CARRIED = 1 << 16
+#: The kind of a block's state, which a part sends back as it is.
+STATE = 0
 
 Replies = dict[int, dict[int, list[np.ndarray]]]
 
@@ -112,19 +115,33 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     return pa.table([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, cols)], names)
 
 
-def send(blocks: DataFrame, replies: DataFrame | None, kind: int, parts: int, ask: Callable[[Block, Replies], dict[int, bytes]]) -> DataFrame:
-    """Messages of trip `kind`: ask(block, replies so far) gives a body for each part."""
+def _rows(table: pa.Table | None) -> list[tuple[int, int, bytes]]:
+    if table is None:
+        return []
+    return sorted(zip(column(table, "part").to_pylist(), column(table, "kind").to_pylist(), column(table, "body").to_pylist()))
+
+
+def _replies(table: pa.Table | None) -> Replies:
+    had: Replies = {}
+    for part, k, body in _rows(table):
+        had.setdefault(k, {})[part] = load(body)
+    return had
+
+
+def state(replies: Replies) -> list[np.ndarray]:
+    """The block's state of the trip before."""
+    return next(iter(replies[STATE].values()))
+
+
+def send(blocks: DataFrame, replies: DataFrame | None, kind: int, parts: int, ask: Callable[[Block, Replies], tuple[dict[int, bytes], bytes]]) -> DataFrame:
+    """Messages of trip `kind`: ask(block, replies of the trip before) gives a body for each part, and the block's state."""
 
     def work(left: pa.Table, right: pa.Table | None) -> pa.Table:
         rows = []
         if left.num_rows:
             block = column(left, "block")[0].as_py()
-            had: Replies = {}
-            for part, k, body in _rows(right):
-                had.setdefault(k, {})[part] = load(body)
-                rows.append((part % parts, block, k | CARRIED, part.to_bytes(8, "little") + body))
-            got = ask(Block.of(x.as_py() for x in column(left, "docs")), had)
-            rows += [(p, block, kind, body) for p, body in sorted(got.items())]
+            got, kept = ask(Block.of(x.as_py() for x in column(left, "docs")), _replies(right))
+            rows = [(p, block, kind, body) for p, body in sorted(got.items())] + [(block % parts, block, STATE, kept)]
         return _table(rows, ["part", "block", "kind", "body"])
 
     if replies is None:
@@ -132,12 +149,6 @@ def send(blocks: DataFrame, replies: DataFrame | None, kind: int, parts: int, as
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(work, MESSAGE)
 
 
-def _rows(table: pa.Table | None) -> list[tuple[int, int, bytes]]:
-    if table is None:
-        return []
-    return sorted(zip(column(table, "part").to_pylist(), column(table, "kind").to_pylist(), column(table, "body").to_pylist()))
-
-
 def answer(messages: DataFrame, judge: Callable[[list[list[np.ndarray]]], list[list[np.ndarray]]]) -> DataFrame:
     """Replies: judge(bodies of a part, one a block in order) gives a body for each."""
 
@@ -145,8 +156,8 @@ def answer(messages: DataFrame, judge: Callable[[list[list[np.ndarray]]], list[l
         rows, ask = [], []
         part = column(table, "part")[0].as_py()
         for block, kind, body in sorted(zip(column(table, "block").to_pylist(), column(table, "kind").to_pylist(), column(table, "body").to_pylist())):
-            if kind & CARRIED:
-                rows.append((block, int.from_bytes(body[:8], "little"), kind ^ CARRIED, body[8:]))
+            if kind == STATE:
+                rows.append((block, part, kind, body))
             else:
                 ask.append((block, kind, load(body)))
         for (block, kind, _), got in zip(ask, judge([a for _, _, a in ask]) if ask else []):
@@ -162,10 +173,7 @@ def conclude(blocks: DataFrame, replies: DataFrame, schema: str, result: Callabl
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return empty.empty_table()
-        had: Replies = {}
-        for part, k, body in _rows(right):
-            had.setdefault(k, {})[part] = load(body)
-        return result(Block.of(x.as_py() for x in column(left, "docs")), had)
+        return result(Block.of(x.as_py() for x in column(left, "docs")), _replies(right))
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(work, schema)
 
@@ -187,11 +195,11 @@ class Runs:
 def window_runs(grams: np.ndarray, offsets: np.ndarray, size: int, k: int) -> Runs:
     """`grams`: hash of the k-gram at each symbol; `offsets`: of the texts, in symbols."""
     n, width = len(grams), size - k + 1
-    assert width <= 64
     none = np.zeros(0, np.int64)
     if n < size:
         return Runs(none, none, none)
-    least = (grams & ~U64(63)) | (np.arange(n, dtype=U64) & U64(63))
+    place = U64((1 << n.bit_length()) - 1)  # the position stands in the low bits: of equal hashes the leftmost is least
+    least = (grams & ~place) | np.arange(n, dtype=U64)
     span = 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -199,8 +207,7 @@ def window_runs(grams: np.ndarray, offsets: np.ndarray, size: int, k: int) -> Ru
     if span < width:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
     p = np.arange(n - size + 1)
-    least = least[: len(p)]
-    at = p + (((least & U64(63)).astype(np.int64) - p) & 63)
+    at = (least[: len(p)] & place).astype(np.int64)
     # windows within one text
     fits = np.zeros(n + 1, np.int64)
     longer = np.flatnonzero(np.diff(offsets) >= size)
@@ -215,6 +222,22 @@ def window_runs(grams: np.ndarray, offsets: np.ndarray, size: int, k: int) -> Ru
     return Runs(p[new], p[ends], at[new])
 
 
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each, `size` of them."""
+    return np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def coded(sorted_values: np.ndarray) -> np.ndarray:
+    """Steps between ascending numbers, in the least type that holds them."""
+    steps = np.diff(sorted_values, prepend=0)
+    most = int(steps.max()) if len(steps) else 0
+    return steps.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64)
+
+
+def values(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.int64)
+
+
 def bits(*flags: np.ndarray) -> list[np.ndarray]:
     return [np.array([len(flags[0])], np.int64), *(np.packbits(f) for f in flags)]
 

@@ -1,19 +1,21 @@
 """Suffix-array dedup: a common-prefix-aware distributed merge sort of text suffixes.
 
 A sparse suffix array is sorted: of each window of 50 bytes only the suffix at
-its anchor (the 24-gram of least hash in it) takes part, and only where that
-24-gram stands in another document too, which a first round trip of hashes
+its anchor (the leftmost 24-gram of least hash in it) takes part, and only where
+that 24-gram stands in another document too, which a first round trip of hashes
 tells. Each block sorts its suffixes into runs without equals, front-codes them
 (length of the common prefix with the one before, then the rest) and sends
-ranges of them to parts. A part merges its runs with a loser tree that carries
+ranges of them to parts. A part merges its runs with loser trees that carry
 each run's common prefix with the last winner: two heads are compared by these
 lengths first, and by bytes only from there on. Equal neighbours are repeats.
+The keys of a part are cut into many short lanes, each with a tree of its own,
+and all trees of a part play each round together in NumPy.
 
 Two sorts are made: of the suffixes at anchors with all bytes that the anchor's
 windows can cover (equal, or alike from the anchor on and so far before it: its
 windows are repeats of the smallest document's), and then of those windows that
-may repeat in suffixes which part from theirs after the anchor, or that hold the
-anchor's 24-gram twice: equal windows pick either. Equality is decided on bytes.
+may repeat in suffixes which part from theirs after the anchor. Equality is
+decided on bytes.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import Block, Replies, Runs, answer, bits, conclude, covered, dump, flags, packed, send, window_runs
+from .blocks import Block, Replies, Runs, answer, bits, coded, conclude, covered, dump, flags, packed, send, spread, state, values, window_runs
 from .textkit import U64, buffers, column, mix, slices
 
 SIZE, GRAM = 50, 24
@@ -33,21 +35,30 @@ LEFT = SIZE - GRAM
 #: Bytes of a sorted suffix: from the anchor on, then those before it, then how many each are.
 WIDTH = SIZE + LEFT + 2
 SHARED, SUFFIXES, WINDOWS = 1, 2, 3
-#: Sampled keys a part, for the ranges of the merge sort.
-SAMPLE = 32
+#: Ranges of the merge sort at most (more parts split a range by its 24-grams), and sampled keys a range.
+RANGES, SAMPLE = 1024, 16
+#: Suffixes cut out and sorted at a time.
+PIECE = 1 << 18
+#: Keys of a lane of the merge, about.
+LANE = 64
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each position; those past the end are zero."""
-    padded = np.concatenate([data, np.zeros(GRAM + 8, np.uint8)])
+def gram_hashes(data: np.ndarray, at: np.ndarray | slice | None = None) -> np.ndarray:
+    """Hash of the GRAM bytes from each position (or from those of `at`); bytes past the end are zero."""
     n = len(data)
-    eight = np.ndarray((n + GRAM,), "<u8", padded, strides=(1,)).astype(U64)  # the 8 bytes from each position
-    h = eight[:n] * U64(0x9E3779B97F4A7C15)
+    padded = np.concatenate([data, np.zeros(GRAM + 8, np.uint8)])
+    eight = np.ndarray((n + GRAM,), "<u8", padded, strides=(1,))  # the 8 bytes from each position
+    if at is None:
+        eight = eight.astype(U64)
+        a, b, c = eight[:n], eight[8 : n + 8], eight[16 : n + 16]
+    else:
+        a, b, c = eight[at], eight[at + 8], eight[at + 16]
+    h = a * U64(0x9E3779B97F4A7C15)
     h ^= h >> U64(29)
-    h += eight[8 : n + 8]
+    h += b
     h *= U64(0xC2B2AE3D27D4EB4F)
     h ^= h >> U64(31)
-    h += eight[16 : n + 16]
+    h += c
     return mix(h)
 
 
@@ -58,11 +69,15 @@ def rows_at(data: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(data, n)[start]
 
 
+def strings(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel() if len(rows) else np.zeros(0, f"S{rows.shape[1]}")
+
+
 def distinct_sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first of each distinct row in sorted order, entry of each row)."""
     if not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys = np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
+    keys = strings(rows)
     order = np.argsort(keys, kind="stable")
     s = keys[order]
     new = np.r_[True, s[1:] != s[:-1]]
@@ -89,214 +104,275 @@ def decoded(lcp: np.ndarray, rest: np.ndarray, width: int) -> list[bytes]:
     return out
 
 
-def merged(runs: list[tuple[np.ndarray, list[bytes]]], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order and common prefixes of the merged runs, by a loser tree.
+class Trees:
+    """Loser trees over the same runs, one a lane; each round every lane that goes on gives its next row.
 
-    runs: (common prefixes within the run, strings). Returns the run of each
-    output in order (each run's own order is kept) and the common prefix of
-    each output with the one before.
+    rows: all runs' rows one after the other, `lcp` their common prefixes
+    within the run; low, high: (lanes, runs) ranges of rows.
     """
-    k = len(runs)
-    total = sum(len(s) for _, s in runs)
-    out_run, out_lcp = np.empty(total, np.int32), np.empty(total, np.uint8)
-    prefixes = [p.tolist() for p, _ in runs]
-    strings = [s for _, s in runs]
-    at = [0] * k
-    size = k  # leaves size..2 * size - 1 of a complete tree
-    # head[r]: string, common[r]: its common prefix with the last winner; an ended run loses always
-    head: list[bytes | None] = [s[0] if s else None for s in strings]
-    common = [0 if h is not None else -1 for h in head]
-    tree = [0] * size  # losers at inner nodes
-
-    def play(a: int, b: int) -> tuple[int, int]:
-        """(winner, loser); the loser's common prefix becomes the one with the winner."""
-        x, y = common[a], common[b]
-        if x != y:
-            return (a, b) if x > y else (b, a)
-        if x < 0:
-            return a, b
-        p, q = head[a], head[b]
-        while x < width:
-            diff = int.from_bytes(p[x : x + 8], "big") ^ int.from_bytes(q[x : x + 8], "big")
-            if diff:
-                piece = min(8, width - x)
-                x += piece - (diff.bit_length() + 7) // 8
-                if p[x] < q[x]:
-                    common[b] = x
-                    return a, b
-                common[a] = x
-                return b, a
-            x += 8
-        common[b] = width
-        return a, b
-
-    def build(node: int) -> int:
-        if node >= size:
-            return node - size
-        win, tree[node] = play(build(2 * node), build(2 * node + 1))
-        return win
-
-    winner = build(1) if size > 1 else 0
-    for n in range(total):
-        out_run[n], out_lcp[n] = winner, common[winner]
-        i = at[winner] = at[winner] + 1
-        if i < len(strings[winner]):
-            head[winner], common[winner] = strings[winner][i], prefixes[winner][i]
-        else:
-            head[winner], common[winner] = None, -1
-        node = (winner + size) >> 1
-        while node:
-            other = tree[node]
-            x, y = common[winner], common[other]
-            if x > y:
-                pass
-            elif x < y:
-                tree[node], winner = winner, other
-            elif x >= 0:
-                winner, tree[node] = play(winner, other)
+
+    def __init__(self, rows: np.ndarray, lcp: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.width, n = rows.shape[1], len(rows)
+        self.stride = -(-(self.width + 8) // 8) * 8
+        padded = np.zeros((n, self.stride), np.uint8)
+        padded[:, : self.width] = rows
+        flat = padded.ravel()
+        self.eight = np.ndarray((len(flat) - 7,), "<u8", flat, strides=(1,)) if n else np.zeros(0, U64)
+        self.lcp = lcp.astype(np.int16)
+        self.size = 1 << max(1, (low.shape[1] - 1).bit_length())
+        more = ((0, 0), (0, self.size - low.shape[1]))
+        self.at, self.end = np.pad(low, more), np.pad(high, more)
+        #: common prefix of each head with its lane's last winner; an ended run loses always
+        self.common = np.where(self.at < self.end, 0, -1).astype(np.int16)
+        self.tree = np.zeros((len(low), self.size), np.int16)
+        winners = np.broadcast_to(np.arange(self.size, dtype=np.int16), (len(low), self.size))
+        lanes = np.arange(len(low))
+        for half in (1 << k for k in range(self.size.bit_length() - 2, -1, -1)):
+            a, b = winners[:, ::2].ravel(), winners[:, 1::2].ravel()
+            won, lost = self.play(np.repeat(lanes, half), a, b)
+            self.tree[:, half : 2 * half] = lost.reshape(-1, half)
+            winners = won.reshape(-1, half)
+        self.winner = winners[:, 0].copy()
+
+    def play(self, lanes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(winner, loser) of each pair; the loser's common prefix becomes the one with the winner."""
+        x, y = self.common[lanes, a], self.common[lanes, b]
+        swap = x < y
+        tie = np.flatnonzero((x == y) & (x >= 0))
+        if len(tie):
+            p, q = self.at[lanes[tie], a[tie]] * self.stride, self.at[lanes[tie], b[tie]] * self.stride
+            reach = x[tie].astype(np.int64)
+            less = np.zeros(len(tie), bool)
+            still = np.arange(len(tie))
+            while len(still):
+                u, v = self.eight[p[still] + reach[still]], self.eight[q[still] + reach[still]]
+                d = u ^ v
+                same = d == 0
+                bit = d & (~d + U64(1))  # the lowest set bit stands in the first byte that differs
+                byte = np.where(same, 8, (np.frexp(np.where(same, U64(1), bit).astype(np.float64))[1] - 1) >> 3)
+                reach[still] = np.minimum(self.width, reach[still] + byte)
+                shift = np.minimum(byte, 7).astype(U64) * U64(8)
+                less[still] = ~same & (((u >> shift) & U64(255)) > ((v >> shift) & U64(255)))
+                still = still[same & (reach[still] < self.width)]
+            swap[tie] = less  # the second is the smaller one
+            loser = np.where(less, a[tie], b[tie])
+            self.common[lanes[tie], loser] = reach
+        return np.where(swap, b, a), np.where(swap, a, b)
+
+    def round(self, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, common prefix with the lane's row before) that each of the lanes gives."""
+        won = self.winner[lanes]
+        row, common = self.at[lanes, won], self.common[lanes, won]
+        self.at[lanes, won] = row + 1
+        on = row + 1 < self.end[lanes, won]
+        self.common[lanes, won] = np.where(on, self.lcp[np.minimum(row + 1, len(self.lcp) - 1)], -1)
+        node = (won.astype(np.int64) + self.size) >> 1
+        while self.size > 1 and node[0]:
+            won, self.tree[lanes, node] = self.play(lanes, won, self.tree[lanes, node])
             node >>= 1
-    return out_run, out_lcp
-
-
-def twice(data: np.ndarray, anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start up to which, start from which) windows of first..last hold the anchor's 24-gram at another place too."""
-    padded = np.concatenate([data, np.zeros(LEFT + GRAM + 8, np.uint8)])
-    eight = np.ndarray((len(data) + LEFT + GRAM,), "<u8", padded, strides=(1,))
-    upto, since = np.full(len(anchor), -1, np.int64), np.full(len(anchor), len(data), np.int64)
-    own = eight[anchor]
-    for k in range(LEFT, 0, -1):  # the nearest place last
-        for step, fits in ((-k, anchor - k >= first), (k, anchor + k <= last + LEFT)):
-            i = np.flatnonzero(fits)
-            i = i[eight[anchor[i] + step] == own[i]]
-            for g in range(8, GRAM, 8):
-                i = i[eight[anchor[i] + step + g] == eight[anchor[i] + g]]
-            if step < 0:
-                upto[i] = anchor[i] - k
-            else:
-                since[i] = anchor[i] + k - LEFT
-    return upto, since
-
-
-class Suffixes:
-    """A block's window runs and their anchors' suffixes."""
-
-    def __init__(self, block: Block):
-        self.block, self.data = block, block.data
-        off = block.offsets
-        runs, grams = [], []
-        for i, j in slices(off):
-            base = int(off[i])
-            part, own = block.data[base : off[j]], off[i : j + 1] - base
-            h = gram_hashes(part)
-            r = window_runs(h, own, SIZE, GRAM)
-            grams.append(h[r.anchor] >> U64(16))
-            runs.append(Runs(r.first + base, r.last + base, r.anchor + base))
-        self.runs = Runs.join(runs)
-        gram = np.concatenate(grams) if grams else np.zeros(0, U64)
-        self.row = np.searchsorted(off, self.runs.anchor, side="right") - 1
-        self.id = block.ids[self.row]
-        self.gram, at, self.entry = np.unique(gram, return_index=True, return_inverse=True)
-        # does a 24-gram stand in two of the block's documents?
-        self.several = np.zeros(len(self.gram), bool)
-        self.several[self.entry[self.id != self.id[at][self.entry]]] = True
-        self.shared = np.zeros(0, bool)
-
-    def _parts(self, parts: int) -> np.ndarray:
-        return (self.gram >> U64(8)) % U64(parts)
-
-    def ask_shared(self, parts: int) -> dict[int, bytes]:
-        which = self._parts(parts)
-        out = {}
-        for p in np.unique(which).tolist():
-            k = np.flatnonzero(which == p)
-            out[int(p)] = dump(np.diff(self.gram[k], prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.ravel().copy(), np.packbits(self.several[k]))
-        return out
-
-    def take_shared(self, replies: Replies, parts: int) -> None:
-        """Sorted distinct suffixes of the anchors whose 24-gram other documents have too."""
-        known = np.zeros(len(self.gram), bool)
-        which = self._parts(parts)
-        for p, body in replies.get(SHARED, {}).items():
-            known[which == p] = flags(body)[0]
-        self.live = np.flatnonzero(known[self.entry])
-        anchor, row = self.runs.anchor[self.live], self.row[self.live]
-        off = self.block.offsets
-        left, right = np.minimum(LEFT, anchor - off[row]), np.minimum(SIZE, off[row + 1] - anchor)
-        padded = np.concatenate([np.zeros(LEFT, np.uint8), self.data, np.zeros(SIZE, np.uint8)])
-        m = np.empty((len(anchor), WIDTH), np.uint8)
-        m[:, :SIZE] = rows_at(padded, anchor + LEFT, SIZE)
-        m[:, SIZE : SIZE + LEFT] = rows_at(padded, anchor, LEFT)[:, ::-1]
-        m[:, :SIZE][np.arange(SIZE) >= right[:, None]] = 0
-        m[:, SIZE : SIZE + LEFT][np.arange(LEFT) >= left[:, None]] = 0
-        m[:, -2], m[:, -1] = right + 1, left + 1
-        first, self.suffix = distinct_sorted(m)
-        self.sorted = m[first]
-        own = self.id[self.live]
-        self.least = own[first]  # rows are in order of doc_id, and the sort is stable
-
-    def take_suffixes(self, replies: Replies, cuts: np.ndarray) -> None:
-        """Windows that are repeats for sure, and the sorted ones that still can be.
-
-        A window that starts o bytes before its anchor can only repeat in a
-        suffix with the same SIZE bytes from the anchor on and o alike before
-        it, which the merge has told (o <= known), or in one that is alike for
-        SIZE - o at least but not for all SIZE (o >= SIZE - after). That holds
-        where the anchor's 24-gram stands in the window once; of several places
-        the anchor is any, so those windows are sent unless they are repeats for sure.
-        """
-        n = len(self.sorted)
-        held, known, unknown, after = np.zeros(n, bool), np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.zeros(n, np.int64)
-        which = ranges(self.sorted, cuts)
-        for p, body in replies.get(SUFFIXES, {}).items():
-            k = which == p
-            held[k], known[k], unknown[k], after[k] = flags(body[:2])[0], body[2], body[3], body[4]
-        own = self.id[self.live]
-        known[held] = SIZE  # more than any window's distance
-        known = np.where(own > self.least[self.suffix], SIZE, known[self.suffix])
-        anchor, first, last = self.runs.anchor[self.live], self.runs.first[self.live], self.runs.last[self.live]
-        low = np.maximum(first, anchor - known)
-        sure = low <= last
-        self.sure = low[sure], last[sure]
-        still = np.minimum(last, low - 1)
-        left = np.flatnonzero(first <= still)
-        anchor, first, still, s, own = anchor[left], first[left], still[left], self.suffix[left], own[left]
-        upto, since = twice(self.data, anchor, first, still)
-        open_ = np.flatnonzero((anchor - still <= unknown[s]) | (anchor - first >= SIZE - after[s]) | (first <= upto) | (still >= since))
-        size = still[open_] - first[open_] + 1
-        at = np.repeat(first[open_], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        left = np.repeat(anchor[open_], size) - at
-        s = s[open_]
-        can = (left <= np.repeat(unknown[s], size)) | (left >= np.repeat(SIZE - after[s], size))
-        can |= (at <= np.repeat(upto[open_], size)) | (at >= np.repeat(since[open_], size))
-        self.at, self.window_id = at[can], np.repeat(own[open_], size)[can]
-        m = rows_at(self.data, self.at, SIZE)
-        first, self.window = distinct_sorted(m)
-        self.windows, self.window_least = m[first], self.window_id[first]
-
-    def removed(self, replies: Replies, cuts: np.ndarray) -> np.ndarray:
-        held = np.zeros(len(self.windows), bool)
-        which = ranges(self.windows, cuts)
-        for p, body in replies.get(WINDOWS, {}).items():
-            held[which == p] = flags(body)[0]
-        hit = self.at[held[self.window] | (self.window_id > self.window_least[self.window])]
-        return covered(len(self.data), np.r_[self.sure[0], hit], np.r_[self.sure[1], hit], SIZE)
-
-
-def ranges(rows: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Part of each sorted row; a frequent beginning is split by the bytes that follow."""
-    whole = np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel() if len(rows) else np.zeros(0, "S1")
-    return np.searchsorted(cuts, whole, side="right")
-
-
-def run_messages(rows: np.ndarray, least: np.ndarray, cuts: np.ndarray) -> dict[int, bytes]:
-    which, out = ranges(rows, cuts), {}
-    for p in np.unique(which).tolist():
-        k = np.flatnonzero(which == p)
+        self.winner[lanes] = won
+        return row, common
+
+
+def merge_rows(sizes: list[int], lcp: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of all runs' rows, common prefix of each with the one before); equal rows stand together."""
+    total = len(rows)
+    if not total:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    keys = strings(rows)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    step = max(1, LANE // 4)
+    picked = np.sort(np.concatenate([keys[a + step // 2 : b : step] for a, b in zip(begins.tolist(), ends.tolist())] + [keys[:1]]))
+    splits = np.unique(picked[4::4])
+    inner = np.stack([a + np.searchsorted(keys[a:b], splits) for a, b in zip(begins.tolist(), ends.tolist())], axis=1) if len(splits) else np.zeros((0, len(sizes)), np.int64)
+    edges = np.concatenate([begins[None, :], inner, ends[None, :]])
+    low, high = edges[:-1], edges[1:]
+    each = (high - low).sum(axis=1)
+    keep = np.flatnonzero(each)
+    low, high, each = low[keep], high[keep], each[keep]
+    out = np.cumsum(each) - each
+    trees = Trees(rows, lcp, low, high)
+    order, common = np.empty(total, np.int64), np.empty(total, np.uint8)
+    lanes = np.argsort(-each, kind="stable")
+    counts = each[lanes]
+    for k in range(int(counts[0])):
+        lanes = lanes[: np.searchsorted(-counts[: len(lanes)], -k, side="left")]
+        row, c = trees.round(lanes)
+        order[out[lanes] + k], common[out[lanes] + k] = row, c
+    joints = out[1:]
+    a, b = rows[order[joints - 1]], rows[order[joints]]
+    unlike = a != b
+    common[joints] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), rows.shape[1])
+    common[0] = 0
+    return order, common
+
+
+def merged(runs: list[tuple[np.ndarray, list[bytes]]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Run of each output in order (each run's own order is kept) and its common prefix with the one before."""
+    sizes = [len(s) for _, s in runs]
+    rows = np.frombuffer(b"".join(b"".join(s) for _, s in runs), np.uint8).reshape(-1, width)
+    order, common = merge_rows(sizes, np.concatenate([p for p, _ in runs]), rows)
+    return np.searchsorted(np.cumsum(sizes), order, side="right"), common
+
+
+def dealt(which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, its entries in order) of each part that has some."""
+    order = np.argsort(which, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, which[order][1:] != which[order][:-1]]) if len(which) else np.zeros(0, np.int64)
+    for k in np.split(order, cuts[1:]) if len(cuts) else ():
+        yield int(which[k[0]]), k
+
+
+def gathered(which: np.ndarray, replies: dict[int, list[np.ndarray]], kinds: list[type], read) -> list[np.ndarray]:
+    """Arrays of the entries from the parts' replies; read(body) gives a part's."""
+    out = [np.zeros(len(which), k) for k in kinds]
+    for p, k in dealt(which):
+        for x, got in zip(out, read(replies[p])):
+            x[k] = got
+    return out
+
+
+def window_anchors(block: Block) -> Runs:
+    off = block.offsets
+    runs = []
+    for i, j in slices(off):
+        base = int(off[i])
+        r = window_runs(gram_hashes(block.data[base : off[j]]), off[i : j + 1] - base, SIZE, GRAM)
+        runs.append(Runs(r.first + base, r.last + base, r.anchor + base))
+    return Runs.join(runs)
+
+
+def pack_runs(r: Runs, *more: np.ndarray) -> bytes:
+    return dump(coded(r.anchor), (r.anchor - r.first).astype(np.uint8), (r.last - r.first).astype(np.uint8), *more)
+
+
+def unpack_runs(body: list[np.ndarray]) -> Runs:
+    anchor = values(body[0])
+    first = anchor - body[1]
+    return Runs(first, first + body[2], anchor)
+
+
+def rows_of(block: Block, at: np.ndarray) -> np.ndarray:
+    return np.searchsorted(block.offsets, at, side="right") - 1
+
+
+def shared_message(grams: np.ndarray, several: np.ndarray, parts: int) -> dict[int, bytes]:
+    """Distinct ascending gram hashes, and whether several of the block's documents have them."""
+    return {p: dump(np.diff(grams[k], prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.ravel().copy(), np.packbits(several[k])) for p, k in dealt(gram_parts(grams, parts))}
+
+
+def gram_parts(grams: np.ndarray, parts: int) -> np.ndarray:
+    return ((grams >> U64(8)) % U64(parts)).astype(np.int64)
+
+
+def ask_shared(block: Block, parts: int) -> tuple[dict[int, bytes], bytes]:
+    r = window_anchors(block)
+    ids = block.ids[rows_of(block, r.anchor)]
+    grams, at, entry = np.unique(gram_hashes(block.data, r.anchor) >> U64(16), return_index=True, return_inverse=True)
+    several = np.zeros(len(grams), bool)
+    several[entry[ids != ids[at][entry]]] = True
+    return shared_message(grams, several, parts), pack_runs(r)
+
+
+def suffix_rows(block: Block, anchor: np.ndarray, row: np.ndarray) -> np.ndarray:
+    off = block.offsets
+    left, right = np.minimum(LEFT, anchor - off[row]), np.minimum(SIZE, off[row + 1] - anchor)
+    low, high = max(0, int(anchor.min()) - LEFT), int(anchor.max()) + SIZE
+    part = np.concatenate([np.zeros(max(0, LEFT - int(anchor.min())), np.uint8), block.data[low:high], np.zeros(SIZE, np.uint8)])
+    start = anchor - int(anchor.min()) + LEFT
+    m = np.empty((len(anchor), WIDTH), np.uint8)
+    m[:, :SIZE] = rows_at(part, start, SIZE)
+    m[:, SIZE : SIZE + LEFT] = rows_at(part, start - LEFT, LEFT)[:, ::-1]
+    m[:, :SIZE][np.arange(SIZE) >= right[:, None]] = 0
+    m[:, SIZE : SIZE + LEFT][np.arange(LEFT) >= left[:, None]] = 0
+    m[:, -2], m[:, -1] = right + 1, left + 1
+    return m
+
+
+def distinct_in_pieces(n: int, width: int, make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct rows, index of the first of each, entry of each of the n rows); make(a, b) cuts out rows a..b."""
+    rows, first, entries = [np.zeros((0, width), np.uint8)], [np.zeros(0, np.int64)], []
+    for a in range(0, n, PIECE):
+        m = make(a, min(n, a + PIECE))
+        k, e = distinct_sorted(m)
+        entries.append(e + sum(map(len, first)))
+        rows.append(m[k])
+        first.append(k + a)
+    rows, first = np.concatenate(rows), np.concatenate(first)
+    k, e = distinct_sorted(rows)
+    return rows[k], first[k], e[np.concatenate(entries)] if entries else np.zeros(0, np.int64)
+
+
+def ranges(rows: np.ndarray, cuts: np.ndarray, sub: int = 1) -> np.ndarray:
+    """Part of each sorted row: a frequent beginning is split by the bytes that follow, a range by its 24-grams."""
+    which = np.searchsorted(cuts, strings(rows), side="right")
+    if sub > 1 and len(rows):
+        which = which * sub + (gram_hashes(np.ascontiguousarray(rows).ravel(), np.arange(len(rows)) * rows.shape[1]) % U64(sub)).astype(np.int64)
+    return which
+
+
+def run_messages(rows: np.ndarray, least: np.ndarray, which: np.ndarray) -> dict[int, bytes]:
+    out = {}
+    for p, k in dealt(which):
         lcp, rest = front_coded(rows[k])
         out[p] = dump(lcp, rest, least[k])
     return out
 
 
+def ask_suffixes(block: Block, replies: Replies, parts: int, cuts: np.ndarray, sub: int) -> tuple[dict[int, bytes], bytes]:
+    """Sorted distinct suffixes of the anchors whose 24-gram other documents have too."""
+    r = unpack_runs(state(replies))
+    grams, entry = np.unique(gram_hashes(block.data, r.anchor) >> U64(16), return_inverse=True)
+    (known,) = gathered(gram_parts(grams, parts), replies.get(SHARED, {}), [bool], lambda body: flags(body)[:1])
+    live = np.flatnonzero(known[entry])
+    r = Runs(r.first[live], r.last[live], r.anchor[live])
+    row = rows_of(block, r.anchor)
+    suffixes, first, entry = distinct_in_pieces(len(live), WIDTH, lambda a, b: suffix_rows(block, r.anchor[a:b], row[a:b]))
+    least = block.ids[row[first]]  # rows are in order of doc_id, and the sort is stable
+    which = ranges(suffixes, cuts, sub)
+    later = block.ids[row] > least[entry]
+    return run_messages(suffixes, least, which), pack_runs(r, entry.astype(np.int32), np.packbits(later), which.astype(np.int32))
+
+
+def ask_windows(block: Block, replies: Replies, cuts: np.ndarray, sub: int) -> tuple[dict[int, bytes], bytes]:
+    """The windows that still can be repeats; those that are for sure stay in the state.
+
+    A window that starts o bytes before its anchor can only repeat in a suffix
+    with the same SIZE bytes from the anchor on and o alike before it, which
+    the merge has told (o <= known), or in one that is alike for SIZE - o at
+    least but not for all SIZE (o >= SIZE - after).
+    """
+    body = state(replies)
+    r, s, which = unpack_runs(body[:3]), body[3].astype(np.int64), body[5].astype(np.int64)
+    later = np.unpackbits(body[4], count=len(s)).astype(bool)
+    held, known, unknown, after = gathered(which, replies.get(SUFFIXES, {}), [bool, np.int64, np.int64, np.int64], lambda b: [flags(b[:2])[0], *b[2:]])
+    known[held] = SIZE  # more than any window's distance
+    known = np.where(later, SIZE, known[s])
+    low = np.maximum(r.first, r.anchor - known)
+    sure = low <= r.last
+    still = np.minimum(r.last, low - 1)
+    k = np.flatnonzero((r.first <= still) & ((r.anchor - still <= unknown[s]) | (r.anchor - r.first >= SIZE - after[s])))
+    size = still[k] - r.first[k] + 1
+    at, of = spread(r.first[k], size), np.repeat(k, size)
+    left = r.anchor[of] - at
+    at = at[(left <= unknown[s[of]]) | (left >= SIZE - after[s[of]])]
+    ids = block.ids[rows_of(block, at)]
+    windows, first, entry = distinct_in_pieces(len(at), SIZE, lambda a, b: rows_at(block.data, at[a:b], SIZE))
+    which = ranges(windows, cuts, sub)
+    later = ids > ids[first][entry]
+    kept = dump(coded(low[sure]), (r.last[sure] - low[sure]).astype(np.uint8), coded(at), entry.astype(np.int32), np.packbits(later), which.astype(np.int32))
+    return run_messages(windows, ids[first], which), kept
+
+
+def removed_bytes(block: Block, replies: Replies) -> np.ndarray:
+    low, more, at, entry, later, which = state(replies)
+    low, at = values(low), values(at)
+    (held,) = gathered(which, replies.get(WINDOWS, {}), [bool], lambda body: flags(body)[:1])
+    hit = at[held[entry] | np.unpackbits(later, count=len(at)).astype(bool)]
+    return covered(len(block.data), np.r_[low, hit], np.r_[low + more, hit], SIZE)
+
+
 def judge_shared(bodies: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
     grams = [np.cumsum(np.ascontiguousarray(b[0].reshape(8, -1).T).view(U64).ravel(), dtype=U64) for b in bodies]
     several = [np.unpackbits(b[1], count=len(g)).astype(np.int64) for g, b in zip(grams, bodies)]
@@ -306,19 +382,14 @@ def judge_shared(bodies: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
 
 
 def _merge(bodies: list[list[np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """(place of each output among all entries, common prefixes, smallest doc_id of its equals, sizes of the runs)."""
-    runs = [(b[0], decoded(b[0], b[1], width)) for b in bodies]
-    sizes = [len(s) for _, s in runs]
-    run, lcp = merged(runs, width)
-    offsets = np.cumsum([0, *sizes])
-    place = np.empty(len(run), np.int64)
-    order = np.argsort(run, kind="stable")
-    place[order] = np.arange(len(run))
+    """(place of each output among all entries, common prefixes, has a smaller document the same?, sizes of the runs)."""
+    sizes = [len(b[0]) for b in bodies]
+    rows = np.frombuffer(b"".join(b"".join(decoded(b[0], b[1], width)) for b in bodies), np.uint8).reshape(-1, width)
+    place, lcp = merge_rows(sizes, np.concatenate([b[0] for b in bodies]), rows)
     new = lcp < width
     new[:1] = True
     least = np.concatenate([b[2] for b in bodies])[place]
     smallest = np.minimum.reduceat(least, np.flatnonzero(new))[np.cumsum(new) - 1]
-    assert offsets[-1] == len(run)
     return place, lcp, smallest < least, sizes
 
 
@@ -365,35 +436,35 @@ def judge_windows(bodies: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
     return [bits(a) for a in np.split(held, np.cumsum(sizes)[:-1])]
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = buffers(column(batch, "text"))
         keys: list[bytes] = []
         for i, j in slices(off):
             part, own = data[off[i] : off[j]], off[i : j + 1] - off[i]
             at = window_runs(gram_hashes(part), own, SIZE, GRAM).anchor
+            at = at[mix(gram_hashes(part, at) + U64(9)) < U64(int(share * (2**64 - 1)))] if len(at) else at
             keys += [r.tobytes() for r in rows_at(np.concatenate([part, np.zeros(SIZE, np.uint8)]), at, SIZE)]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], ["key"])
 
 
-def split_points(docs: DataFrame, parts: int, chars: int) -> np.ndarray:
-    """At most `parts` - 1 keys that part the suffixes evenly, from about SAMPLE keys a part."""
-    share = min(1.0, SAMPLE * parts * 14 / max(1, chars))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    texts = texts.select("text")
-    keys = sorted(r["key"] for r in texts.mapInArrow(_sampled, "key binary").collect())
-    picked = [bytes(keys[len(keys) * k // parts]) for k in range(1, parts)] if keys else []
+def split_points(docs: DataFrame, wide: int, chars: int) -> np.ndarray:
+    """At most `wide` - 1 keys that part the suffixes evenly, from about SAMPLE keys a range (RANGES * SAMPLE at most)."""
+    if wide < 2:
+        return np.zeros(0, f"S{SIZE}")
+    share = min(1.0, SAMPLE * wide * 14 / max(1, chars))  # of the anchors, about one in 14 bytes
+    of_docs = min(1.0, share * 16)
+    texts = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(5)), F.lit(1 << 20)) < int(of_docs * (1 << 20)) + 1)
+    keys = sorted(r["key"] for r in texts.mapInArrow(lambda it: _sampled(it, share / of_docs), "key binary").collect())
+    picked = [bytes(keys[len(keys) * k // wide]) for k in range(1, wide)] if keys else []
     return np.unique(np.array(picked, f"S{SIZE}")) if picked else np.zeros(0, f"S{SIZE}")
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
-def _result(block: Block, replies: Replies, parts: int, cuts: np.ndarray, text: bool) -> pa.Table:
-    s = Suffixes(block)
-    s.take_shared(replies, parts)
-    s.take_suffixes(replies, cuts)
-    gone = s.removed(replies, cuts)
+def _result(block: Block, replies: Replies, text: bool) -> pa.Table:
+    gone = removed_bytes(block, replies)
     off = block.offsets
     total = np.concatenate([[0], np.cumsum(gone)])
     removed = total[off[1:]] - total[off[:-1]]
@@ -415,31 +486,20 @@ def dedup_bytes(docs: DataFrame, text: bool = True) -> DataFrame:
 
     A null text is empty. A null doc_id counts as larger than all others, rows
     of the same doc_id never remove each other's bytes, and texts of fewer than
-    50 bytes lose nothing. An empty table gives no rows; other columns are not
-    read. kept_text replaces bytes that are no whole characters any more.
+    50 bytes lose nothing. A long text is a block of its own; its suffixes are
+    cut out and sorted piece by piece. An empty table gives no rows; other
+    columns are not read. kept_text replaces bytes that are no whole characters
+    any more.
     """
     blocks, n, chars = packed(docs)
-    parts = n
-    cuts = split_points(docs, parts, chars)
-
-    def ask_shared(block: Block, _: Replies) -> dict[int, bytes]:
-        return Suffixes(block).ask_shared(parts)
-
-    def ask_suffixes(block: Block, replies: Replies) -> dict[int, bytes]:
-        s = Suffixes(block)
-        s.take_shared(replies, parts)
-        return run_messages(s.sorted, s.least, cuts)
-
-    def ask_windows(block: Block, replies: Replies) -> dict[int, bytes]:
-        s = Suffixes(block)
-        s.take_shared(replies, parts)
-        s.take_suffixes(replies, cuts)
-        return run_messages(s.windows, s.window_least, cuts)
-
-    shared = answer(send(blocks, None, SHARED, parts, ask_shared), judge_shared)
-    suffixes = answer(send(blocks, shared, SUFFIXES, parts, ask_suffixes), judge_suffixes)
-    windows = answer(send(blocks, suffixes, WINDOWS, parts, ask_windows), judge_windows)
-    return conclude(blocks, windows, SCHEMA, lambda b, r: _result(b, r, parts, cuts, text))
+    wide = min(n, RANGES)
+    sub = -(-n // wide)
+    parts = wide * sub
+    cuts = split_points(docs, wide, chars)
+    shared = answer(send(blocks, None, SHARED, parts, lambda b, _: ask_shared(b, parts)), judge_shared)
+    suffixes = answer(send(blocks, shared, SUFFIXES, parts, lambda b, r: ask_suffixes(b, r, parts, cuts, sub)), judge_suffixes)
+    windows = answer(send(blocks, suffixes, WINDOWS, parts, lambda b, r: ask_windows(b, r, cuts, sub)), judge_windows)
+    return conclude(blocks, windows, SCHEMA, lambda b, r: _result(b, r, text))
 
 
 SQL = """

@@ -1,12 +1,14 @@
 """Vectorised text kernels on Arrow string columns.
 
 A column is viewed as one byte array plus offsets; words are found with byte
-class tables and hashed with prefix sums of a polynomial over random byte
-values, so there is no Python loop over words.
+class tables and hashed eight bytes at a time, with a mixing step after each, so
+there is no Python loop over words. Sequences of words are hashed with prefix
+sums of a polynomial over the words' hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,12 +16,10 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-#: One random value per byte; the exact-case table hashes bytes as they are.
-EXACT = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-#: As EXACT, with A-Z hashed as a-z.
+#: Bytes as they are, and with A-Z as a-z.
+EXACT = np.arange(256, dtype=np.uint8)
 FOLDED = EXACT.copy()
-FOLDED[65:91] = EXACT[97:123]
+FOLDED[65:91] += 32
 
 #: The six ASCII white-space bytes that part words.
 SPACE = np.zeros(256, bool)
@@ -89,7 +89,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `most` bytes, or of a single longer row."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -116,8 +116,35 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return Sums(values[data]).hash(starts, ends)
+#: Longer words are hashed one by one.
+LONG = 256
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], U64)
+
+
+class Bytes:
+    """Text bytes, by a table of 256 values, to hash ranges of."""
+
+    def __init__(self, data: np.ndarray, table: np.ndarray = EXACT):
+        self.data = data if table is EXACT else table[data]
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        self._eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - start
+        h = mix((self._eight[start] & _KEEP[np.minimum(size, 8)]) ^ (size.astype(U64) * U64(0x9E3779B97F4A7C15)))
+        more, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(more):
+            left = size[more] - done
+            h[more] = mix((h[more] * U64(0xC2B2AE3D27D4EB4F) + U64(done)) ^ (self._eight[start[more] + done] & _KEEP[np.minimum(left, 8)]))
+            done += 8
+            more = more[left > 8]
+        for k in np.flatnonzero(size > LONG).tolist():
+            h[k] = int.from_bytes(hashlib.blake2b(self.data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+        return h
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return Bytes(data, table).hash(starts, ends)
 
 
 def column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textkit import FOLDED, NON_ALNUM, U64, Sums, buffers, column, mix, slices, words
+from .textkit import FOLDED, NON_ALNUM, U64, Bytes, buffers, column, mix, slices, words
 
 
 @dataclass(frozen=True)
@@ -44,14 +44,14 @@ STEM = U64(0xE7037ED1A0B428DB)
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, coordinate) of every word, stem, pair and skip pair; pairs stay within a text."""
     starts, ends, rows = words(data, offsets, NON_ALNUM)
-    sums = Sums(FOLDED[data])
-    h = sums.hash(starts, ends)
+    text = Bytes(data, FOLDED)
+    h = text.hash(starts, ends)
     shift = U64(64 - bits)
     found_rows, found = [rows], [mix(h) >> shift]
     for n in STEMS:
         longer = np.flatnonzero(ends - starts > n)
         found_rows.append(rows[longer])
-        found.append(mix(sums.hash(starts[longer], starts[longer] + n) ^ STEM) >> shift)
+        found.append(mix(text.hash(starts[longer], starts[longer] + n) ^ STEM) >> shift)
     for gap, (a, b) in ((1, PAIR), (2, SKIP)):
         if len(h) > gap:
             same = rows[gap:] == rows[:-gap]

@@ -80,6 +80,30 @@ def test_substring_dedup(docs, some_blocks):
     assert got == sorted(want) and any(w[2] for w in want)
 
 
+def word_digests(rows):
+    for doc_id, u, gone in repeats(rows, BLANKS.findall, 50):
+        yield str(doc_id), len(u), sum(gone), hashlib.sha256(" ".join(w for w, g in zip(u, gone) if not g).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("crowd", [4096, 1])
+def test_substring_dedup_of_long_words_and_crowded_edges(spark, some_blocks, crowd):
+    """Words that differ in structure only, a passage with many unlike surroundings, and a very long text."""
+    r = random.Random(9)
+    thue = lambda n, a, b: "".join(a if bin(k).count("1") % 2 == 0 else b for k in range(n))
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randrange(1, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    same = some(49)
+    rows = [(0, same + " " + thue(1024, "a", "b")), (1, same + " " + thue(1024, "b", "a")), (2, same + " " + thue(1024, "a", "b"))]
+    passages = [some(60), some(75), some(52)]
+    for k in range(60):
+        cut = r.randrange(20)
+        rows.append((10 + k, some(r.randrange(9)) + " " + " ".join(passages[k % 3].split()[cut // 4 : 75 - cut]) + "\t" + some(r.randrange(9))))
+    rows += [(90, some(3000) + " " + passages[0] + " " + some(2000) + " " + passages[1]), (91, "x " * 5000), (92, "y x " * 40 + "x " * 90), (93, None), (94, ""), (94, rows[20][1]), (None, rows[20][1])]
+    docs = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, kept_text long").repartition(3)
+    got = sorted((str(x["doc_id"]), x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring_rlz.dedup_words(docs, crowd=crowd).collect())
+    assert got == sorted(word_digests([(d, t or "") for d, t in rows]))
+
+
 def test_suffix_dedup(docs, some_blocks):
     got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup_bytes(docs, text=False).collect())
     want = []
@@ -107,6 +131,22 @@ def test_suffix_dedup_of_periodic_lines(spark, some_blocks):
     assert {k: (got[k], v) for k, v in want.items() if got[k] != v} == {}
 
 
+def test_ranges_split_by_24_grams(spark, docs, monkeypatch):
+    """More parts than ranges of the sort."""
+    monkeypatch.setattr(blocks, "SMALLEST", 2_000)
+    whole = sorted(map(str, suffix_dedup.dedup_bytes(docs, text=False).collect()))
+    monkeypatch.setattr(suffix_dedup, "RANGES", 2)
+    assert sorted(map(str, suffix_dedup.dedup_bytes(docs, text=False).collect())) == whole
+
+
+def test_rows_in_pieces(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 7)
+    m = np.random.default_rng(3).integers(97, 99, (100, 5)).astype(np.uint8)
+    rows, first, entry = suffix_dedup.distinct_in_pieces(100, 5, lambda a, b: m[a:b])
+    assert [r.tobytes() for r in rows] == sorted({r.tobytes() for r in m}) and (rows[entry] == m).all()
+    assert all(min(np.flatnonzero((m == r).all(axis=1))) == k for r, k in zip(rows, first))
+
+
 def test_loser_tree():
     r = random.Random(5)
     for k in (1, 2, 3, 7):
