@@ -1,13 +1,17 @@
 """Information-theoretic sanitisation of personal data.
 
 Protected entities are the e-mail addresses, IP addresses, card and phone
-numbers that the base patterns find. A term (a word of letters) discloses an
-entity as far as seeing it predicts the entity: over all documents, the share
-of the term's distinct surroundings that have the entity close by is P(entity |
-term), and log2(P(entity | term) / P(entity)) is what the term gives away.
-Terms above the limits are protected wherever they stand.
-
-The passes: (1) base spans and the terms near them; (2) the surroundings of
+numbers that the base patterns find, and secrets: long strings of letters and
+digits whose own entropy is high. A term (a word of letters) discloses an
+entity as far as seeing it predicts the entity, be it one value or any of its
+kind: over all documents, the share of the term's distinct surroundings that
+have the entity close by is P(entity | term), shrunk towards P(entity) as if by
+one more surrounding; log2(P(entity | term) / P(entity)) is what one of them
+gives away. A term is protected wherever it stands if the shrunk share is above
+one half and all its surroundings give away more bits than it takes to pick the
+term from all that were tried, and some more: that limit follows the corpus.
+
+The passes: (1) entities and the terms near them; (2) the surroundings of
 those terms in the whole corpus; (3) spans of every document. Term sets enter a
 pass in blocks of a fixed size, so nothing unbounded is sent to the executors.
 """
@@ -16,8 +20,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +40,25 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_LETTER = re.compile(r"[A-Za-z]")
+_SECRET = re.compile(r"[A-Za-z0-9_+/-]{20,}")
+#: Entities that terms can give away: the base kinds and secrets.
+SECRET = len(KINDS)
 
 
 @dataclass(frozen=True)
 class Disclosure:
     """near: words on each side of an entity; around: words on each side of a term
     that tell its surroundings apart; support: least distinct surroundings with the
-    entity; share: least P(entity | term); bits: least gain; block: terms a pass."""
+    entity; share: least shrunk P(entity | term); bits: gain over the cost of picking
+    the term; secret_bits: least entropy of a secret; block: terms a pass."""
 
     near: int = 6
     around: int = 3
-    support: int = 5
+    support: int = 2
     share: float = 0.5
-    bits: float = 4.0
+    bits: float = 8.0
+    secret_bits: float = 64.0
     shortest: int = 4
     block: int = 1 << 20
 
@@ -78,7 +91,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
                 start = m.start()
                 for k in range(0, len(parts) - 3, 4):
                     end = start + sum(map(len, parts[k : k + 4])) + 3
-                    if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in parts[k : k + 4]):
+                    if all(len(x := d.lstrip("0")) < 4 and int(x or "0") < 256 for d in parts[k : k + 4]):
                         found.append((start, end, 1))
                     start = end + 1
         for m in _DIGITS.finditer(text):
@@ -92,6 +105,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+def secret_spans(text: str, p: Disclosure) -> list[tuple[int, int, int]]:
+    """Long strings of letters and digits (4 of each at least) with p.secret_bits of entropy by their own characters."""
+    found = []
+    for m in _SECRET.finditer(text):
+        n = len(m[0])
+        if len(_DIGIT.findall(m[0])) >= 4 and len(_LETTER.findall(m[0])) >= 4 and sum(k * log2(n / k) for k in Counter(m[0]).values()) >= p.secret_bits:
+            found.append((m.start(), m.end(), SECRET))
+    return found
+
+
+def entities(text: str, p: Disclosure) -> list[tuple[int, int, int]]:
+    """Base spans, and the secrets outside them."""
+    base = base_spans(text)
+    return sorted(base + outside(secret_spans(text, p), base), key=lambda s: (s[0], s[2]))
+
+
+def outside(spans: list[tuple[int, int, int]], of: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that touch none `of` those (in order of their starts)."""
+    starts, reach, far = [s[0] for s in of], [], 0
+    for s in of:
+        far = max(far, s[1])
+        reach.append(far)
+    return [s for s in spans if not (k := bisect_left(starts, s[1])) or reach[k - 1] <= s[0]]
+
+
 class _Words:
     """The words of one slice of texts, their hashes, and hashes of their surroundings."""
 
@@ -114,29 +152,32 @@ class _Words:
 
 
 def _cooccurrences(batches: Iterator[pa.RecordBatch], p: Disclosure) -> Iterator[pa.RecordBatch]:
-    """(term, entity, around) of the terms near each base span."""
+    """(term, entity, kind, around) of the terms near each entity."""
     for batch in _pieces(batches):
-        terms, entities, rounds = [], [], []
+        terms, values, kinds, rounds = [], [], [], []
         for text in column(batch, "text").to_pylist():
-            spans = base_spans(text or "")
+            spans = entities(text or "", p)
             if not spans:
                 continue
             raw = text.encode()
-            w = _Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), p)
-            cuts = [(len(text[:a].encode()), len(text[:b].encode()), text[a:b]) for a, b, _ in spans]
+            data = np.frombuffer(raw, np.uint8)
+            w = _Words(data, np.array([0, len(raw)]), p)
+            at = np.flatnonzero(np.append((data & 0xC0) != 0x80, True))  # the byte of each code point
+            cuts = [(int(at[a]), int(at[b]), text[a:b], k) for a, b, k in spans]
             free = w.term.copy()
-            for a, b, _ in cuts:
+            for a, b, _, _ in cuts:
                 free[np.searchsorted(w.start, a) : np.searchsorted(w.start, b)] = False
-            for a, b, value in cuts:
+            for a, b, value, kind in cuts:
                 j, k = np.searchsorted(w.start, a), np.searchsorted(w.start, b)
                 near = np.r_[max(0, j - p.near) : j, k : min(len(w.h), k + p.near)].astype(np.int64)
                 near = near[free[near]]
                 terms.append(w.h[near].view(np.int64))
                 rounds.append(w.surroundings(near).view(np.int64))
                 key = int.from_bytes(hashlib.blake2b(value.lower().encode(), digest_size=8).digest(), "little", signed=True)
-                entities.append(np.full(len(near), key))
+                values.append(np.full(len(near), key))
+                kinds.append(np.full(len(near), kind))
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(cat(terms)), pa.array(cat(entities)), pa.array(cat(rounds))], ["term", "entity", "around"])
+        yield pa.RecordBatch.from_arrays([pa.array(cat(x)) for x in (terms, values, kinds, rounds)], ["term", "entity", "kind", "around"])
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch], terms: np.ndarray, p: Disclosure) -> Iterator[pa.RecordBatch]:
@@ -167,22 +208,26 @@ def _blocks(terms: DataFrame, p: Disclosure) -> Iterator[np.ndarray]:
 
 
 def disclosing_terms(texts: DataFrame, p: Disclosure) -> DataFrame:
-    """(term): hashes of the terms that give an entity away."""
-    seen = checkpointed(texts.mapInArrow(lambda it: _cooccurrences(it, p), "term long, entity long, around long").distinct())
-    pairs = seen.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= p.support)
-    pairs = checkpointed(pairs)
+    """(term): hashes of the terms that give an entity, or one of its kind, away."""
+    seen = checkpointed(texts.mapInArrow(lambda it: _cooccurrences(it, p), "term long, entity long, kind long, around long").distinct())
+    # a kind is an entity too: any of its values
+    wide = seen.select("term", F.col("kind").alias("entity"), "around").distinct().unionByName(seen.select("term", "entity", "around"))
+    pairs = checkpointed(wide.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= p.support))
+    tried = pairs.select("term").distinct()
     total = None
-    for block in _blocks(pairs.select("term").distinct(), p):
+    for block in _blocks(tried, p):
         found = texts.mapInArrow(lambda it, b=block: _surroundings(it, b, p), "term long, around long").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("alone"))
         total = found if total is None else total.unionByName(found)
     if total is None:
-        return pairs.select("term").distinct()
-    entity = seen.groupBy("entity").agg(F.countDistinct("around").alias("of_entity"))
-    blanks = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
-    everything = texts.agg(F.sum(blanks)).first()[0] or 1  # words of the corpus, about: any may have the entity close by
-    share = F.col("together") / F.col("alone")
-    gain = F.log2(share * F.lit(float(everything)) / F.col("of_entity"))
-    return checkpointed(pairs.join(total, "term").join(entity, "entity").where((share >= p.share) & (gain >= p.bits)).select("term").distinct())
+        return tried
+    entity = wide.groupBy("entity").agg(F.countDistinct("around").alias("of_entity"))
+    blanks = F.length("text") - F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) + 1
+    everything = float(texts.agg(F.sum(blanks)).first()[0] or 1)  # words of the corpus, about: any may have the entity close by
+    cost = log2(max(2, tried.count())) + p.bits
+    before = F.least(F.lit(1.0), F.col("of_entity") / F.lit(everything))
+    share = (F.col("together") + before) / (F.col("alone") + 1)
+    gain = F.col("together") * F.log2(share / before)
+    return checkpointed(pairs.join(total, "term").join(entity, "entity").where((share > p.share) & (gain >= cost)).select("term").distinct())
 
 
 def _term_spans(batches: Iterator[pa.RecordBatch], terms: np.ndarray, p: Disclosure) -> Iterator[pa.RecordBatch]:
@@ -199,22 +244,22 @@ def _term_spans(batches: Iterator[pa.RecordBatch], terms: np.ndarray, p: Disclos
         yield pa.RecordBatch.from_arrays([*(pa.array(out, pa.list_(pa.int64())) if n == "found" else c for n, c in zip(batch.schema.names, batch.columns))], schema=batch.schema.set(batch.schema.get_field_index("found"), pa.field("found", pa.list_(pa.int64()))))
 
 
-def all_spans(text: str, term_bytes: list[int]) -> list[tuple[int, int, int]]:
-    """Base spans and the protected terms outside them, in code points; kind 4 is a term."""
-    spans = base_spans(text)
+def all_spans(text: str, term_bytes: list[int], p: Disclosure) -> list[tuple[int, int, int]]:
+    """Entities and the protected terms outside them, in code points; kind TERM is a term."""
+    spans = entities(text, p)
     if term_bytes:
-        raw = text.encode()
-        covered = sorted((a, b) for a, b, _ in spans)
-        for k in range(0, len(term_bytes), 2):
-            a = len(raw[: term_bytes[k]].decode())
-            b = a + len(raw[term_bytes[k] : term_bytes[k + 1]].decode())
-            if not any(x < b and a < y for x, y in covered):
-                spans.append((a, b, 4))
-        spans.sort(key=lambda s: (s[0], s[2]))
+        if text.isascii():
+            at = term_bytes
+        else:
+            begins = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)  # code points up to each byte
+            at = np.append(begins - 1, len(text))[term_bytes].tolist()
+        terms = sorted((a, b, TERM) for a, b in zip(at[::2], at[1::2]))
+        spans = sorted(spans + outside(terms, spans), key=lambda s: (s[0], s[2]))
     return spans
 
 
-NAMES = (*KINDS, "term")
+NAMES = (*KINDS, "secret", "term")
+TERM = len(NAMES) - 1
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:
@@ -228,12 +273,12 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield batch.slice(k, rows)
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(batches: Iterator[pa.RecordBatch], p: Disclosure) -> Iterator[pa.RecordBatch]:
     for batch in _pieces(batches):
         counts, shas, listed = [[] for _ in KINDS], [], []
         for text, found in zip(column(batch, "text").to_pylist(), column(batch, "found").to_pylist()):
-            spans = all_spans(text or "", found or [])
-            base = [s for s in spans if s[2] < 4]
+            spans = all_spans(text or "", found or [], p)
+            base = [s for s in spans if s[2] < SECRET]
             for k, c in enumerate(counts):
                 c.append(sum(s[2] == k for s in base))
             shas.append(hashlib.sha256(_listed(base).encode()).hexdigest())
@@ -241,13 +286,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *map(pa.array, counts), pa.array(shas, pa.string()), pa.array(listed, pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
 
-def _sanitised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sanitised(batches: Iterator[pa.RecordBatch], p: Disclosure) -> Iterator[pa.RecordBatch]:
     for batch in _pieces(batches):
         out = []
         for text, found in zip(column(batch, "text").to_pylist(), column(batch, "found").to_pylist()):
             if text is not None:
                 parts, at = [], 0
-                for a, b, k in all_spans(text, found or []):
+                for a, b, k in all_spans(text, found or [], p):
                     if a >= at:
                         parts += [text[at:a], f"<{NAMES[k].upper()}>"]
                     at = max(at, b)
@@ -257,8 +302,8 @@ def _sanitised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in keep), pa.array(out, pa.string())], [*keep, "clean_text"])
 
 
-def _with_spans(docs: DataFrame, p: Disclosure, last: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`last` over `docs` with `found`, the byte spans of protected terms.
+def _with_spans(docs: DataFrame, p: Disclosure, last: Callable[[Iterator[pa.RecordBatch], Disclosure], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`last` over `docs` (text and others, but no `found`) with `found`, the byte spans of protected terms.
 
     The last block of terms is marked in the same Python worker as `last` runs
     in: each further step would be a further worker for every task.
@@ -270,23 +315,30 @@ def _with_spans(docs: DataFrame, p: Disclosure, last: Callable[[Iterator[pa.Reco
         if final is not None:
             marked = marked.mapInArrow(lambda it, b=final: _term_spans(it, b, p), marked.schema)
         final = block
-    return marked.mapInArrow(lambda it: last(it if final is None else _term_spans(it, final, p)), schema)
+    return marked.mapInArrow(lambda it: last(it if final is None else _term_spans(it, final, p), p), schema)
 
 
 def personal_data(docs: DataFrame, p: Disclosure = Disclosure()) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document.
 
-    Null and empty texts have no spans (the digest of an empty list); repeated
-    rows are judged each, and identical surroundings count once, so copies add
-    no evidence. An empty table gives no rows; other columns are not read.
+    `spans` also has the kinds secret and term. Null and empty texts have no
+    spans (the digest of an empty list); repeated rows are judged each, and
+    identical surroundings count once, so copies add no evidence. The work is
+    linear in a text, however long it, its words or its digit runs are. An
+    empty table gives no rows; other columns are not read.
     """
     kinds = ", ".join(f"n_{k} long" for k in KINDS)
     return _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), p, _digest, f"doc_id long, {kinds}, base_sha256 string, spans string")
 
 
 def sanitise(docs: DataFrame, p: Disclosure = Disclosure()) -> DataFrame:
-    """`docs` with each span of `text` replaced by its kind in angle brackets; null stays null."""
-    kept = [f for f in docs.schema.fields if f.name not in ("text", "found")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", clean_text string"
-    clean = _with_spans(docs, p, _sanitised, schema)
-    return clean.select(*[F.col("clean_text").alias("text") if n == "text" else F.col(f"`{n}`") for n in docs.columns])
+    """`docs` with each span of `text` replaced by its kind in angle brackets; null stays null.
+
+    Other columns pass through, whatever their names.
+    """
+    at = docs.columns.index("text")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*names).withColumnRenamed(names[at], "text")
+    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields) if n != names[at]) + ", clean_text string"
+    clean = _with_spans(plain, p, _sanitised, schema)
+    return clean.select(*["clean_text" if n == names[at] else n for n in names]).toDF(*docs.columns)

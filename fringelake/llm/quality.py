@@ -3,8 +3,10 @@
 Each document's base rules are counted from its whole text. Rule failures are
 then summed by domain (the `source` of a document), and each domain's failure
 rate is shrunk towards an empirical beta prior, fitted to all domains by the
-method of moments. Documents of a domain whose shrunk rate is above the limit
-go too, whatever their own counts.
+method of moments: its posterior is a beta distribution too. Documents of a
+domain go, whatever their own counts, if its rate is a multiple of what is
+usual, beyond doubt: if the posterior's mean less some standard deviations is
+above that multiple of the prior's mean.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Rules:
-    """min_words, max_repeat_percent: base rules. host_limit: a domain goes if its
-    shrunk failure rate is above it. max_strength: bound of the prior's weight in
+    """min_words, max_repeat_percent: base rules. host_multiple, host_deviations: a
+    domain goes if its posterior failure rate, less so many standard deviations, is
+    above so many times the prior's mean. max_strength: bound of the prior's weight in
     documents, for domains that hardly differ."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
-    host_limit: float = 0.5
+    host_multiple: float = 2.0
+    host_deviations: float = 3.0
     max_strength: float = 1000.0
 
 
@@ -88,15 +92,17 @@ def host_verdicts(failures: DataFrame, rules: Rules) -> DataFrame:
     strength = F.when((F.col("hosts") < 2) | (between <= 0) | between.isNull(), F.lit(rules.max_strength)).otherwise(F.least(F.lit(rules.max_strength), F.greatest(F.lit(1.0), spread / between - 1)))
     fit = fit.select(overall.alias("prior"), strength.alias("strength"))
     shrunk = (F.col("k") + F.col("prior") * F.col("strength")) / (F.col("n") + F.col("strength"))
-    return hosts.crossJoin(F.broadcast(fit)).select("source", shrunk.alias("host_rate"), (shrunk > rules.host_limit).alias("host_failed"))  # fit is one row
+    deviation = F.sqrt(shrunk * (1 - shrunk) / (F.col("n") + F.col("strength") + 1))
+    failed = shrunk - rules.host_deviations * deviation > rules.host_multiple * F.col("prior")
+    return hosts.crossJoin(F.broadcast(fit)).select("source", shrunk.alias("host_rate"), failed.alias("host_failed"))  # fit is one row
 
 
 def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate, kept.
 
     A null text is empty and fails; a document without a source is judged on
-    its own rules; repeated rows are counted each; an empty table gives no
-    rows. Columns other than doc_id, text and source are not read.
+    its own rules; repeated rows are counted each, equal rates get equal
+    verdicts; long texts are measured whole; an empty table gives no rows. Columns other than doc_id, text and source are not read.
     """
     counted = measures(docs).withColumn(
         "base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
@@ -124,8 +130,9 @@ h AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS k FROM f WH
 m AS (SELECT count(*) AS hosts, sum(k) / sum(n) AS prior, avg(k / n) AS mean, var_samp(k / n) AS var, avg(1.0 / n) AS inv FROM h),
 p AS (SELECT prior, CASE WHEN hosts < 2 OR var - mean * (1 - mean) * inv <= 0 OR var IS NULL THEN 1000.0
         ELSE least(1000.0, greatest(1.0, mean * (1 - mean) / (var - mean * (1 - mean) * inv) - 1)) END AS strength FROM m),
-v AS (SELECT source, (k + prior * strength) / (n + strength) AS host_rate FROM h, p)
+r2 AS (SELECT source, n, strength, prior, (k + prior * strength) / (n + strength) AS host_rate FROM h, p),
+v AS (SELECT source, host_rate, host_rate - 3 * sqrt(host_rate * (1 - host_rate) / (n + strength + 1)) > 2 * prior AS host_failed FROM r2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(host_rate, 9) AS host_rate,
-  NOT base_failed AND NOT coalesce(host_rate > 0.5, false) AS kept
+  NOT base_failed AND NOT coalesce(host_failed, false) AS kept
 FROM f LEFT JOIN v ON f.source = v.source
 """
