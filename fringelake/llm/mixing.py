@@ -2,11 +2,12 @@
 
 A classifier fitted to the labelled table gives each document a posterior over
 domains. Nonnegative document rates are then fitted by least squares, so that
-the expected tokens of each domain match the targets, with a small pull towards
-rate one. A rate depends on the posterior alone, so the documents are summed
-into cells of equal (rounded) posterior first, a bounded number of them; each
-projected-gradient step is one distributed sum over the cells, and the history
-of residuals, a few numbers a step, gives every rate.
+the expected tokens of each domain match the targets: projected gradient steps
+from rate one on, each preconditioned with the curvature of the documents whose
+rate is above zero (a matrix of domains by domains), so few steps do however
+rare a domain is. Each step is one distributed sum over all documents and their
+exact posteriors; its direction, a number a domain, is all that a step leaves,
+and the list of directions gives every document's rate.
 """
 
 from __future__ import annotations
@@ -28,17 +29,20 @@ DOMAINS = ("good", "low", "toxic")
 
 @dataclass(frozen=True)
 class Mix:
-    """targets: token share of each domain; grid: posteriors are rounded to 1/grid;
-    pull: weight of the squared distance of rates from one; steps, tolerance: of the fit."""
+    """targets: token share of each domain; steps: at most, then the fit fails;
+    tolerance: relative to each target. The classifier learns from a bounded sample
+    of labelled rows: about classifier.most_rows."""
 
     targets: tuple[float, ...] = (0.9, 0.09, 0.01)
-    grid: int = 64
-    pull: float = 0.002
-    steps: int = 60
+    steps: int = 40
     tolerance: float = 1e-4
     classifier: Ftrl = Ftrl(most_rows=6000, epochs=3)
 
 
+#: Step lengths that a step tries at once.
+LENGTHS = (1.0, 0.5, 0.25, 0.0625)
+
+
 def shaped(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Word features and the binned shape of a text: its length, its symbols, its repeated words."""
     rows, x = features(data, offsets, bits)
@@ -57,11 +61,11 @@ def shaped(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, p: Mix, key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, q): q has each domain's posterior in 1/grid; the q sum to grid. doc_id is the column `key`."""
+    """(doc_id, n_tokens, q): q has each domain's posterior. doc_id is the column `key`."""
     domain = F.when(F.col("toxic") == 1, 2.0).when(F.col("quality") == 0, 1.0).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0.0)
     known = labels.select("doc_id", domain.alias("domain"))
     models = train(docs, known, "domain", p.classifier, [float(k) for k in range(len(DOMAINS))], shaped)
-    bits, grid = p.classifier.bits, p.grid
+    bits = p.classifier.bits
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = [dense(m, bits).astype(np.float32) for m in models]
@@ -81,70 +85,95 @@ def posteriors(docs: DataFrame, labels: DataFrame, p: Mix, key: str = "doc_id")
                 tokens[i:j] = np.bincount(words(part, own, SPACE)[2], minlength=j - i)
             chance = 1 / (1 + np.exp(-np.clip(each, -30, 30)))
             chance /= chance.sum(axis=1, keepdims=True)
-            q = np.rint(chance * grid).astype(np.int64)
-            top = chance.argmax(axis=1)
-            q[np.arange(len(q)), top] += grid - q.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(tokens), pa.array(list(q), pa.list_(pa.int64()))], ["doc_id", "n_tokens", "q"])
+            q = pa.FixedSizeListArray.from_arrays(pa.array(chance.ravel()), len(models)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(tokens), q], ["doc_id", "n_tokens", "q"])
 
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(score, "doc_id long, n_tokens long, q array<bigint>")
-
-
-def rates(q: np.ndarray, history: list[list[float]], p: Mix) -> tuple[np.ndarray, np.ndarray]:
-    """(rate, look-ahead rate) of posteriors `q` after the steps whose residuals `history` holds."""
-    share = q / p.grid
-    rate = ahead = np.ones(len(q))
-    step = 1 / (1 + p.pull)
-    root = np.sqrt(p.pull / (1 + p.pull))
-    beta = (1 - root) / (1 + root)
-    for e in history:
-        new = np.maximum(0.0, ahead - step * (share @ np.array(e) + p.pull * (ahead - 1)))
-        ahead = new + beta * (new - rate)
-        rate = new
-    return rate, ahead
-
-
-def fit_rates(cells: DataFrame, p: Mix) -> list[list[float]]:
-    """Residuals of each projected-gradient step; `cells` has (q, tokens)."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    targets, history = np.array(p.targets) / sum(p.targets), []
-    if not total:
-        return history
+    return texts.mapInArrow(score, "doc_id long, n_tokens long, q array<double>")
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = np.array(column(batch, "q").to_pylist(), float).reshape(-1, len(targets))
-            got = (rates(q, history, p)[1] * np.array(column(batch, "tokens").to_pylist(), float)) @ (q / p.grid)
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in got.tolist()], names)
 
-    names = [f"s{k}" for k in range(len(targets))]
+def matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return column(batch, "q").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def rates(q: np.ndarray, directions: list[list[float]]) -> np.ndarray:
+    rate = np.ones(len(q))
+    for d in directions:
+        rate = np.maximum(0.0, rate - q @ np.array(d))
+    return rate
+
+
+def fit_rates(scored: DataFrame, p: Mix) -> list[list[float]]:
+    """The directions of the steps; `scored` has (n_tokens, q)."""
+    targets = np.array(p.targets) / sum(p.targets)
+    n = len(targets)
+    total = scored.agg(F.sum("n_tokens")).first()[0] or 0
+    if not total:
+        return []
+
+    def sums(options: list[list[list[float]]]) -> np.ndarray:
+        """Of each list of directions: the domains' tokens, then the curvature of the documents with a rate above zero."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((len(options), n + n * n))
+            for batch in batches:
+                q, tokens = matrix(batch), column(batch, "n_tokens").to_numpy().astype(float)
+                for k, d in enumerate(options):
+                    rate = rates(q, d)
+                    out[k, :n] += (rate * tokens) @ q
+                    out[k, n:] += ((q * (tokens * (rate > 0))[:, None]).T @ q).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], ["k", "v"])
+
+        got = scored.mapInArrow(work, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        out = np.zeros(len(options) * (n + n * n))
+        for r in got:
+            out[r["k"]] = r["v"] / total
+        return np.round(out.reshape(len(options), -1), 12)
+
+    directions: list[list[float]] = []
+    now = sums([directions])[0]
     for _ in range(p.steps):
-        got = cells.mapInArrow(sums, ", ".join(f"{n} double" for n in names)).agg(*[F.sum(n) for n in names]).first()
-        residual = [round((got[k] or 0.0) / total - t, 12) for k, t in enumerate(targets)]
-        history.append(residual)
-        if len(history) > 1 and max(abs(a - b) for a, b in zip(history[-1], history[-2])) < p.tolerance / 10 and max(map(abs, residual)) < p.tolerance:
-            break
-    return history
+        off = now[:n] - targets
+        if np.all(np.abs(off) <= p.tolerance * targets):
+            return directions
+        curve = now[n:].reshape(n, n)
+        step = np.linalg.lstsq(curve, off, rcond=1e-9)[0]
+        plain = off / targets**2  # without the preconditioner, as far as a line goes best
+        ahead = curve @ plain / targets
+        plain = plain * ((off / targets) @ ahead / max(ahead @ ahead, 1e-300))
+        options = [[*directions, (x * d).round(12).tolist()] for x in LENGTHS for d in (step, plain)]
+        got = sums(options)
+        error = (((got[:, :n] - targets) / targets) ** 2).sum(axis=1)
+        best = int(error.argmin())
+        if error[best] >= ((off / targets) ** 2).sum() * (1 - 1e-9):
+            return directions  # no nearer to the targets: a domain is out of reach
+        directions, now = options[best], got[best]
+    raise RuntimeError(f"rates did not settle in {p.steps} steps: {now[:n].tolist()} for {targets.tolist()}")
+
+
+def reached(rated: DataFrame) -> DataFrame:
+    """(domain, share): expected share of tokens that the rates give each domain, of all tokens at rate one."""
+    total = F.sum("n_tokens")
+    return rated.agg(*[(F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")) / total).alias(d) for d in DOMAINS]).select(F.explode(F.array(*[F.struct(F.lit(d).alias("domain"), F.col(d).alias("share")) for d in DOMAINS])).alias("e")).select("e.*")
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, p: Mix = Mix(), key: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, p_good, p_low, p_toxic, rate of every document.
 
     A null or empty text has no tokens and gets its posterior's rate all the
-    same. A domain that no document can belong to leaves its target unmet.
+    same; equal posteriors (ties) get equal rates; long texts count whole. The
+    targets are met within the tolerance, or the fit fails; where a domain is
+    out of reach (no document can belong to it), the nearest shares are kept.
     Without labels every posterior is even and the rates are equal. Repeated
     rows count each; an empty table gives no rows; other columns are not read,
     but for `key`, which then stands as doc_id in the result (labels go by doc_id).
     """
-    scored = checkpointed(posteriors(docs, labels, p, key))  # narrow: a count and three small numbers a document
-    # (grid + 1) ** (domains - 1) cells at most, so few tasks do for each step
-    cells = checkpointed(scored.groupBy("q").agg(F.sum("n_tokens").alias("tokens")).coalesce(8))
-    history = fit_rates(cells, p)
+    scored = checkpointed(posteriors(docs, labels, p, key))  # narrow: a count and three numbers a document
+    directions = fit_rates(scored, p)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = np.array(column(batch, "q").to_pylist(), float).reshape(-1, len(DOMAINS))
-            rate = np.round(rates(q, history, p)[0], 9)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_tokens"), *(pa.array(q[:, k] / p.grid) for k in range(len(DOMAINS))), pa.array(rate)], ["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate"])
+            q = matrix(batch)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_tokens"), *(pa.array(q[:, k]) for k in range(len(DOMAINS))), pa.array(np.round(rates(q, directions), 9))], ["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate"])
 
     return scored.mapInArrow(rated, "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double")

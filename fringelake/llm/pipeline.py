@@ -16,6 +16,15 @@ from .session import checkpoint_folder, checkpointed, table
 #: Rows are told apart by a hash of all their columns: ids may be null or shared by unlike texts.
 KEY = "__row_key"
 
+
+def free(name: str, taken: list[str]) -> str:
+    """`name`, with underscores after it while it is taken (case does not count)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """`docs` with a key of the row's content; rows of one key are copies in all columns."""
     nulls = F.array(*[F.col(f"`{c}`").isNull() for c in docs.columns])  # the hash skips nulls
@@ -61,10 +70,12 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds n_tokens, the posteriors and the rate of each document."""
+    """Adds n_tokens, the posteriors and the rate of each document; a name that `docs` has already gets an underscore more."""
     keyed = _keyed(docs)
-    rates = mixing.mix_rates(keyed, table(spark, sf_dir, "labels"), key=KEY).withColumnRenamed("doc_id", KEY)
-    return keyed.join(rates.dropDuplicates([KEY]), KEY).drop(KEY)
+    rates = mixing.mix_rates(keyed, table(spark, sf_dir, "labels"), key=KEY).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", KEY)
+    for name in [c for c in rates.columns if c != KEY]:
+        rates = rates.withColumnRenamed(name, free(name, docs.columns))
+    return keyed.join(rates, KEY).drop(KEY)
 
 
 STAGES = [

@@ -15,7 +15,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, set first if need be."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fringelake-checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fringelake-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -23,7 +26,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Writes `df` to the shared checkpoint folder and returns the written copy.
 
     The folder comes from ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a folder of our own is used.
+    (tests, one machine with master local) a folder of our own is used.
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

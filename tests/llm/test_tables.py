@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 
 from fringelake.llm import chat, mixing, pipeline, urls
@@ -71,17 +72,42 @@ def test_rates_meet_targets(spark):
         if k % 2:
             labels.append((k, int(kind != 1), int(kind == 2)))
     docs = spark.createDataFrame([*rows, (600, None, "z"), (601, "", "z"), (5, rows[5][1], "z")], "doc_id long, text string, rate string")
-    p = mixing.Mix()
-    got = mixing.mix_rates(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), p).collect()
-    assert len(got) == 603 and all(r["rate"] >= 0 for r in got)
-    total = sum(r["n_tokens"] for r in got)
-    for d, t in zip(mixing.DOMAINS, p.targets):
-        assert abs(sum(r["rate"] * r["n_tokens"] * r[f"p_{d}"] for r in got) / total - t) < 0.02
-    assert mixing.mix_rates(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for targets in ((0.9, 0.09, 0.01), (0.5, 0.1, 0.4), (0.15, 0.05, 0.8)):
+        p = mixing.Mix(targets=targets)
+        rated = mixing.mix_rates(docs, marks, p)
+        got = rated.collect()
+        assert len(got) == 603 and all(r["rate"] >= 0 for r in got)
+        total = sum(r["n_tokens"] for r in got)
+        shares = {r["domain"]: r["share"] for r in mixing.reached(rated).collect()}
+        for d, t in zip(mixing.DOMAINS, p.targets):
+            assert abs(sum(r["rate"] * r["n_tokens"] * r[f"p_{d}"] for r in got) / total - t) < 0.001 * t and abs(shares[d] - t) < 0.001 * t
+    far = mixing.mix_rates(docs, marks, mixing.Mix(targets=(0.9, 0.09999, 0.00001)))  # every document may be toxic with some chance: out of reach
+    assert {r["domain"]: r["share"] for r in mixing.reached(far).collect()}["toxic"] < 0.01
+    assert mixing.mix_rates(docs.limit(0), marks).count() == 0
     even = mixing.mix_rates(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len({r["rate"] for r in even}) == 1
 
 
+def test_rates_against_least_squares():
+    """The fit meets what a plain solver of the same nonnegative least squares meets."""
+    rng = np.random.default_rng(4)
+    q = rng.dirichlet((0.4, 0.3, 0.1), 500)
+    tokens = rng.integers(1, 300, 500).astype(float)
+    a = (q * tokens[:, None]).T / tokens.sum()
+    targets = np.array([0.2, 0.2, 0.6])
+    x = np.ones(500)
+    for _ in range(20_000):
+        x = np.maximum(0, x - 0.5 / np.linalg.norm(a, 2) ** 2 * a.T @ (a @ x - targets))
+    assert np.allclose(a @ x, targets, rtol=1e-3)  # within reach
+    directions = []
+    for _ in range(40):
+        rate = mixing.rates(q, directions)
+        off = a @ rate - targets
+        directions.append(np.linalg.lstsq((q * (tokens * (rate > 0))[:, None]).T @ q / tokens.sum(), off, rcond=1e-9)[0].tolist())
+    assert np.allclose(a @ mixing.rates(q, directions), targets, rtol=1e-4)
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -106,5 +132,10 @@ def test_stages_tell_rows_apart_without_ids(spark, tmp_path):
     assert held(pipeline.quality_rules(spark, docs, str(tmp_path))) == want(0, 1, 2, 3, 4, 5, 6, 7, 8, 10)
     assert held(pipeline.near_duplicates(spark, docs, str(tmp_path))) == want(0, 2, 3, 4, 7, 8, 9, 10)
     assert held(pipeline.benchmark_free(spark, docs, str(tmp_path))) == want(0, 1, 2, 3, 4, 5, 6, 8, 9, 10)
+    clashing = docs.withColumn("rate", docs["doc_id"]).withColumn("N_tokens", docs["doc_id"]).withColumn("found", docs["text"]).withColumn("clean_text", docs["text"])
+    assert pipeline.mixed(spark, clashing, str(tmp_path)).columns[-6:] == ["clean_text", "n_tokens_", "p_good", "p_low", "p_toxic", "rate_"]
+    for stage in (pipeline.quality_rules, pipeline.near_duplicates, pipeline.benchmark_free, pipeline.without_personal_data):
+        assert stage(spark, clashing, str(tmp_path)).columns == clashing.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert pipeline.mixed(spark, docs.limit(0), str(tmp_path)).count() == 0
     mixed = pipeline.mixed(spark, docs, str(tmp_path))
     assert held(mixed) == want(*range(len(rows))) and all(r["n_tokens"] == len(r["text"].split()) for r in mixed.collect())
