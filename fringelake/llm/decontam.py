@@ -2,38 +2,45 @@
 
 Numbers, names and units become typed placeholders, so that a re-parameterised
 question has the template of its source. Windows of five canonical words are
-hash-joined between benchmark and documents: the benchmark's windows are a
-stated query set and meet every document in blocks of a fixed size, held as a
-sorted hash table in each task. A document is contaminated by an item if one
-stretch of it has at least 0.8 of the item's distinct windows and the slots
-agree along an alignment (in a copy they always do): each value of the item's
-slots maps to one value of the document's.
+hash-joined between documents and benchmark. A document is contaminated by an
+item if one stretch of it has at least 0.8 of the item's distinct windows and
+the slots agree along an alignment (in a copy they always do): each value of
+the item's slots maps to one value of the document's.
+
+So an item needs a hit among any fifth (and one more) of its distinct windows:
+only the rarest fifth in the benchmark, its prefix, is joined, and a template
+that many items have (number after number) makes no pairs by itself. A bitmap of
+the prefixes' hashes, of a bounded size, goes to the tasks that read documents;
+what passes it meets the prefixes in a join, and a document's text meets the
+items that it may hold, each pair once, to be judged.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .textkit import FOLDED, NON_ALNUM, U64, Sums, buffers, column, slices, word_hashes, words
+from .session import checkpointed
+from .textkit import FOLDED, NON_ALNUM, U64, Sums, buffers, column, mix, slices, word_hashes, words
 
 
 @dataclass(frozen=True)
 class Match:
     """window: words; similarity: least share of an item's windows; slack: how much
     longer than the item a stretch may be; agree: least share of consistent slots;
-    block: benchmark windows a pass."""
+    most_bits: of the bitmap, as a power of two."""
 
     window: int = 5
     similarity: float = 0.8
     slack: float = 1.5
     agree: float = 0.9
-    block: int = 1 << 20
+    most_bits: int = 27
 
 
 #: Units that follow a number.
@@ -74,7 +81,11 @@ class Canonical:
         units = _unit_hashes()
         is_unit = units[np.minimum(np.searchsorted(units, self.raw), len(units) - 1)] == self.raw
         self.h[number] = NUMBER
-        self.h[upper & single & ~number] = NAME
+        name = upper & single & ~number
+        # a name that opens a sentence is known by standing inside one elsewhere in the text
+        key = mix(self.raw + self.row.astype(U64) * U64(0x9E3779B97F4A7C15))
+        name |= upper & ~number & np.isin(key, key[name])
+        self.h[name] = NAME
         self.h[is_unit & np.r_[False, number[:-1]] & ~opens & ~number] = UNIT
         self.slot = self.h != self.raw
 
@@ -234,15 +245,72 @@ def contaminations(c: Canonical, index: Index, p: Match) -> list[tuple[int, int,
     return found
 
 
-def benchmark_blocks(benchmark: DataFrame, p: Match) -> Iterator[tuple[list[int], list[str]]]:
-    """The benchmark in blocks of at most about p.block words, by its own hash."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
-    n = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-n // (4 * p.block))
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        rows.sort(key=lambda r: (r["item_id"], r["text"]))
-        yield [r["item_id"] for r in rows], [r["text"] for r in rows]
+def _item_windows(batches: Iterator[pa.RecordBatch], p: Match) -> Iterator[pa.RecordBatch]:
+    """Distinct (item, h) of the benchmark's windows, and how many an item has."""
+    for batch in batches:
+        data, off = buffers(column(batch, "text"))
+        c = Canonical(data, off)
+        at, h = c.windows(p.window)
+        rows, h = np.unique(np.column_stack([c.row[at].astype(U64), h]), axis=0).T if len(at) else np.zeros((2, 0), U64)
+        n = np.bincount(rows.astype(np.int64), minlength=batch.num_rows)
+        items = column(batch, "item").to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array(items[rows.astype(np.int64)]), pa.array(h.view(np.int64)), pa.array(n[rows.astype(np.int64)])], ["item", "h", "n"])
+
+
+def prefixes(items: DataFrame, p: Match) -> DataFrame:
+    """(item, h): the windows, rarest in the benchmark first, of which a document must have one to have p.similarity of the item's."""
+    windows = items.select("item", "text").mapInArrow(lambda it: _item_windows(it, p), "item long, h long, n long")
+    often = windows.groupBy("h").agg(F.count(F.lit(1)).alias("items"))
+    order = Window.partitionBy("item").orderBy("items", "h")  # an item's own windows
+    ranked = windows.join(often, "h").withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(p.similarity) - 1e-9) + 1).select("item", "h")
+
+
+def bitmap(prefix: DataFrame, p: Match) -> tuple[int, np.ndarray]:
+    """(bits, bytes): which hashes modulo 2**bits stand in a prefix; 2**p.most_bits bits at most."""
+    n = prefix.count()
+    bits = min(p.most_bits, max(16, (64 * n).bit_length()))
+    at = prefix.select((F.pmod("h", F.lit(1 << bits)) + 1).alias("at"))
+    rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect()
+    out = np.zeros(max(1 << bits, 1 << 15) // 8, np.uint8)
+    for r in rows:
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["map"], np.uint8)
+    return bits, out
+
+
+def _marked(batches: Iterator[pa.RecordBatch], bits: int, known: np.ndarray, p: Match) -> Iterator[pa.RecordBatch]:
+    """doc_id; and of texts with windows that pass the bitmap: these, a digest of the text, the text."""
+    for batch in batches:
+        texts = column(batch, "text")
+        data, off = buffers(texts)
+        hits: list[list[int]] = [[] for _ in range(batch.num_rows)]
+        for i, j in slices(off):
+            c = Canonical(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            at, h = c.windows(p.window)
+            place = h & U64((1 << bits) - 1)
+            k = np.flatnonzero((known[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8)) & 1)
+            pairs = np.unique(np.column_stack([c.row[at[k]].astype(U64), h[k]]), axis=0) if len(k) else np.zeros((0, 2), U64)
+            for row, x in zip(pairs[:, 0].tolist(), pairs[:, 1].view(np.int64).tolist()):
+                hits[i + row].append(x)
+        kept = [t.as_py() if x else None for t, x in zip(texts, hits)]
+        digest = [hashlib.blake2b(t.encode(), digest_size=16).digest() if t is not None else None for t in kept]
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(hits, pa.list_(pa.int64())), pa.array(digest, pa.binary()), pa.array(kept, pa.string())], ["doc_id", "hits", "digest", "text"])
+
+
+def _verdicts(left: pa.Table, right: pa.Table, p: Match) -> pa.Table:
+    """A text and the items that it may hold, one piece of the benchmark after the other."""
+    found, share = set(), 0.0
+    if left.num_rows and right.num_rows:
+        data, off = buffers(column(left, "text").slice(0, 1))
+        c = Canonical(data, off)
+        pairs = sorted(zip(column(right, "item_id").to_pylist(), column(right, "item_text").to_pylist()))
+        for k in range(0, len(pairs), 64):
+            ids, texts = zip(*pairs[k : k + 64])
+            for _, item, s in contaminations(c, Index.build(list(ids), list(texts), p), p):
+                found.add(ids[item])
+                share = max(share, s)
+    digest = column(left, "digest").slice(0, 1).to_pylist() if found else []
+    return pa.table([pa.array(digest, pa.binary()), pa.array([sorted(found)] * len(digest), pa.list_(pa.int64())), pa.array([share] * len(digest), pa.float64())], ["digest", "item_ids", "similarity"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Match = Match()) -> DataFrame:
@@ -250,22 +318,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Match = Match()) ->
 
     Null and empty texts are clean; so is everything where the benchmark is
     empty; items without words match nothing; items of fewer than five words
-    are one window. Repeated documents are judged each, repeated items reported once.
+    are one window. Long texts are judged whole. Repeated documents are judged
+    each, repeated items reported once; a share or agreement at its limit (a
+    tie) counts as reached. Columns other than those named are not read.
     """
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.array().cast("array<bigint>").alias("item_ids"), F.lit(0.0).alias("similarity"))
-    for ids, texts in benchmark_blocks(benchmark, p):
-        marked = marked.mapInArrow(lambda it, i=ids, t=texts: _marked(it, i, t, p), marked.schema)
-    return marked.select("doc_id", "item_ids", "similarity", (F.size("item_ids") > 0).alias("contaminated"))
-
-
-def _marked(batches: Iterator[pa.RecordBatch], ids: list[int], texts: list[str], p: Match) -> Iterator[pa.RecordBatch]:
-    index = Index.build(ids, texts, p)
-    for batch in batches:
-        data, off = buffers(column(batch, "text"))
-        items = [set(x) for x in column(batch, "item_ids").to_pylist()]
-        share = column(batch, "similarity").to_pylist()
-        for i, j in slices(off):
-            for row, item, s in contaminations(Canonical(data[off[i] : off[j]], off[i : j + 1] - off[i]), index, p):
-                items[i + row].add(ids[item])
-                share[i + row] = max(share[i + row], s)
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text"), pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array(share, pa.float64())], ["doc_id", "text", "item_ids", "similarity"])
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null").distinct()
+    items = items.withColumn("item", F.xxhash64("item_id", "text"))
+    prefix = checkpointed(prefixes(items, p))
+    bits, known = bitmap(prefix, p)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = checkpointed(texts.mapInArrow(lambda it: _marked(it, bits, known, p), "doc_id long, hits array<long>, digest binary, text string"))
+    some = marked.where("digest is not null")
+    pairs = some.select("digest", F.explode("hits").alias("h")).distinct().join(prefix, "h").select(F.col("digest").alias("of"), "item").distinct()
+    pairs = checkpointed(pairs)
+    held = pairs.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").select("of", "item_id", "item_text")
+    once = some.select("digest", "text").dropDuplicates(["digest"]).join(pairs.select(F.col("of").alias("digest")).distinct(), "digest", "left_semi")
+    found = once.groupBy("digest").cogroup(held.groupBy("of")).applyInArrow(lambda a, b: _verdicts(a, b, p), "digest binary, item_ids array<long>, similarity double")
+    judged = some.select("doc_id", "digest").join(checkpointed(found), "digest", "left").select("doc_id", "item_ids", "similarity")
+    clean = marked.where("digest is null").select("doc_id", F.lit(None).cast("array<long>").alias("item_ids"), F.lit(None).cast("double").alias("similarity"))
+    whole = judged.unionByName(clean)
+    return whole.select("doc_id", F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.col("item_ids").isNotNull().alias("contaminated"))

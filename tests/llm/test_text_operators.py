@@ -355,11 +355,63 @@ def test_decontamination(spark):
     got = {r["doc_id"]: r for r in decontam.decontaminate(docs, bench).collect()}
     assert {d for d, x in got.items() if x["contaminated"]} == {1, 2}
     assert got[1]["item_ids"] == [10]
-    small = {r["doc_id"]: r["contaminated"] for r in decontam.decontaminate(docs, bench, decontam.Match(block=8)).collect()}
+    small = {r["doc_id"]: r["contaminated"] for r in decontam.decontaminate(docs, bench, decontam.Match(most_bits=3)).collect()}
     assert small == {d: x["contaminated"] for d, x in got.items()}
+    repeated = decontam.decontaminate(docs.unionByName(docs).withColumn("hits", docs["text"]).withColumn("digest", docs["doc_id"]), bench).collect()
+    assert sorted((r["doc_id"], r["contaminated"]) for r in repeated) == sorted([(d, x["contaminated"]) for d, x in got.items()] * 2)
+    assert decontam.decontaminate(docs.limit(0), bench).count() == 0
     assert not any(r["contaminated"] for r in decontam.decontaminate(docs, bench.limit(0)).collect())
 
 
+def brute_force_share(text, item, p):
+    """The largest share of the item's distinct windows in a stretch, window by window."""
+    def canonical(t):
+        data, off = buffers(pa.array([t]))
+        c = decontam.Canonical(data, off)
+        return [tuple(c.h[k : k + p.window].tolist()) for k in range(max(1, len(c.h) - p.window + 1))], len(c.h)
+
+    (a, _), (b, n) = canonical(text), canonical(item)
+    span = int(n * p.slack) + p.window
+    return max((len(set(a[k : k + span + 1]) & set(b)) for k in range(len(a))), default=0) / len(set(b))
+
+
+def test_recall_of_new_parameters(spark):
+    """Generated questions with other numbers, names and units are found; texts with their words in another order are not."""
+    r = random.Random(21)
+    words_ = ["".join(r.choice("klmnopqr") for _ in range(5)) for _ in range(80)]
+    names = ["Alice", "Boris", "Chloe", "Derek", "Emma", "Farid", "Greta"]
+    units = ["km", "miles", "hours", "kg"]
+
+    def item(k):
+        q = random.Random(k)
+        return [q.choice(words_) if q.random() > 0.25 else q.choice(["#", "@", "# %"]) for _ in range(q.randrange(18, 40))]
+
+    def filled(template, seed):
+        q = random.Random(seed)
+        a, b = q.sample(names, 2)
+        n, u = q.randrange(2, 900), q.choice(units)
+        out = []
+        for k, w in enumerate(template):
+            w = w.replace("@", (a if k % 2 else b)).replace("#", str(n + 7 * k)).replace("%", u)
+            out.append(w)
+        return " ".join(out)
+
+    templates = [item(k) for k in range(60)]
+    bench = [(k, filled(t, 1000 + k)) for k, t in enumerate(templates)]
+    fill = lambda n: " ".join(r.choice(words_) for _ in range(n))
+    rows = [(k, f"{fill(r.randrange(60))}. and {filled(t, 5000 + k)} {fill(r.randrange(60))}") for k, t in enumerate(templates)]
+    rows += [(100 + k, fill(120)) for k in range(60)] + [(200 + k, " ".join(random.Random(k).sample(filled(t, k).split(), len(filled(t, k).split())))) for k, t in enumerate(templates)]
+    rows += [(300, " ".join(str(k * k) for k in range(4000)))]
+    bench += [(400 + k, " ".join(str(10 * k + i) for i in range(12)) + " sum of these") for k in range(30)]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(bench, "item_id long, text string")
+    got = {x["doc_id"]: x["item_ids"] for x in decontam.decontaminate(docs, table).collect()}
+    p = decontam.Match()
+    assert sum(k in got[k] for k in range(60)) >= 0.95 * 60
+    assert not any(got[k] for k in got if k >= 100)
+    for d, t in rows[:180:7]:  # nothing is reported that has too few windows
+        assert all(brute_force_share(t, bench[k][1], p) >= p.similarity for k in got[d])
+
+
 def test_decontamination_of_repeated_templates(spark):
     numbers = "Add 12 34 56 78 91 23 45 67 please now"
     shop = "The shop sells 12 red pens for 3 dollars and the shop sells 40 red pens for 9 dollars so how much do both cost"
