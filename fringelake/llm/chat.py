@@ -8,6 +8,10 @@ one comes after every call whose result its arguments mention ("$id"); their
 arguments are checked against schemas; each message, call and result becomes
 one row with canonical JSON (sorted keys, no blanks). A conversation is never
 gathered into one row: (turn, level, seq) is its order.
+
+Plain conversations can be read as tool traffic: each user turn calls the tool
+`reply` with its text, after the exchange before, and the assistant's next turn
+is the result.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ TOOLS: Schemas = {
     "calculator": {"expression": ("string", True)},
     "weather": {"city": ("string", True), "days": ("integer", False), "metric": ("boolean", False)},
 }
+#: The tool that a plain conversation calls.
+REPLY: Schemas = {"reply": {"prompt": ("string", True), "after": ("string", False)}}
 _TYPES = {"string": "^STRING$", "integer": "^(BIGINT|DECIMAL\\(\\d+,0\\))$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}
 
 
@@ -36,46 +42,103 @@ def _problems(schemas: Schemas) -> Column:
         for arg, (kind, required) in sorted(fields.items()):
             got = F.schema_of_variant(F.try_variant_get(F.col("args"), f"$.{arg}", "variant"))
             absent = got.isNull()
-            checks.append(F.when(absent, F.lit(f"missing {arg}") if required else F.lit(None)).when(~got.rlike(_TYPES[kind]), F.lit(f"type {arg}")))
+            fits = got.rlike(_TYPES[kind])
+            if kind == "integer":  # 1e0 is one too
+                number = F.try_variant_get(F.col("args"), f"$.{arg}", "double")
+                fits = fits | (got.rlike("^(DOUBLE|DECIMAL)") & F.coalesce(number == F.floor(number), F.lit(False)))
+            checks.append(F.when(absent, F.lit(f"missing {arg}") if required else F.lit(None)).when(~fits, F.lit(f"type {arg}")))
         keys = F.coalesce(F.json_object_keys(F.to_json("args")), F.array().cast("array<string>"))
         unknown = F.transform(F.array_except(keys, F.array(*[F.lit(a) for a in sorted(fields)])), lambda k: F.concat(F.lit("unknown "), k))
         out = out.when(F.col("name") == tool, F.sort_array(F.concat(F.array_compact(F.array(*checks)), unknown)))
     return out.otherwise(F.array(F.lit("unknown tool")))
 
 
-def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): how long a chain of others precedes a call; calls in or behind a cycle have none."""
-    mention = F.explode(F.regexp_extract_all(F.to_json("args"), F.lit(r'"\$([^"\\]+)"'), F.lit(1))).alias("needs")
-    ids = calls.select("conv_id", "call_id").distinct()
-    needs = calls.select("conv_id", "call_id", mention).distinct()
-    needs = checkpointed(needs.join(ids.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"]))
-    waiting = checkpointed(needs.select("conv_id", "call_id").distinct())
-    levels = ids.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    level, n = 0, waiting.count()
-    while n:
-        # what a call needs that has a level holds it up no more
-        needs = needs.join(waiting.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi")
-        rest = checkpointed(needs.select("conv_id", "call_id").distinct())
-        left = rest.count()
-        if left == n:
+NODE = ["conv_id", "call_id"]
+
+
+def _levels(ids: DataFrame, needs: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level): the longest chain of others before a call; calls in or behind a cycle have none.
+
+    ids: distinct calls; needs (conv_id, call_id, needs): distinct, among them.
+    Chains of calls that each need one other are jumped along, twice as far
+    each round; the calls that need several are freed in order after that.
+    """
+    of = needs.groupBy(NODE).agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("to"))
+    one = checkpointed(of.where("n = 1").select("conv_id", "call_id", "to", F.lit(1).alias("far")))
+    rounds = one.count().bit_length() + 1
+    for _ in range(rounds):
+        further = one.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"))
+        one = checkpointed(one.join(further, ["conv_id", "to"], "left").select("conv_id", "call_id", F.coalesce("next", "to").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("next").isNotNull().alias("on")))
+        if one.where("on").isEmpty():
             break
-        level += 1
-        levels = levels.unionByName(waiting.join(rest, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
-        waiting, n = rest, left
-        if level % 8 == 0:  # plans stay short however long the chains
-            levels, needs = checkpointed(levels), checkpointed(needs)
-    return levels
+    # who still goes on runs in a circle
+    several = checkpointed(of.where("n > 1").select(NODE))
+    ends = one.withColumnRenamed("call_id", "needs").withColumnRenamed("to", "end")
+    held = needs.join(several, NODE, "left_semi").join(ends, ["conv_id", "needs"], "left").select("conv_id", "call_id", F.coalesce("end", "needs").alias("to"), (1 + F.coalesce("far", F.lit(0))).alias("far"), F.coalesce("on", F.lit(False)).alias("stuck"))
+    free = ids.join(needs.select(NODE).distinct(), NODE, "left_anti").withColumn("level", F.lit(0))
+    held = held.join(free.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("base")), ["conv_id", "to"], "left")
+    held, levels = checkpointed(held), free
+    while True:
+        ready = held.groupBy(NODE).agg(F.max(F.col("base") + F.col("far")).alias("level"), F.max(F.col("base").isNull() | F.col("stuck")).alias("waits")).where("not waits").select("conv_id", "call_id", "level")
+        ready = checkpointed(ready)
+        if ready.isEmpty():
+            break
+        levels = checkpointed(levels.unionByName(ready))  # plans stay short however long the chains
+        left = held.join(ready.select(NODE), NODE, "left_anti")
+        known = ready.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("now"))
+        held = checkpointed(left.join(known, ["conv_id", "to"], "left").select("conv_id", "call_id", "to", "far", "stuck", F.coalesce("base", "now").alias("base")))
+    chained = one.where("not on") if "on" in one.columns else one
+    chained = chained.join(levels.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("base")), ["conv_id", "to"])
+    return levels.unionByName(chained.select("conv_id", "call_id", (F.col("base") + F.col("far")).alias("level")))
+
+
+def _ordered(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level, turns): level is null in a cycle and behind one; `turns` tells the two apart: in one."""
+    mention = F.explode(F.regexp_extract_all(F.to_json("args"), F.lit(r'"\$([^"\\]+)"'), F.lit(1))).alias("needs")
+    ids = checkpointed(calls.select(NODE).where("conv_id is not null and call_id is not null").distinct())
+    needs = calls.select("conv_id", "call_id", mention).distinct().join(ids.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"])
+    needs = checkpointed(needs.select("conv_id", "call_id", "needs"))
+    levels = checkpointed(_levels(ids, needs))
+    stuck = checkpointed(ids.join(levels, NODE, "left_anti"))
+    if stuck.isEmpty():
+        return levels.withColumn("turns", F.lit(False))
+    # of those, who is needed by no one that is in a cycle only waits: the order of the other direction tells
+    back = needs.join(stuck, NODE, "left_semi").join(stuck.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi")
+    waiting = _levels(stuck, back.select("conv_id", F.col("needs").alias("call_id"), F.col("call_id").alias("needs")))
+    turning = stuck.join(waiting, NODE, "left_anti").withColumn("turns", F.lit(True))
+    none = F.lit(None).cast("int")
+    return levels.withColumn("turns", F.lit(False)).unionByName(turning.withColumn("level", none)).unionByName(stuck.join(waiting, NODE, "left_semi").withColumn("level", none).withColumn("turns", F.lit(False)))
+
+
+def as_tool_traffic(conversations: DataFrame) -> DataFrame:
+    """Plain turns as calls of `reply` and their results.
+
+    A user turn t is the call `t<t>` with its text as prompt, after `$t<t - 2>`
+    (the exchange before, if there is one); an assistant turn t is the result
+    of call `t<t - 1>`. Other roles keep their text.
+    """
+    turn = F.col("turn").cast("long")
+    name = lambda t: F.concat(F.lit("t"), t.cast("string"))
+    arguments = F.struct(F.col("text").cast("string").alias("prompt"), F.when(turn >= 2, F.concat(F.lit("$"), name(turn - 2))).alias("after"))
+    call = F.to_json(F.struct(F.array(F.struct(name(turn).alias("id"), F.lit("reply").alias("name"), arguments.alias("arguments"))).alias("tool_calls")))
+    result = F.to_json(F.struct(name(turn - 1).alias("tool_call_id"), F.col("text").cast("string").alias("content")), {"ignoreNullFields": "false"})
+    role = F.col("role").cast("string")
+    return conversations.select(
+        "conv_id", "turn", F.when(role == "user", F.lit("assistant")).when(role == "assistant", F.lit("tool")).otherwise(role).alias("role"),
+        F.when(role == "user", call).when(role == "assistant", result).otherwise(F.col("text").cast("string")).alias("text"),
+    )
 
 
 def linked_chats(conversations: DataFrame, schemas: Schemas = TOOLS) -> DataFrame:
     """conv_id, turn, level, seq, kind, role, call_id, status, json.
 
     kind is message, call or result. status is ok for messages; for calls ok,
-    unanswered, duplicate (a later use of an identifier), cycle (in one or behind it), or invalid
-    with the complaints; for results ok, or orphan, duplicate. A null text is a message
+    unanswered, duplicate (a later use of an identifier), cycle, behind a cycle
+    (it waits for one), or invalid with the complaints; for results ok, or orphan, duplicate. A null text is a message
     with null content; JSON that does not parse, or lacks these fields, is an
     ordinary message. Repeated rows give repeated messages; equal calls count
-    as duplicates. A null conv_id or turn keeps its row, but links nothing.
+    as duplicates; of equal results the one of the earliest turn counts. A long
+    text is one row like any other. A null conv_id or turn keeps its row, but links nothing.
     Extra columns are not read; an empty table gives no rows.
     """
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
@@ -101,14 +164,14 @@ def linked_chats(conversations: DataFrame, schemas: Schemas = TOOLS) -> DataFram
     key = ["conv_id", "call_id"]
     first_call = calls.groupBy(key).agg(F.min(F.struct("turn", "seq")).alias("first"))
     first_result = results.groupBy(key).agg(F.min("turn").alias("answered"))
-    levels = _levels(calls.join(first_call, key).where((F.col("turn") == F.col("first.turn")) & (F.col("seq") == F.col("first.seq"))))
+    levels = _ordered(calls.join(first_call, key).where((F.col("turn") == F.col("first.turn")) & (F.col("seq") == F.col("first.seq"))))
 
     linked = calls.join(first_call, key, "left").join(first_result, key, "left").join(levels, key, "left")
     own = (F.col("turn") == F.col("first.turn")) & (F.col("seq") == F.col("first.seq"))
     status = (
         F.when(F.coalesce(~own, F.lit(False)), F.lit("duplicate"))
         .when(F.size("problems") > 0, F.concat(F.lit("invalid: "), F.array_join("problems", "; ")))
-        .when(F.col("call_id").isNotNull() & F.col("level").isNull() & F.col("first").isNotNull(), F.lit("cycle"))
+        .when(F.col("call_id").isNotNull() & F.col("level").isNull() & F.col("first").isNotNull(), F.when(F.col("turns"), F.lit("cycle")).otherwise(F.lit("behind a cycle")))
         .when(F.col("answered").isNull(), F.lit("unanswered"))
         .otherwise(F.lit("ok"))
     )

@@ -19,7 +19,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.linked_chats(table(spark, sf_dir, "conversations"))
+    return chat.linked_chats(chat.as_tool_traffic(table(spark, sf_dir, "conversations")), {**chat.TOOLS, **chat.REPLY})
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Chat, URL, mixing and pipeline operators on small tables."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -54,7 +55,61 @@ def test_long_chains_of_calls_have_levels(spark):
     loop = [("a", "calculator", {"expression": "$b"}), ("b", "calculator", {"expression": "$a"}), ("d", "calculator", {"expression": "$a"})]
     c = spark.createDataFrame([(1, 0, "assistant", CALL(*calls[::-1])), (2, 0, "assistant", CALL(*loop))], "conv_id long, turn long, role string, text string")
     got = {(r["conv_id"], r["call_id"]): (r["level"], r["status"]) for r in chat.linked_chats(c).collect()}
-    assert got == {(1, f"c{k}"): (k, "unanswered") for k in range(40)} | {(2, k): (0, "cycle") for k in "abd"}
+    assert got == {(1, f"c{k}"): (k, "unanswered") for k in range(40)} | {(2, k): (0, "cycle") for k in "ab"} | {(2, "d"): (0, "behind a cycle")}
+
+
+def test_links_against_brute_force(spark):
+    r = random.Random(11)
+    rows, want = [], []
+    for conv in range(40):
+        names = [f"c{k}" for k in range(r.randrange(1, 9))]
+        calls, results = [], []
+        for turn in range(6):
+            if turn % 2 == 0:
+                made = [(r.choice(names), "calculator", {"expression": r.choice(["1", *[f"${n}" for n in names]]), **({"x": f"${r.choice(names)}"} if r.random() < 0.3 else {})}) for _ in range(r.randrange(3))]
+                rows.append((conv, turn, "assistant", CALL(*made)))
+                calls += [(turn, k, *c) for k, c in enumerate(made)]
+            else:
+                n = r.choice([*names, "nobody"])
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": n, "content": turn})))
+                results.append((turn, n))
+        first = {}
+        for turn, k, n, _, a in calls:
+            first.setdefault(n, (turn, k, {v[1:] for v in a.values() if v[0] == "$"}))
+        needs = {n: x[2] & set(first) for n, x in first.items()}
+
+        def level(n, seen=()):
+            if n in seen:
+                return None
+            below = [level(m, (*seen, n)) for m in needs[n]]
+            return None if None in below else max([b + 1 for b in below], default=0)
+
+        def reaches(n, goal, seen):
+            return any(m == goal or (m not in seen and not seen.add(m) and reaches(m, goal, seen)) for m in needs[n])
+
+        for turn, k, n, _, a in calls:
+            status = "duplicate" if first[n][:2] != (turn, k) else "invalid: unknown x" if "x" in a else None
+            if status is None:
+                status = ("cycle" if reaches(n, n, set()) else "behind a cycle") if level(n) is None else "ok" if any(m == n for _, m in results) else "unanswered"
+            want.append((conv, turn, k, "call", n, level(n) or 0, status))
+        for turn, n in results:
+            want.append((conv, turn, 0, "result", n, 0, "orphan" if n not in first else "duplicate" if any(m == n and t < turn for t, m in results) else "ok"))
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = [(x["conv_id"], x["turn"], x["seq"], x["kind"], x["call_id"], x["level"], x["status"]) for x in chat.linked_chats(c).where("kind <> 'message'").collect()]
+    # between two cycles a call is in neither, but needed and waiting
+    loose = lambda rows: sorted((*x[:6], "cycle" if "cycle" in x[6] else x[6]) for x in rows)
+    assert loose(got) == loose(want) and sum(a != b for a, b in zip(sorted(got), sorted(want))) <= 3
+    assert {"cycle", "ok", "unanswered", "duplicate"} <= {x[6] for x in got}
+
+
+def test_plain_turns_are_exchanges(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "ho"), (1, 3, "user", "one"), (1, 4, "assistant", None), (1, 5, "user", "two"), (2, 0, "user", None), (2, 1, "user", "a"), (2, 3, "assistant", "nothing asked"), (None, 0, "user", "x"), (3, None, "assistant", "y")]
+    c = spark.createDataFrame([*rows, rows[1]], "conv_id long, turn long, role string, text string")
+    got = {(x["conv_id"], x["turn"]): (x["kind"], x["level"], x["status"]) for x in chat.linked_chats(chat.as_tool_traffic(c.limit(11)), {**chat.TOOLS, **chat.REPLY}).collect()}
+    assert got[1, 0] == ("message", 0, "ok") and [got[1, k] for k in (1, 3, 5)] == [("call", 0, "ok"), ("call", 1, "ok"), ("call", 2, "unanswered")]
+    assert got[1, 2] == got[1, 4] == ("result", 0, "ok") and got[2, 0] == ("call", 0, "invalid: missing prompt") and got[2, 1] == ("call", 0, "unanswered") and got[2, 3] == ("result", 0, "orphan")
+    again = [x["status"] for x in chat.linked_chats(chat.as_tool_traffic(c), {**chat.TOOLS, **chat.REPLY}).where("conv_id = 1 and turn = 1").collect()]
+    assert len(again) == 2 and len(got) == 11
 
 
 def test_segmentation_is_best():
