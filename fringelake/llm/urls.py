@@ -5,6 +5,12 @@ unigram model counted on the pages themselves; a multinomial naive Bayes over
 host words and path tokens decides the urls that no rule fits. Segmentation
 works on distinct host labels only, whose substrings meet the word counts in a
 join, so neither the vocabulary nor the hosts have to fit anywhere at once.
+
+The classes are fitted to data: to the urls that the rules decide, without what
+the rules themselves look at (the host that a rule names, the path that it
+starts with), so that a site's other pages and its sister sites follow. Hosts of
+one fold are left out, to measure by. Counts are kept by token hash in a bounded
+number of buckets. Labelled example phrases, a parameter, add their own weights.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .session import checkpointed
@@ -31,21 +38,27 @@ BLOCKED = (
     "free money fast", "payday loan cheap", "quick loan cash", "crypto doubler", "get rich fast", "replica watches cheap", "warez crack download", "keygen crack free", "torrent warez", "malware download", "phish login verify", "free gift winner", "free prize claim", "hack cheats free", "cheap rolex replica",
 )
 ALLOWED = (
-    "news daily", "world news", "science journal", "blog", "travel blog", "my blog", "wiki", "open wiki", "school library", "public library", "university research", "college course", "city museum", "health clinic", "doctor advice", "recipe kitchen", "home garden",
+    "news daily", "world news", "science journal", "travel blog", "my blog", "open wiki", "school library", "public library", "university research", "college course", "city museum", "health clinic", "doctor advice", "recipe kitchen", "home garden",
     "book reviews", "movie reviews", "music lessons", "photo gallery", "weather report", "sports results", "football club", "history archive", "art museum", "open source", "software docs", "developer guide", "code tutorial", "math help", "learn language", "local government", "city council",
-    "bank branch", "online store", "shop books", "tech support", "forum", "community forum", "about us", "contact", "mobile m", "www", "article", "page html", "index html", "en", "de", "fr", "es",
+    "bank branch", "online store", "shop books", "tech support", "community forum", "about us", "contact",
 )
 
 
 @dataclass(frozen=True)
 class Filter:
-    """prior: P(block) before any token; smooth: Laplace count; longest: letters of a word at most; example_weight: count of each example word in the unigram model; unknown: letters' cost base."""
+    """prior: P(block) before any token; smooth: Laplace count of the examples; shrink: pseudo
+    count that draws a token's share of blocked urls to the overall one; bits: of the token
+    buckets; folds: hosts with crc32 modulo it 0 are not learnt from; longest: letters of a word
+    at most; example_weight: count of each example word in the unigram model."""
 
     rules: tuple[tuple[str, str, str], ...] = RULES
     blocked: tuple[str, ...] = BLOCKED
     allowed: tuple[str, ...] = ALLOWED
     prior: float = 0.3
     smooth: float = 0.5
+    shrink: float = 10.0
+    bits: int = 18
+    folds: int = 5
     longest: int = 20
     example_weight: int = 50
 
@@ -64,11 +77,11 @@ def with_parts(pages: DataFrame) -> DataFrame:
 
 
 def _rule(rules: tuple[tuple[str, str, str], ...], give: int) -> Column:
-    """The longest rule that fits (give 0), or its verdict (give 1)."""
+    """The longest rule that fits (give 0), its verdict (give 1), its host or path (give 2 or 3)."""
     out = F.when(F.lit(False), F.lit(""))
     for host, path, verdict in sorted(rules, key=lambda r: (-len(r[0] + r[1]), -len(r[0]), r)):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
-        out = out.when(fits, F.lit((host + path, verdict)[give]))
+        out = out.when(fits, F.lit((host + path, verdict, host, path)[give]))
     return out
 
 
@@ -91,18 +104,30 @@ def segment(label: str, counts: dict[str, int], total: float, longest: int = 20)
     return out[::-1]
 
 
+Counts = dict[int, tuple[int, int]]
+
+
 class Bayes:
-    """Multinomial naive Bayes over tokens; tokens of neither class say nothing."""
+    """Multinomial naive Bayes over tokens, from examples and from counts (bucket: allowed, blocked); unknown tokens say nothing."""
 
-    def __init__(self, f: Filter):
-        self.counts = [Counter(t for x in texts for t in x.split()) for texts in (f.allowed, f.blocked)]
-        seen = set(self.counts[0]) | set(self.counts[1])
-        size = [sum(c.values()) + f.smooth * len(seen) for c in self.counts]
-        self.weight = {t: math.log((self.counts[1][t] + f.smooth) / size[1]) - math.log((self.counts[0][t] + f.smooth) / size[0]) for t in seen}
+    def __init__(self, f: Filter, counts: Counts):
+        examples = [Counter(t for x in texts for t in x.split()) for texts in (f.allowed, f.blocked)]
+        seen = set(examples[0]) | set(examples[1])
+        size = [sum(c.values()) + f.smooth * len(seen) for c in examples]
+        self.weight = {t: math.log((examples[1][t] + f.smooth) / size[1]) - math.log((examples[0][t] + f.smooth) / size[0]) for t in seen}
         self.bias = math.log(f.prior / (1 - f.prior))
+        total = [sum(c[k] for c in counts.values()) for k in (0, 1)]
+        share = (total[1] + 0.5) / (sum(total) + 1)
+        self.learnt = {b: math.log((y + f.shrink * share) / (x + f.shrink * (1 - share))) - math.log(share / (1 - share)) for b, (x, y) in counts.items()}
+        self.buckets = 1 << f.bits
 
     def score(self, tokens: list[str]) -> float:
-        return self.bias + sum(self.weight.get(t, 0.0) for t in tokens)
+        return self.bias + sum(self.weight.get(t, 0.0) + self.learnt.get(bucket(t, self.buckets), 0.0) for t in tokens)
+
+
+def bucket(token: str, buckets: int) -> int:
+    """As Spark's xxhash64 has it."""
+    return xxhash.xxh64_intdigest(token.encode(), 42) & (buckets - 1)
 
 
 def word_counts(pages: DataFrame, f: Filter) -> DataFrame:
@@ -117,49 +142,83 @@ def word_counts(pages: DataFrame, f: Filter) -> DataFrame:
     return counted.unionByName(examples).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def host_scores(hosts: DataFrame, counts: DataFrame, f: Filter) -> DataFrame:
-    """(host, host_score, host_words): naive Bayes weight of each distinct host's segmented words."""
-    label = F.explode(F.array_distinct(F.split("host", r"[^a-z]+"))).alias("label")
-    labels = hosts.select(label).where("label <> ''").distinct()
+def labels_of(host: Column) -> Column:
+    return F.filter(F.split(host, r"[^a-z]+"), lambda x: x != "")
+
+
+def segmented(hosts: DataFrame, counts: DataFrame, f: Filter) -> DataFrame:
+    """(label, words) of each distinct label of the hosts."""
+    labels = hosts.select(F.explode(labels_of(F.col("host"))).alias("label")).distinct()
     # every substring of a label that could be a word, with its count; both sides are dealt by the word
     spans = F.explode(F.sequence(F.lit(1), F.length("label"))).alias("start")
     pieces = labels.select("label", spans).select("label", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(f.longest), F.length("label") - F.col("start") + 1)), lambda k: F.col("label").substr(F.col("start"), k))).alias("word")).distinct()
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
     known = pieces.join(counts, "word").groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
-    model, longest = Bayes(f), f.longest
+    longest = f.longest
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, words, scores = column(batch, "label").to_pylist(), [], []
-            for name, own in zip(names, column(batch, "counts").to_pylist()):
-                words.append(segment(name, dict(own or []), total, longest))
-                scores.append(model.score(words[-1]) - model.bias)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(scores, pa.float64())], ["label", "words", "score"])
+            names = column(batch, "label").to_pylist()
+            words = [segment(name, dict(own or []), total, longest) for name, own in zip(names, column(batch, "counts").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.list_(pa.string()))], ["label", "words"])
+
+    return labels.join(known, "label", "left").mapInArrow(split, "label string, words array<string>")
+
+
+def learnt_counts(parts: DataFrame, labels: DataFrame, f: Filter) -> Counts:
+    """Tokens of the urls that a rule decides, by bucket and verdict: 2 ** (bits + 1) numbers at most."""
+    known = parts.where(F.col("ruled").isNotNull() & ~F.col("held_out"))
+    rest = F.when(F.col("host") == F.col("rule_host"), F.lit("")).otherwise(F.expr("substring(host, 1, length(host) - length(rule_host) - 1)"))
+    known = known.select(rest.alias("own"), F.expr("substring(path, length(rule_path) + 1)").alias("rest"), (F.col("ruled") == "block").alias("bad"))
+    hosts = known.groupBy("own", "bad").agg(F.count(F.lit(1)).alias("n"))
+    words = hosts.select("bad", "n", F.explode(labels_of(F.col("own"))).alias("label")).groupBy("label", "bad").agg(F.sum("n").alias("n")).join(labels, "label")
+    words = words.select("bad", "n", F.explode("words").alias("token"))
+    tokens = known.select("bad", F.lit(1).cast("long").alias("n"), F.explode(F.regexp_extract_all(F.lower("rest"), F.lit("[a-z]+"), F.lit(0))).alias("token"))
+    at = F.xxhash64("token").bitwiseAND(F.lit((1 << f.bits) - 1)).alias("bucket")
+    rows = words.unionByName(tokens).groupBy(at).agg(F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("allowed"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("blocked")).collect()
+    return {r["bucket"]: (r["allowed"], r["blocked"]) for r in rows}
+
+
+def host_scores(hosts: DataFrame, labels: DataFrame, f: Filter, counts: Counts) -> DataFrame:
+    """(host, host_score, host_words): naive Bayes weight of each distinct host's words, each as often as it stands there."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Bayes(f, counts)
+        for batch in batches:
+            scores = [model.score(w) - model.bias for w in column(batch, "words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
-    split_labels = labels.join(known, "label", "left").mapInArrow(split, "label string, words array<string>, score double")
-    of_host = hosts.select("host", label).where("label <> ''").join(split_labels, "label")
-    return of_host.groupBy("host").agg(F.sum("score").alias("host_score"), F.array_join(F.sort_array(F.flatten(F.collect_set("words"))), " ").alias("host_words"))
+    scored = labels.mapInArrow(score, "label string, words array<string>, score double")
+    of_host = hosts.select("host", F.posexplode(labels_of(F.col("host"))).alias("at", "label")).join(scored, "label")
+    words = F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: F.array_join(x["words"], " "))
+    return of_host.groupBy("host").agg(F.sum("score").alias("host_score"), F.array_join(words, " ").alias("host_words"))
 
 
-def _path_scores(batches: Iterator[pa.RecordBatch], f: Filter) -> Iterator[pa.RecordBatch]:
-    model, parts = Bayes(f), re.compile(r"[a-z]+")
+def _path_scores(batches: Iterator[pa.RecordBatch], f: Filter, counts: Counts) -> Iterator[pa.RecordBatch]:
+    model, parts = Bayes(f, counts), re.compile(r"[a-z]+")
     for batch in batches:
         scores = [model.score(parts.findall(x.lower())) for x in column(batch, "path").to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "path_score"])
 
 
 def url_verdicts(pages: DataFrame, f: Filter = Filter()) -> DataFrame:
-    """page_id, host, path, rule, verdict, score of every page.
+    """page_id, host, path, rule, verdict, score, host_words, held_out of every page.
 
     A null url, or one without ://, has an empty host and path; no rule fits
-    it, and the classifier sees no token, so its prior allows it. Repeated rows
-    are judged each; an empty table gives no rows; other columns are not read.
+    it, and the classifier sees no token, so its prior allows it; a score of
+    zero (a tie) allows too. Long urls are read whole; a label's substrings are
+    words of `longest` letters at most. Repeated rows are judged each; an empty
+    table gives no rows; other columns are not read. held_out: the host is not
+    learnt from.
     """
-    parts = with_parts(pages).withColumn("rule", _rule(f.rules, 0)).withColumn("ruled", _rule(f.rules, 1))
-    parts = parts.mapInArrow(lambda it: _path_scores(it, f), "page_id long, host string, path string, rule string, ruled string, path_score double")
+    fold = F.crc32(F.col("host").cast("binary")) % f.folds == 0
+    parts = with_parts(pages).withColumn("rule", _rule(f.rules, 0)).withColumn("ruled", _rule(f.rules, 1)).withColumn("held_out", fold)
     hosts = checkpointed(with_parts(pages).select("host").distinct())
-    scores = checkpointed(host_scores(hosts, checkpointed(word_counts(pages, f)), f).withColumnRenamed("host", "of_host"))
+    labels = checkpointed(segmented(hosts, checkpointed(word_counts(pages, f)), f))
+    counts = learnt_counts(parts.withColumn("rule_host", _rule(f.rules, 2)).withColumn("rule_path", _rule(f.rules, 3)), labels, f)
+    parts = parts.mapInArrow(lambda it: _path_scores(it, f, counts), "page_id long, host string, path string, rule string, ruled string, held_out boolean, path_score double")
+    scores = checkpointed(host_scores(hosts, labels, f, counts).withColumnRenamed("host", "of_host"))
     score = F.col("path_score") + F.coalesce("host_score", F.lit(0.0))
     return parts.join(scores, parts["host"] == scores["of_host"], "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(score > 0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), F.round(score, 6).alias("score"), "host_words"
+        "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(score > 0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), F.round(score, 6).alias("score"), "host_words", "held_out"
     )

@@ -58,6 +58,30 @@ def test_long_chains_of_calls_have_levels(spark):
     assert got == {(1, f"c{k}"): (k, "unanswered") for k in range(40)} | {(2, k): (0, "cycle") for k in "ab"} | {(2, "d"): (0, "behind a cycle")}
 
 
+def test_classes_are_learnt_from_ruled_urls(spark):
+    """Concatenated names that the examples do not know: the rules' decisions on some sites are followed on others and on other paths."""
+    r = random.Random(17)
+    bad, fine = ["quorble", "zimflat", "dapnix", "wuggle", "frobyte"], ["meadow", "harbor", "lantern", "orchard", "thimble"]
+    rows = []
+    for k in range(3000):
+        words = bad if k % 2 else fine
+        host = "".join(r.sample(words, 2)) + f"{k % 60}." + ("example.com" if k % 5 else "example.org")
+        # the rules decide com pages in English: fine sites by their longer paths only
+        path = ("/en/6" if k % 2 else "/en/7") + f"{k}" if k % 3 else f"/fr/{k}"
+        rows.append((k, f"https://{host}{path}", "<p>" + " ".join(r.choice(bad + fine) for _ in range(8)) + "</p>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    f = urls.Filter(blocked=("spam",), allowed=("news",))
+    got = urls.url_verdicts(pages, f).where("rule is null").collect()
+    for name, some in (("held out", [x for x in got if x["held_out"]]), ("all", got)):
+        assert len(some) > 100
+        caught = [x["verdict"] == "block" for x in some if x["page_id"] % 2]
+        spared = [x["verdict"] == "allow" for x in some if x["page_id"] % 2 == 0]
+        assert sum(caught) >= 0.9 * len(caught) and sum(spared) >= 0.9 * len(spared), name
+    assert all(len(set(x["host_words"].split()) & set(bad + fine)) == 2 for x in got)
+    twice = urls.url_verdicts(pages.limit(50).unionByName(pages.limit(50)).withColumn("rule", pages["url"]).withColumn("score", pages["url"]), f)
+    assert twice.count() == 100
+
+
 def test_links_against_brute_force(spark):
     r = random.Random(11)
     rows, want = [], []
