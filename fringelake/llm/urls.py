@@ -6,9 +6,9 @@ host words and path tokens decides the urls that no rule fits. Segmentation
 works on distinct host labels only, whose substrings meet the word counts in a
 join, so neither the vocabulary nor the hosts have to fit anywhere at once.
 
-The classes are fitted to data: to the urls that the rules decide, without what
-the rules themselves look at (the host that a rule names, the path that it
-starts with), so that a site's other pages and its sister sites follow. Hosts of
+The classes are fitted to data: urls that the rules block against all others,
+without the words that the rules themselves look at (in the hosts and paths that
+they name), so that a site's other pages and its sister sites follow. Hosts of
 one fold are left out, to measure by. Counts are kept by token hash in a bounded
 number of buckets. Labelled example phrases, a parameter, add their own weights.
 """
@@ -77,11 +77,11 @@ def with_parts(pages: DataFrame) -> DataFrame:
 
 
 def _rule(rules: tuple[tuple[str, str, str], ...], give: int) -> Column:
-    """The longest rule that fits (give 0), its verdict (give 1), its host or path (give 2 or 3)."""
+    """The longest rule that fits (give 0), its verdict (give 1)."""
     out = F.when(F.lit(False), F.lit(""))
     for host, path, verdict in sorted(rules, key=lambda r: (-len(r[0] + r[1]), -len(r[0]), r)):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
-        out = out.when(fits, F.lit((host + path, verdict, host, path)[give]))
+        out = out.when(fits, F.lit((host + path, verdict)[give]))
     return out
 
 
@@ -166,16 +166,16 @@ def segmented(hosts: DataFrame, counts: DataFrame, f: Filter) -> DataFrame:
 
 
 def learnt_counts(parts: DataFrame, labels: DataFrame, f: Filter) -> Counts:
-    """Tokens of the urls that a rule decides, by bucket and verdict: 2 ** (bits + 1) numbers at most."""
-    known = parts.where(F.col("ruled").isNotNull() & ~F.col("held_out"))
-    rest = F.when(F.col("host") == F.col("rule_host"), F.lit("")).otherwise(F.expr("substring(host, 1, length(host) - length(rule_host) - 1)"))
-    known = known.select(rest.alias("own"), F.expr("substring(path, length(rule_path) + 1)").alias("rest"), (F.col("ruled") == "block").alias("bad"))
-    hosts = known.groupBy("own", "bad").agg(F.count(F.lit(1)).alias("n"))
-    words = hosts.select("bad", "n", F.explode(labels_of(F.col("own"))).alias("label")).groupBy("label", "bad").agg(F.sum("n").alias("n")).join(labels, "label")
+    """Tokens of the urls by bucket, blocked by a rule or not: 2 ** (bits + 1) numbers at most."""
+    known = parts.where(~F.col("held_out")).select("host", "path", F.coalesce(F.col("ruled") == "block", F.lit(False)).alias("bad"))
+    hosts = known.groupBy("host", "bad").agg(F.count(F.lit(1)).alias("n"))
+    words = hosts.select("bad", "n", F.explode(labels_of(F.col("host"))).alias("label")).groupBy("label", "bad").agg(F.sum("n").alias("n")).join(labels, "label")
     words = words.select("bad", "n", F.explode("words").alias("token"))
-    tokens = known.select("bad", F.lit(1).cast("long").alias("n"), F.explode(F.regexp_extract_all(F.lower("rest"), F.lit("[a-z]+"), F.lit(0))).alias("token"))
+    tokens = known.select("bad", F.lit(1).cast("long").alias("n"), F.explode(F.regexp_extract_all(F.lower("path"), F.lit("[a-z]+"), F.lit(0))).alias("token"))
     at = F.xxhash64("token").bitwiseAND(F.lit((1 << f.bits) - 1)).alias("bucket")
-    rows = words.unionByName(tokens).groupBy(at).agg(F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("allowed"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("blocked")).collect()
+    ruled = sorted({t for host, path, _ in f.rules for t in re.findall("[a-z]+", f"{host} {path}".lower())})
+    every = words.unionByName(tokens).where(~F.col("token").isin(ruled))
+    rows = every.groupBy(at).agg(F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("allowed"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("blocked")).collect()
     return {r["bucket"]: (r["allowed"], r["blocked"]) for r in rows}
 
 
@@ -215,7 +215,7 @@ def url_verdicts(pages: DataFrame, f: Filter = Filter()) -> DataFrame:
     parts = with_parts(pages).withColumn("rule", _rule(f.rules, 0)).withColumn("ruled", _rule(f.rules, 1)).withColumn("held_out", fold)
     hosts = checkpointed(with_parts(pages).select("host").distinct())
     labels = checkpointed(segmented(hosts, checkpointed(word_counts(pages, f)), f))
-    counts = learnt_counts(parts.withColumn("rule_host", _rule(f.rules, 2)).withColumn("rule_path", _rule(f.rules, 3)), labels, f)
+    counts = learnt_counts(parts, labels, f)
     parts = parts.mapInArrow(lambda it: _path_scores(it, f, counts), "page_id long, host string, path string, rule string, ruled string, held_out boolean, path_score double")
     scores = checkpointed(host_scores(hosts, labels, f, counts).withColumnRenamed("host", "of_host"))
     score = F.col("path_score") + F.coalesce("host_score", F.lit(0.0))

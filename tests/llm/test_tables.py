@@ -66,8 +66,8 @@ def test_classes_are_learnt_from_ruled_urls(spark):
     for k in range(3000):
         words = bad if k % 2 else fine
         host = "".join(r.sample(words, 2)) + f"{k % 60}." + ("example.com" if k % 5 else "example.org")
-        # the rules decide com pages in English: fine sites by their longer paths only
-        path = ("/en/6" if k % 2 else "/en/7") + f"{k}" if k % 3 else f"/fr/{k}"
+        # the rules block the bad com sites' pages in English, and no page of the fine ones
+        path = ("/en/6" if k % 2 else "/en/7") + f"{k}" if k % 3 else f"/{k}"
         rows.append((k, f"https://{host}{path}", "<p>" + " ".join(r.choice(bad + fine) for _ in range(8)) + "</p>"))
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     f = urls.Filter(blocked=("spam",), allowed=("news",))
