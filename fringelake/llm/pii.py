@@ -180,15 +180,21 @@ def _cooccurrences(batches: Iterator[pa.RecordBatch], p: Disclosure) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(cat(x)) for x in (terms, values, kinds, rounds)], ["term", "entity", "kind", "around"])
 
 
-def _surroundings(batches: Iterator[pa.RecordBatch], terms: np.ndarray, p: Disclosure) -> Iterator[pa.RecordBatch]:
-    """Distinct (term, around) of the given terms, wherever they stand."""
+def _surroundings(batches: Iterator[pa.RecordBatch], terms: np.ndarray, p: Disclosure, one_in: int) -> Iterator[pa.RecordBatch]:
+    """Distinct (term, around) of the given terms, wherever they stand; of the surroundings one in so many, by their hash."""
     for batch in batches:
         data, off = buffers(column(batch, "text"))
         for i, j in slices(off):
             w = _Words(data[off[i] : off[j]], off[i : j + 1] - off[i], p)
             at = np.flatnonzero(w.term & _among(w.h, terms))
-            pairs = np.unique(np.column_stack([w.h[at], w.surroundings(at)]).view(np.int64), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["term", "around"])
+            term, around = w.h[at], w.surroundings(at)
+            if one_in > 1:
+                k = np.flatnonzero((around >> np.uint64(20)) % np.uint64(one_in) == 0)
+                term, around = term[k], around[k]
+            order = np.lexsort((around, term))
+            term, around = term[order].view(np.int64), around[order].view(np.int64)
+            new = np.r_[True, (term[1:] != term[:-1]) | (around[1:] != around[:-1])] if len(term) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(term[new]), pa.array(around[new])], ["term", "around"])
 
 
 def _among(h: np.ndarray, sorted_terms: np.ndarray) -> np.ndarray:
@@ -207,27 +213,38 @@ def _blocks(terms: DataFrame, p: Disclosure) -> Iterator[np.ndarray]:
         yield np.sort(np.array([r["term"] for r in rows], np.int64).view(np.uint64))
 
 
+def _alone(texts: DataFrame, terms: DataFrame, p: Disclosure, one_in: int) -> DataFrame:
+    """(term, alone): how many distinct surroundings each term has, or one in so many of them."""
+    out = terms.select("term", F.lit(0).cast("long").alias("alone")).limit(0)
+    for block in _blocks(terms, p):
+        found = texts.mapInArrow(lambda it, b=block: _surroundings(it, b, p, one_in), "term long, around long").distinct()
+        out = out.unionByName(found.groupBy("term").agg(F.count(F.lit(1)).alias("alone")))
+    return checkpointed(out)
+
+
+#: Surroundings of which one is counted first, to leave the frequent terms out.
+ONE_IN = 16
+
+
 def disclosing_terms(texts: DataFrame, p: Disclosure) -> DataFrame:
     """(term): hashes of the terms that give an entity, or one of its kind, away."""
     seen = checkpointed(texts.mapInArrow(lambda it: _cooccurrences(it, p), "term long, entity long, kind long, around long").distinct())
     # a kind is an entity too: any of its values
     wide = seen.select("term", F.col("kind").alias("entity"), "around").distinct().unionByName(seen.select("term", "entity", "around"))
-    pairs = checkpointed(wide.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= p.support))
-    tried = pairs.select("term").distinct()
-    total = None
-    for block in _blocks(tried, p):
-        found = texts.mapInArrow(lambda it, b=block: _surroundings(it, b, p), "term long, around long").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("alone"))
-        total = found if total is None else total.unionByName(found)
-    if total is None:
-        return tried
-    entity = wide.groupBy("entity").agg(F.countDistinct("around").alias("of_entity"))
     blanks = F.length("text") - F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) + 1
     everything = float(texts.agg(F.sum(blanks)).first()[0] or 1)  # words of the corpus, about: any may have the entity close by
-    cost = log2(max(2, tried.count())) + p.bits
-    before = F.least(F.lit(1.0), F.col("of_entity") / F.lit(everything))
-    share = (F.col("together") + before) / (F.col("alone") + 1)
-    gain = F.col("together") * F.log2(share / before)
-    return checkpointed(pairs.join(total, "term").join(entity, "entity").where((share > p.share) & (gain >= cost)).select("term").distinct())
+    entity = wide.groupBy("entity").agg(F.countDistinct("around").alias("of_entity"))
+    pairs = wide.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= p.support)
+    pairs = checkpointed(pairs.join(entity, "entity").withColumn("before", F.least(F.lit(1.0), F.col("of_entity") / F.lit(everything))).drop("of_entity"))
+    cost = log2(max(2, pairs.select("term").distinct().count())) + p.bits
+    # what could not pass even if the term stood nowhere else, and what stands elsewhere too often by a part of its surroundings alone
+    pairs = checkpointed(pairs.where(F.col("together") * F.log2((F.col("together") + F.col("before")) / (F.col("together") + 1) / F.col("before")) >= cost))
+    share = (F.col("together") + F.col("before")) / (F.col("alone") + 1)
+    some = _alone(texts, pairs.select("term").distinct(), p, ONE_IN)
+    pairs = checkpointed(pairs.join(some, "term", "left").withColumn("alone", F.greatest(F.coalesce("alone", F.lit(0)), "together")).where(share > p.share).drop("alone"))
+    every = _alone(texts, pairs.select("term").distinct(), p, 1)
+    gain = F.col("together") * F.log2(share / F.col("before"))
+    return checkpointed(pairs.join(every, "term").where((share > p.share) & (gain >= cost)).select("term").distinct())
 
 
 def _term_spans(batches: Iterator[pa.RecordBatch], terms: np.ndarray, p: Disclosure) -> Iterator[pa.RecordBatch]:
