@@ -37,4 +37,4 @@ def from_base64_url(s: Column) -> Column:
 
 
 def output_name(kind: str, iteration: Column, ext: str) -> Column:
-    return F.concat(F.lit(f"{kind}_iter"), F.lpad(iteration.cast("string"), 4, "0"), F.lit(f".{ext}"))
+    return F.concat(F.lit(f"{kind}_iter"), F.lpad(iteration.cast("string"), F.greatest(F.lit(4), F.length(iteration.cast("string"))), F.lit("0")), F.lit(f".{ext}"))

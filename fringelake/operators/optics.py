@@ -92,10 +92,28 @@ def hermite_order(i: Column) -> Column:
 
 
 def sampling_metrics(lam: Column, conv_mrad: Column, defocus: Column, step: Column, diff_step_mrad: Column) -> dict[str, Column]:
-    """Metrics of a scan set-up: probe radius, linear and areal oversampling, overlap, Ronchigram magnification."""
+    """Metrics of a scan set-up: geometric probe radius, fundamental and probe sampling, linear and areal oversampling, Ronchigram magnification, and the parameters."""
     radius = F.abs(defocus) * F.tan(conv_mrad * 1e-3)
     window = lam / (diff_step_mrad * 1e-3)
     return {
         "probe_radius": radius, "fov": window, "linear_overlap": 1 - F.try_divide(step, 2 * radius), "areal_oversamp": F.try_divide(math.pi * radius * radius, step * step),
-        "linear_oversamp": F.try_divide(window, step), "ronchi_mag": F.try_divide(F.lit(1.0), F.abs(defocus) * diff_step_mrad * 1e-3), "k_max": F.try_divide(conv_mrad * 1e-3, lam),
+        "fund_samp": F.try_divide(window, step), "probe_samp": F.try_divide(window, 2 * radius), "linear_oversamp": F.try_divide(2 * radius, step), "ronchi_mag": F.try_divide(conv_mrad, diff_step_mrad * radius), "k_max": F.try_divide(conv_mrad * 1e-3, lam),
+        "wavelength": lam, "conv_angle": conv_mrad, "defocus": defocus, "scan_step": step, "diff_step": diff_step_mrad,
     }
+
+
+# Two Gaussian classes (failure, success) over log10 of Ronchigram magnification and areal oversampling.
+CLASS_MEANS = ((0.49027803, 1.82918678), (0.80980859, 2.00158048))
+CLASS_ROTATIONS = (((-0.2316652028331075, 0.972795576571098), (0.972795576571098, 0.2316652028331075)), ((-0.26985970170864165, 0.9628996528162853), (0.9628996528162853, 0.26985970170864165)))
+CLASS_VARIANCES = ((0.56440416, 0.07769331), (0.4110058, 0.06621369))
+
+
+def success_probability(ronchi_mag: Column, areal_oversamp: Column) -> Column:
+    """P(success) by quadratic discriminants with even priors."""
+    u, w = F.log10(ronchi_mag), F.log10(areal_oversamp)
+    scores = []
+    for mean, axes, variances in zip(CLASS_MEANS, CLASS_ROTATIONS, CLASS_VARIANCES):
+        along = [((u - mean[0]) * axes[0][k] + (w - mean[1]) * axes[1][k]) for k in (0, 1)]
+        scores.append(-0.5 * sum(a * a / v + math.log(v) for a, v in zip(along, variances)))
+    return 1 / (1 + F.exp(scores[0] - scores[1]))
+

@@ -44,8 +44,12 @@ def shifted(probe: np.ndarray, step: tuple[float, float], shift: tuple[float, fl
     return ifft2(fft2(probe) * np.exp(-2j * math.pi * (shift[0] * ky + shift[1] * kx)))
 
 
-def hermite_modes(base: np.ndarray, n: int, base_power: float = 0.7) -> np.ndarray:
-    """n orthonormal modes y^a x^b base by Gram-Schmidt about the centroid, with powers."""
+def hermite_modes(base: np.ndarray, n: int, base_power: float = 0.7, rel_powers: tuple[float, ...] = (1.0,)) -> np.ndarray:
+    """n orthogonal modes y^a x^b base by Gram-Schmidt about the centroid.
+
+    The first has base_power of the base's intensity, the others split the rest
+    by rel_powers, whose last goes on for those after it.
+    """
     ny, nx = base.shape
     w = np.abs(base) ** 2
     y, x = np.mgrid[:ny, :nx].astype(float)
@@ -65,7 +69,8 @@ def hermite_modes(base: np.ndarray, n: int, base_power: float = 0.7) -> np.ndarr
         if order > ny + nx:
             break
     total = w.sum()
-    powers = [base_power if k == 0 else 1 - base_power for k in range(len(modes))] if len(modes) > 1 else [1.0]
+    rel = [*rel_powers[: len(modes) - 1], *[rel_powers[-1]] * (len(modes) - 1 - len(rel_powers))]
+    powers = [base_power, *[(1 - base_power) * r / sum(rel) for r in rel]] if len(modes) > 1 else [1.0]
     return np.stack([m * math.sqrt(total * p) for m, p in zip(modes, powers)])
 
 

@@ -72,10 +72,11 @@ def contrast_ratio(spark, d):
     return rounded(reduce.ring_correlation(_rings(spark, d)).select("r", "ratio"))
 
 
-@query(sql="SELECT round(2.0 + (3.0 - 2.0) * (0.6 - 0.5) / ((0.6 - 0.5) - (0.4 - 0.5)), 6) AS crossing")
+@query("cx", sql=_RINGS + ", d AS (SELECT r, round(frc, 9) - avg(round(frc, 9)) OVER () AS d FROM rc), e AS (SELECT r, d, lag(d) OVER (ORDER BY r) AS d0 FROM d) SELECT round(r - 1 + d0 / (d0 - d), 4) AS crossing FROM e WHERE d < 0 AND d0 >= 0 ORDER BY r LIMIT 1")
 def frc_crossing(spark, d):
-    curve = spark.createDataFrame([(0, 1.0), (1, 0.8), (2, 0.6), (3, 0.4), (4, 0.7), (5, 0.1)], "r long, frc double")
-    return rounded(reduce.first_crossing(curve, 0.5))
+    curve = rounded(reduce.ring_correlation(_rings(spark, d)).select("r", "frc"), 9)
+    mean = curve.agg(F.avg("frc").alias("mean"))  # the threshold, one row
+    return rounded(reduce.first_crossing(curve.crossJoin(F.broadcast(mean)).select("r", (F.col("frc") - F.col("mean")).alias("frc")), 0.0), 4)
 
 
 _SCALE = "SELECT z, y, x, CAST(floor(least(greatest((v - lo) / (hi - lo) * 255, 0), 255)) AS BIGINT) AS v FROM img, (SELECT quantile_cont(v, 0.001) AS lo, quantile_cont(v, 0.999) AS hi FROM img)"
@@ -328,24 +329,92 @@ def electron_props(spark, d):
     return e.select("energy", c["total"].alias("total"), *[F.round(c[n], k).alias(n) for n, k in digits.items()])
 
 
-@query("scan", sql=f"SELECT pos_id, round(r, 6) AS probe_radius, round({LAM!r} / (0.8 * 0.001), 6) AS fov, round(1 - step / nullif(2 * r, 0), 6) AS linear_overlap, round({PI} * r * r / (step * step), 5) AS areal_oversamp, round(1 / nullif(def * 0.8 * 0.001, 0), 5) AS ronchi_mag FROM (SELECT pos_id, abs(y) + 100 AS def, (abs(y) + 100) * tan(25 * 0.001) AS r, 0.6 AS step FROM scan)")
+@query("scan", sql=f"SELECT pos_id, round(r, 6) AS probe_radius, round({LAM!r} / (0.8 * 0.001), 6) AS fov, round(1 - step / nullif(2 * r, 0), 6) AS linear_overlap, round({PI} * r * r / (step * step), 5) AS areal_oversamp, round(25.0 / nullif(0.8 * r, 0), 5) AS ronchi_mag FROM (SELECT pos_id, abs(y) + 100 AS def, (abs(y) + 100) * tan(25 * 0.001) AS r, 0.6 AS step FROM scan)")
 def sampling_metrics(spark, d):
     s = bridge.scan(spark, d)
     m = optics.sampling_metrics(F.lit(LAM), F.lit(25.0), F.abs("y") + 100, F.lit(0.6), F.lit(0.8))
     return s.select("pos_id", *[F.round(m[n], k).alias(n) for n, k in (("probe_radius", 6), ("fov", 6), ("linear_overlap", 6), ("areal_oversamp", 5), ("ronchi_mag", 5))])
 
 
+@query("scan", sql="SELECT pos_id, round(window_ / step, 6) AS fund_samp, round(window_ / (2 * r), 6) AS probe_samp, round(2 * r / step, 6) AS linear_oversamp, round(acos(-1) * r * r / (step * step), 5) AS areal_oversamp, round(20.0 / (0.8 * r), 6) AS ronchi_mag FROM (SELECT pos_id, (100 + abs(y)) * tan(0.02) AS r, 0.025 / 0.0008 AS window_, 0.4 + abs(x) / 10 AS step FROM scan)")
+def sampling_metrics_full(spark, d):
+    s = bridge.scan(spark, d)
+    m = optics.sampling_metrics(F.lit(0.025), F.lit(20.0), 100 + F.abs("y"), 0.4 + F.abs("x") / 10, F.lit(0.8))
+    return s.select("pos_id", *[F.round(m[n], 5 if n == "areal_oversamp" else 6).alias(n) for n in ("fund_samp", "probe_samp", "linear_oversamp", "areal_oversamp", "ronchi_mag")])
+
+
+_QDA = """
+, q AS (SELECT pos_id, log10(1 + abs(y)) - 0.49027803 AS u0, log10(10 + abs(x)) - 1.82918678 AS w0, log10(1 + abs(y)) - 0.80980859 AS u1, log10(10 + abs(x)) - 2.00158048 AS w1 FROM scan),
+s AS (SELECT pos_id, -0.5 * (power(u0 * -0.2316652028331075 + w0 * 0.972795576571098, 2) / 0.56440416 + power(u0 * 0.972795576571098 + w0 * 0.2316652028331075, 2) / 0.07769331 + ln(0.56440416) + ln(0.07769331)) AS s0,
+  -0.5 * (power(u1 * -0.26985970170864165 + w1 * 0.9628996528162853, 2) / 0.4110058 + power(u1 * 0.9628996528162853 + w1 * 0.26985970170864165, 2) / 0.06621369 + ln(0.4110058) + ln(0.06621369)) AS s1 FROM q)
+SELECT pos_id, round(exp(s1) / (exp(s0) + exp(s1)), 6) AS p FROM s"""
+
+
+@query("scan", sql=_QDA)
+def success_probability(spark, d):
+    return rounded(bridge.scan(spark, d).select("pos_id", optics.success_probability(1 + F.abs("y"), 10 + F.abs("x")).alias("p")))
+
+
+_MODES = """
+, o AS (SELECT mode, ord, oy, ox, 1.3 * oy * 0.8 - 0.6 * ox - 2.213 AS u, 0.6 * oy + 1.1 * ox - 3.709 AS w FROM range(9) AS a(oy), range(9) AS b(ox), (VALUES ('nearest'), ('reflect'), ('mirror'), ('grid-wrap')) AS m(mode), (VALUES (0), (1)) AS q(ord) WHERE ord = 1 OR mode = 'reflect'),
+c AS (SELECT mode, ord, oy, ox, CAST(floor(u + 0.5) AS BIGINT) AS iy, CAST(floor(w + 0.5) AS BIGINT) AS ix, 1.0 AS f FROM o WHERE ord = 0 UNION ALL
+  SELECT mode, ord, oy, ox, CAST(floor(u) AS BIGINT) + dy, CAST(floor(w) AS BIGINT) + dx, (CASE WHEN dy = 1 THEN u - floor(u) ELSE 1 - u + floor(u) END) * (CASE WHEN dx = 1 THEN w - floor(w) ELSE 1 - w + floor(w) END) FROM o, range(2) AS e(dy), range(2) AS g(dx) WHERE ord = 1),
+n AS (SELECT mode, ord, oy, ox, f, list_transform([iy, ix], lambda i: CASE mode WHEN 'nearest' THEN least(greatest(i, 0), 7) WHEN 'grid-wrap' THEN ((i % 8) + 8) % 8
+  WHEN 'reflect' THEN CASE WHEN ((i % 16) + 16) % 16 < 8 THEN ((i % 16) + 16) % 16 ELSE 15 - ((i % 16) + 16) % 16 END ELSE CASE WHEN ((i % 14) + 14) % 14 < 8 THEN ((i % 14) + 14) % 14 ELSE 14 - ((i % 14) + 14) % 14 END END) AS yx FROM c)
+SELECT mode, CAST(ord AS BIGINT) AS ord, z, oy AS y, ox AS x, round(sum(f * v), 6) AS v FROM n JOIN img ON img.y = yx[1] AND img.x = yx[2] GROUP BY 1, 2, 3, 4, 5"""
+
+
+@query("img", sql=_MODES)
+def resample_modes(spark, d):
+    out = None
+    for mode, order in [(m, 1) for m in images.MODES[1:]] + [("reflect", 0)]:
+        got = images.resample(bridge.img(spark, d), (9, 9), ((1.3 * 0.8, -0.6), (0.6, 1.1)), (-2.213, -3.709), by=["z"], order=order, mode=mode, source=(N, N))
+        got = got.select(F.lit(mode).alias("mode"), F.lit(order).cast("long").alias("ord"), "z", "y", "x", "v")
+        out = got if out is None else out.unionByName(got)
+    return rounded(out)
+
+
+@query(sql="SELECT event_id, round(cos(t) * value + sin(t) * 2 * event_id + 3.5 - (cos(t) * 3.5 + sin(t) * 2 * 4.5), 5) AS u, round(-sin(t) * value + cos(t) * 2 * event_id + 4.5 - (-sin(t) * 3.5 + cos(t) * 2 * 4.5) + 1, 5) AS w FROM events, (SELECT radians(30) AS t)")
+def affine_points(spark, d):
+    m = images.composed(images.rotation(30.0), images.scaling(1.0, 2.0))
+    o = images.about(m, (3.5, 4.5), (0.0, 1.0))
+    e = bridge.table(spark, d, "events")
+    at = [m[i][0] * F.col("value") + m[i][1] * F.col("event_id") + o[i] for i in (0, 1)]
+    return rounded(e.select("event_id", at[0].alias("u"), at[1].alias("w")), 5)
+
+
+_SLICES = """
+, p AS (SELECT y, x, z, 0.5 * ln(re * re + im * im) / 4 AS a, atan2(im, re) / 4 AS p FROM stack),
+e AS (SELECT y, x, avg(a) AS ma, avg(p) AS mp, arg_min(a, z) AS fa, arg_min(p, z) AS fp, arg_max(a, z) AS la, arg_max(p, z) AS lp, count(*) AS n FROM p GROUP BY 1, 2),
+m AS (SELECT * FROM (VALUES ('edge', 'top', 0.0), ('vacuum', 'middle', 0.5), ('average', 'bottom', 1.0)) AS s(pad, align, f)),
+k AS (SELECT pad, align, y, x, -1 AS z, CASE pad WHEN 'edge' THEN fa WHEN 'average' THEN ma ELSE 0 END AS a, CASE pad WHEN 'edge' THEN fp WHEN 'average' THEN mp ELSE 0 END AS p FROM e, m UNION ALL
+  SELECT pad, align, y, x, n, CASE pad WHEN 'edge' THEN la WHEN 'average' THEN ma ELSE 0 END, CASE pad WHEN 'edge' THEN lp WHEN 'average' THEN mp ELSE 0 END FROM e, m UNION ALL SELECT pad, align, y, x, z, a, p FROM p, m),
+w AS (SELECT pad, align, i AS nz, least(greatest((5.0 * i + 2.5 + f * (40 - 60) - 2) / 4, -1), 10) AS zz FROM m, range(12) AS r(i)),
+j AS (SELECT w.pad, w.align, nz, y, x, sum(a * greatest(0, 1 - abs(zz - z))) * 5 AS a, sum(p * greatest(0, 1 - abs(zz - z))) * 5 AS p FROM w JOIN k ON w.pad = k.pad AND w.align = k.align GROUP BY 1, 2, 3, 4, 5)
+SELECT pad, align, nz AS z, y, x, round(exp(a) * cos(p), 6) + 0.0 AS re, round(exp(a) * sin(p), 6) + 0.0 AS im FROM j"""
+
+
+@query("stack", sql=_SLICES)
+def resample_slices(spark, d):
+    out = None
+    for pad, align in (("edge", "top"), ("vacuum", "middle"), ("average", "bottom")):
+        got = images.resample_slices(bridge.stack(spark, d), [4.0] * 10, [5.0] * 12, align, pad)
+        got = got.select(F.lit(pad).alias("pad"), F.lit(align).alias("align"), "z", "y", "x", "re", "im")
+        out = got if out is None else out.unionByName(got)
+    return rounded(out)
+
+
 @query("scan", sql="SELECT pos_id, round(0 - ln(1 + exp(b - a)), 6) AS log_p FROM (SELECT pos_id, 0 - (y - 3) * (y - 3) / 2 AS a, 0 - (x - 5) * (x - 5) / 4 AS b FROM scan)")
 def log_softmax(spark, d):
     a, b = -((F.col("y") - 3) ** 2) / 2, -((F.col("x") - 5) ** 2) / 4
     return rounded(bridge.scan(spark, d).select("pos_id", (-F.ln(1 + F.exp(b - a))).alias("log_p")))
 
 
-@query("cx", sql="SELECT a.pos_id, m.label AS mode, a.y, a.x, round(a.re * m.re - a.im * m.im, 6) AS re, round(a.re * m.im + a.im * m.re, 6) AS im FROM cx a JOIN (SELECT pos_id AS label, y, x, re, im FROM cx WHERE pos_id < 3) m ON a.y = m.y AND a.x = m.x WHERE a.pos_id % 5 = 0")
+@query("cx", sql="SELECT a.pos_id, m.label AS mode, a.y, a.x, round(a.re * m.re - a.im * m.im, 6) AS re, round(a.re * m.im + a.im * m.re, 6) AS im FROM cx a JOIN (SELECT pos_id AS label, y, x, re, im FROM cx WHERE pos_id < 3) m ON a.y = m.y AND a.x = m.x")
 def mode_product(spark, d):
     modes = bridge.cx(spark, d).where("pos_id < 3").select(F.col("pos_id").alias("mode"), "y", "x", F.col("re").alias("mr"), F.col("im").alias("mi"))
     re, im = c_mul((F.col("re"), F.col("im")), (F.col("mr"), F.col("mi")))
-    return rounded(bridge.cx(spark, d).where("pos_id % 5 = 0").join(F.broadcast(modes), ["y", "x"]).select("pos_id", "mode", "y", "x", re.alias("re"), im.alias("im")))
+    return rounded(bridge.cx(spark, d).join(F.broadcast(modes), ["y", "x"]).select("pos_id", "mode", "y", "x", re.alias("re"), im.alias("im")))
 
 
 @query("cx", sql="SELECT pos_id // 4 AS grp, y, x, round(sum(re * re + im * im), 6) AS v FROM cx GROUP BY 1, 2, 3")
@@ -429,9 +498,9 @@ def export_phase_sum(spark, d):
     return rounded(reduce.remove_ramp(s, "z").select("y", "x", "v"))
 
 
-@query("cx", sql=", p AS (SELECT y, x, re * re + im * im AS v FROM cx WHERE pos_id = 1) SELECT y, x, CAST(floor(least(greatest((v - lo) / (hi - lo) * 65535, 0), 65535)) AS BIGINT) AS v FROM p, (SELECT quantile_cont(v, 0.001) AS lo, quantile_cont(v, 0.999) AS hi FROM p)")
+@query("cx", sql=", p AS (SELECT y, x, round(avg(re * re + im * im), 9) AS v FROM cx GROUP BY 1, 2) SELECT y, x, CAST(floor(least(greatest((v - lo) / (hi - lo) * 65535, 0), 65535)) AS BIGINT) AS v FROM p, (SELECT quantile_cont(v, 0.001) AS lo, quantile_cont(v, 0.999) AS hi FROM p)")
 def export_probe_mag(spark, d):
-    return reduce.robust_scale(bridge.cx(spark, d).where("pos_id = 1").select("y", "x", (F.col("re") ** 2 + F.col("im") ** 2).alias("v")), 16)
+    return reduce.robust_scale(bridge.cx(spark, d).groupBy("y", "x").agg(F.round(F.avg(F.col("re") ** 2 + F.col("im") ** 2), 9).alias("v")), 16)
 
 
 @query("px", sql="SELECT pos_id, ky, kx, v FROM (SELECT pos_id, ky, kx, round(v, 6) AS v, row_number() OVER (PARTITION BY pos_id ORDER BY v DESC, ky, kx) AS n FROM px WHERE ky > 1) WHERE n = 1")

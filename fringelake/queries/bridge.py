@@ -21,7 +21,7 @@ WIDTH = 20
 CTE = {
     "px": "px AS (SELECT vec_id AS pos_id, vec_id // 20 AS iy, vec_id % 20 AS ix, k // 8 AS ky, k % 8 AS kx, CAST(embedding[k + 1] AS DOUBLE) AS a, 100 * CAST(embedding[k + 1] AS DOUBLE) * CAST(embedding[k + 1] AS DOUBLE) AS v FROM embeddings, range(64) AS t(k))",
     "cx": "cx AS (SELECT vec_id AS pos_id, k // 8 AS y, k % 8 AS x, 1 + CAST(embedding[k + 1] AS DOUBLE) AS re, CAST(embedding[(k + 32) % 64 + 1] AS DOUBLE) AS im FROM embeddings, range(64) AS t(k))",
-    "stack": "f AS (SELECT CAST(label AS BIGINT) AS z, min(vec_id) AS pos_id FROM embeddings GROUP BY label), stack AS (SELECT z, y, x, re, im FROM cx JOIN f ON cx.pos_id = f.pos_id)",
+    "stack": "stack AS (SELECT CAST(label AS BIGINT) AS z, y, x, round(avg(re), 9) AS re, round(avg(im), 9) AS im FROM cx JOIN embeddings ON cx.pos_id = vec_id GROUP BY 1, 2, 3)",
     "mask": "mask AS (SELECT k // 8 AS ky, k % 8 AS kx, CASE WHEN (k // 8 - 3.5) * (k // 8 - 3.5) + (k % 8 - 3.5) * (k % 8 - 3.5) <= 9 THEN 1.0 ELSE 0.0 END AS m FROM range(64) AS t(k))",
     "scan": "scan AS (SELECT vec_id AS pos_id, vec_id // 20 AS iy, vec_id % 20 AS ix, 0.6 * (vec_id // 20) + CAST(embedding[1] AS DOUBLE) AS y, 0.6 * (vec_id % 20) + CAST(embedding[2] AS DOUBLE) AS x FROM embeddings)",
     "starts": "starts AS (SELECT pos_id, CAST(round_even((y + 5.0) / 0.5 - 3.5, 0) AS BIGINT) AS start_y, CAST(round_even((x + 5.0) / 0.5 - 3.5, 0) AS BIGINT) AS start_x FROM scan)",
@@ -69,9 +69,9 @@ def cx(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stack(spark: SparkSession, d: str) -> DataFrame:
-    """(z, y, x, re, im): the first pattern of each label as a slice."""
-    first = table(spark, d, "embeddings").groupBy(F.col("label").cast("long").alias("z")).agg(F.min("vec_id").alias("pos_id"))
-    return cx(spark, d).drop("label").join(F.broadcast(first), "pos_id").select("z", "y", "x", "re", "im")  # one row a label
+    """(z, y, x, re, im): the mean of all patterns of each label as a slice."""
+    mean = lambda c: F.round(F.avg(c), 9).alias(c)
+    return cx(spark, d).groupBy(F.col("label").alias("z"), "y", "x").agg(mean("re"), mean("im"))
 
 
 def img(spark: SparkSession, d: str) -> DataFrame:

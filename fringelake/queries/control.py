@@ -15,9 +15,9 @@ def flag_table(spark, d):
     return spark.range(20).select(F.col("id").alias("i"), control.flag(F.col("id"), after=2, every=3, before=12).alias("flag"))
 
 
-@query(sql="SELECT name, ok FROM (VALUES ('never', false), ('always', true), ('late', false), ('some', true)) AS t(name, ok)")
+@query(sql="SELECT name, bool_or(on_ OR (i > after_ AND i < before_ AND (i - after_) % every_ = 0)) AS ok FROM (VALUES ('never', false, 99, 1, 0), ('always', true, 0, 1, 99), ('late', false, 20, 1, 99), ('some', false, 3, 4, 99), ('short', false, 3, 4, 7), ('just', false, 3, 4, 8)) AS t(name, on_, after_, every_, before_), range(1, 21) AS r(i) GROUP BY name")
 def flag_any_true(spark, d):
-    flags = {"never": False, "always": True, "late": {"after": 20, "every": 1}, "some": {"after": 3, "every": 4}}
+    flags = {"never": False, "always": True, "late": {"after": 20, "every": 1}, "some": {"after": 3, "every": 4}, "short": {"after": 3, "every": 4, "before": 7}, "just": {"after": 3, "every": 4, "before": 8}}
     return spark.createDataFrame([(k, control.any_true(v, 20)) for k, v in flags.items()], "name string, ok boolean")
 
 
@@ -53,9 +53,9 @@ def distinct_thickness(spark, d):
     return spark.createDataFrame([(4.0,), (4.000001,), (2.5,)], "t double").select(F.round("t", 5).alias("thick")).distinct()
 
 
-@query(sql="SELECT event_type AS var, count(DISTINCT user_id) AS solvers FROM events WHERE user_id < 5 GROUP BY 1 HAVING count(DISTINCT user_id) > 1")
+@query(sql="SELECT event_type AS var, count(DISTINCT user_id) AS solvers FROM events GROUP BY 1 HAVING count(DISTINCT user_id) > 1")
 def duplicate_vars(spark, d):
-    e = table(spark, d, "events").where("user_id < 5").select(F.col("event_type").alias("var"), F.col("user_id").alias("solver"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("var"), F.col("user_id").alias("solver"))
     return control.duplicates(e, "var", "solver").withColumnRenamed("n", "solvers")
 
 
@@ -71,16 +71,17 @@ def parse_var_set(spark, d):
     return table(spark, d, "documents").select("lang").distinct().select("lang", F.sort_array(text.parse_set(s)).alias("vars"))
 
 
-@query(sql="SELECT event_id, round(value, 4) AS error FROM events WHERE event_id % 10 = 0 UNION ALL SELECT -1 AS event_id, 0.5 AS error")
+@query(sql="SELECT event_id, round(value, 4) AS error FROM events UNION ALL SELECT -1 AS event_id, 0.5 AS error")
 def append_progress(spark, d):
-    p = table(spark, d, "events").where("event_id % 10 = 0").select("event_id", F.round("value", 4).alias("error"))
+    p = table(spark, d, "events").select("event_id", F.round("value", 4).alias("error"))
     return p.unionByName(spark.createDataFrame([(-1, 0.5)], "event_id long, error double"))
 
 
-@query("scan", sql="SELECT pos_id, pos_id % 3 AS grp FROM scan WHERE pos_id % 3 < 2")
+@query("scan", sql="SELECT pos_id, pos_id % 3 AS grp FROM scan")
 def concat_groups(spark, d):
     s = bridge.scan(spark, d)
-    return s.where("pos_id % 3 = 0").select("pos_id", F.lit(0).cast("long").alias("grp")).unionByName(s.where("pos_id % 3 = 1").select("pos_id", F.lit(1).cast("long").alias("grp")))
+    groups = [s.where(F.col("pos_id") % 3 == g).select("pos_id", F.lit(g).cast("long").alias("grp")) for g in range(3)]
+    return groups[0].unionByName(groups[1]).unionByName(groups[2])
 
 
 @query(sql="SELECT coalesce(a.user_id, b.user_id) AS user_id, round(coalesce(b.value, a.value), 6) AS value FROM (SELECT user_id, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY 1) a FULL JOIN (SELECT user_id, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1) b ON a.user_id = b.user_id")
@@ -164,9 +165,9 @@ def state_b64(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.base64(F.col("label").cast("string").cast("binary")).alias("state"))
 
 
-@query(sql="SELECT doc_id, 'object_phase_iter' || lpad(CAST(doc_id AS VARCHAR), 4, '0') || '.tiff' AS name FROM documents WHERE doc_id < 10000")
+@query(sql="SELECT doc_id, 'object_phase_iter' || lpad(CAST(doc_id AS VARCHAR), greatest(4, CAST(length(CAST(doc_id AS VARCHAR)) AS INTEGER)), '0') || '.tiff' AS name FROM documents")
 def format_name(spark, d):
-    return table(spark, d, "documents").where("doc_id < 10000").select("doc_id", text.output_name("object_phase", F.col("doc_id"), "tiff").alias("name"))
+    return table(spark, d, "documents").select("doc_id", text.output_name("object_phase", F.col("doc_id"), "tiff").alias("name"))
 
 
 @query(sql="SELECT event_id, epoch_ms(CAST(event_id * 1000 AS BIGINT)) AS at FROM events")

@@ -165,9 +165,9 @@ def illumination_map(spark, d):
     return cutouts.illumination(bridge.starts(spark, d), bridge.mask(spark).select(F.col("ky").alias("wy"), F.col("kx").alias("wx"), F.col("m").alias("v")))
 
 
-@query("cx", "starts", sql=", p AS (SELECT y AS wy, x AS wx, re * re + im * im AS v FROM cx WHERE pos_id = 0) SELECT start_y + wy AS y, start_x + wx AS x, round(sum(v), 6) AS v FROM starts, p GROUP BY 1, 2")
+@query("cx", "starts", sql=", p AS (SELECT y AS wy, x AS wx, avg(re * re + im * im) AS v FROM cx GROUP BY 1, 2) SELECT start_y + wy AS y, start_x + wx AS x, round(sum(v), 6) AS v FROM starts, p GROUP BY 1, 2")
 def probe_overlap(spark, d):
-    p = bridge.cx(spark, d).where("pos_id = 0").select(F.col("y").alias("wy"), F.col("x").alias("wx"), (F.col("re") ** 2 + F.col("im") ** 2).alias("v"))
+    p = bridge.cx(spark, d).groupBy(F.col("y").alias("wy"), F.col("x").alias("wx")).agg(F.avg(F.col("re") ** 2 + F.col("im") ** 2).alias("v"))
     return rounded(cutouts.illumination(bridge.starts(spark, d), p))
 
 
@@ -230,7 +230,7 @@ def fftshift(spark, d):
     return rounded(preprocess.shift_index(bridge.px(spark, d).select("pos_id", "ky", "kx", "v"), {"ky": 8, "kx": 8}))
 
 
-@query("px", "scan", sql="SELECT px.pos_id, ky, kx, round(v, 6) AS v, round(y, 6) AS y, round(x, 6) AS x, 0.5 AS ty FROM px JOIN scan ON px.pos_id = scan.pos_id WHERE px.pos_id % 4 = 1")
+@query("px", "scan", sql="SELECT px.pos_id, ky, kx, round(v, 6) AS v, round(y, 6) AS y, round(x, 6) AS x, 0.5 AS ty FROM px JOIN scan ON px.pos_id = scan.pos_id")
 def aligned_join(spark, d):
-    scan = bridge.scan(spark, d).where("pos_id % 4 = 1").select("pos_id", "y", "x")
+    scan = bridge.scan(spark, d).select("pos_id", "y", "x")
     return rounded(bridge.px(spark, d).select("pos_id", "ky", "kx", "v").join(scan, "pos_id").withColumn("ty", F.lit(0.5)))

@@ -1,6 +1,7 @@
 """Every query against its SQL on the smallest tables."""
 
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -21,7 +22,7 @@ def sql():
 
 def rows(found, columns):
     order = sorted(range(len(columns)), key=lambda k: columns[k])
-    flat = lambda v: tuple(v) if isinstance(v, list) else v + 0.0 if isinstance(v, float) else v
+    flat = lambda v: tuple(v) if isinstance(v, list) else v + 0.0 if isinstance(v, float) else float(v) if isinstance(v, Decimal) else v
     return sorted((tuple(flat(r[k]) for k in order) for r in found), key=repr), [columns[k] for k in order]
 
 
