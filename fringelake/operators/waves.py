@@ -80,11 +80,11 @@ def seeded(seed: object, *entropy: object) -> np.random.Generator:
 
 
 def forward(obj: np.ndarray, probe: np.ndarray, props: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """(wave entering each slice, far field) of `obj` (z, ny, nx) and `probe` (modes, ny, nx)."""
+    """(wave entering each slice, far field) of `obj` (..., z, ny, nx) and `probe` (..., modes, ny, nx)."""
     waves, psi = [], probe
-    for z in range(len(obj)):
+    for z in range(obj.shape[-3]):
         waves.append(psi)
-        psi = psi * obj[z]
+        psi = psi * obj[..., z, None, :, :]
         if z < len(props):
             psi = ifft2(fft2(psi) * props[z])
     return waves, fft2(psi)
@@ -94,9 +94,9 @@ def backward(far_grad: np.ndarray, obj: np.ndarray, waves: list[np.ndarray], pro
     """Adjoint of `forward`: (gradient on each slice, gradient on the probe)."""
     g = ifft2(far_grad)
     out = np.zeros(obj.shape, complex)
-    for z in range(len(obj) - 1, -1, -1):
+    for z in range(obj.shape[-3] - 1, -1, -1):
         if z < len(props):
             g = ifft2(fft2(g) * props[z].conj())
-        out[z] = (g * waves[z].conj()).sum(axis=0)
-        g = g * obj[z].conj()
+        out[..., z, :, :] = (g * waves[z].conj()).sum(axis=-3)
+        g = g * obj[..., z, None, :, :].conj()
     return out, g
