@@ -61,6 +61,15 @@ def _drop(px: DataFrame, scan: DataFrame, props: DropNans) -> tuple[DataFrame, D
     return px.join(good, "pos_id", "left_semi"), scan.join(good, "pos_id", "left_semi")
 
 
+Named = list[dict[str, Any]]
+
+
+def _constraints(group: Named, every: Named) -> tuple:
+    """Constraints of each group, and of each iteration, as an engine takes them."""
+    plain = lambda c: tuple(sorted((k, float(v)) for k, v in c.items() if k != "type"))
+    return tuple((c["type"], plain(c), when) for when, some in (("group", group), ("iter", every)) for c in some)
+
+
 @dataclass(frozen=True)
 class Conventional:
     niter: int
@@ -68,7 +77,15 @@ class Conventional:
     solver: str = "lsqml"
     beta_object: float = 0.5
     beta_probe: float = 0.5
+    gamma: float = 1e-4
+    illum_reg: float = 1e-2
+    noise_model: str = "amplitude"
     update_probe: bool = True
+    position_solver: str = "none"
+    position_rate: float = 0.5
+    max_move: float = 1.0
+    group_constraints: Named = field(default_factory=list)
+    iter_constraints: Named = field(default_factory=list)
 
 
 @dataclass(frozen=True)
@@ -78,18 +95,30 @@ class Gradient:
     solver: str = "adam"
     learning_rate: float = 0.02
     probe_rate: float = 0.01
+    momentum: float = 0.0
+    nesterov: bool = False
+    noise_model: str = "amplitude"
     update_probe: bool = True
+    regularizers: Named = field(default_factory=list)
+    group_constraints: Named = field(default_factory=list)
+    iter_constraints: Named = field(default_factory=list)
 
 
 @ENGINES.add("conventional", Conventional)
 def _conventional(patterns: DataFrame, state: engines.State, props: Conventional, observer: Callable[[int, float], None] | None = None) -> engines.State:
-    e = engines.Engine(props.solver, props.niter, props.grouping, props.beta_object, props.beta_probe, update_probe=props.update_probe)
+    e = engines.Engine(
+        props.solver, props.niter, props.grouping, props.beta_object, props.beta_probe, props.gamma, props.illum_reg, noise=props.noise_model, update_probe=props.update_probe,
+        constraints=_constraints(props.group_constraints, props.iter_constraints), positions=props.position_solver, position_rate=props.position_rate, max_move=props.max_move,
+    )
     return engines.reconstruct(patterns, state, e, observer)
 
 
 @ENGINES.add("gradient", Gradient)
 def _gradient(patterns: DataFrame, state: engines.State, props: Gradient, observer: Callable[[int, float], None] | None = None) -> engines.State:
-    e = engines.Engine(props.solver, props.niter, props.grouping, props.learning_rate, props.probe_rate, update_probe=props.update_probe)
+    e = engines.Engine(
+        props.solver, props.niter, props.grouping, props.learning_rate, props.probe_rate, noise=props.noise_model, update_probe=props.update_probe, momentum=props.momentum, nesterov=props.nesterov,
+        costs=tuple((c["type"], float(c["cost"])) for c in props.regularizers), constraints=_constraints(props.group_constraints, props.iter_constraints),
+    )
     return engines.reconstruct(patterns, state, e, observer)
 
 
@@ -101,6 +130,10 @@ class Plan:
     post_init: list[Any] = field(default_factory=list)
     seed: Any = None
     dtype: str = "float32"
+    scan: Any = None
+    probe: Any = None
+    object: Any = None
+    slices: tuple[float, ...] = ()
 
     @staticmethod
     def from_data(data: dict[str, Any], allow_import: bool = False) -> Plan:
@@ -117,7 +150,7 @@ class Plan:
             problems.append(f"plan: unknown dtype {p.dtype}")
         if problems:
             raise PlanError("\n".join(problems))
-        return Plan(p.name, out["engines"], out["post_load"], out["post_init"], p.seed, p.dtype)
+        return Plan(p.name, out["engines"], out["post_load"], out["post_init"], p.seed, p.dtype, p.scan, p.probe, p.object, tuple(p.slices))
 
     @staticmethod
     def from_json(text: str) -> Plan:

@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fringelake.plans import setup
 from fringelake.plans.plan import POST_LOAD, Plan, execute
 from fringelake.plans.registry import PlanError, merged
 from fringelake.queries.engines import scan_starts, start_state, true_state
-from fringelake.operators import engines
+from fringelake.operators import engines, grids
 from fringelake.sources import frames, metadata, state
 from fringelake.streaming import jobs
 
@@ -60,6 +61,30 @@ def test_plans(spark):
     assert merged({"a": {"type": "x", "p": 1}}, {"a": {"type": "y"}}) == {"a": {"type": "y"}}
 
 
+def test_a_whole_plan(spark):
+    """Patterns of a known object; the plan crops, drops, makes probe, scan and object ready and runs two engines."""
+    truth = true_state()
+    scan = grids.raster_scan(spark, 8, 8, (1.2, 1.2))
+    g = grids.object_grid_from_scan(scan, (0.4, 0.4), 4.0).first()
+    rng = np.random.default_rng(2)
+    truth.obj = np.exp(0.3j * rng.normal(size=(1, g["ny"], g["nx"])))
+    data = engines.simulate(grids.cutout_index(scan, (g["corner_y"], g["corner_x"]), (0.4, 0.4), (16, 16)), truth).join(scan.select("pos_id", "iy", "ix"), "pos_id")
+    px = data.select("pos_id", "iy", "ix", F.posexplode("data").alias("k", "v")).select("pos_id", "iy", "ix", F.floor(F.col("k") / 16).alias("ky"), (F.col("k") % 16).alias("kx"), "v")
+    x = setup.Experiment(px, (8, 8), (16, 16), (0.4, 0.4), truth.lam, (1.2, 1.2), 18.0, 60.0)
+    engine = {"type": "conventional", "niter": 3, "grouping": 2, "group_constraints": [{"type": "clamp_amplitude", "amplitude": 1.2}]}
+    plan = Plan.from_data({"name": "w", "seed": 5, "engines": [engine, {"type": "gradient", "niter": 1, "grouping": 2, "regularizers": [{"type": "tv", "cost": 1e-4}]}], "post_load": [{"type": "crop_data", "y": [0, 7], "x": [None, None]}], "post_init": ["drop_nans"], "object": {"type": "random", "sigma": 1e-3}})
+    patterns, state = setup.initialise(plan, x)
+    assert patterns.count() == 56 and state.probe.shape == (1, 16, 16) and np.isclose((abs(state.probe) ** 2).sum(), (abs(truth.probe) ** 2).sum(), rtol=1e-3)
+    done = setup.run(plan, x)
+    assert len(done.errors) == 4 and done.errors[2] < done.errors[0] and abs(done.obj).max() <= 1.25
+    again = setup.run(Plan.from_data({"name": "w", "engines": [engine], "post_load": [{"type": "crop_data", "y": [0, 7], "x": [None, None]}]}), x, done)
+    assert again.errors[0] < done.errors[0]  # from the earlier state on
+    with pytest.raises(PlanError, match="no step"):
+        setup.initialise(plan, setup.Experiment(px, (8, 8), (16, 16), (0.4, 0.4), truth.lam))
+    with pytest.raises(PlanError, match="patterns at"):
+        setup.initialise(Plan.from_data({"name": "w", "engines": []}), setup.Experiment(px.where("pos_id > 3"), (8, 8), (16, 16), (0.4, 0.4), truth.lam, (1.2, 1.2), 18.0))
+
+
 def test_crop_hook_uses_slices(spark):
     px = spark.createDataFrame([(y * 4 + x, y, x, 0, 0, 1.0) for y in range(3) for x in range(4)], "pos_id long, iy long, ix long, ky long, kx long, v double")
     got = POST_LOAD.parse({"type": "crop_data", "y": (1, None), "x": (None, -1)})(px, (3, 4)).orderBy("pos_id").collect()
