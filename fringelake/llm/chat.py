@@ -63,8 +63,8 @@ def _levels(ids: DataFrame, needs: DataFrame) -> DataFrame:
     Chains of calls that each need one other are jumped along, twice as far
     each round; the calls that need several are freed in order after that.
     """
-    of = needs.groupBy(NODE).agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("to"))
-    one = checkpointed(of.where("n = 1").select("conv_id", "call_id", "to", F.lit(1).alias("far")))
+    of = checkpointed(needs.groupBy(NODE).agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("to")))
+    one = of.where("n = 1").select("conv_id", "call_id", "to", F.lit(1).alias("far"), F.lit(False).alias("on"))
     rounds = one.count().bit_length() + 1
     for _ in range(rounds):
         further = one.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"))
@@ -72,24 +72,28 @@ def _levels(ids: DataFrame, needs: DataFrame) -> DataFrame:
         if one.where("on").isEmpty():
             break
     # who still goes on runs in a circle
-    several = checkpointed(of.where("n > 1").select(NODE))
-    ends = one.withColumnRenamed("call_id", "needs").withColumnRenamed("to", "end")
+    several = of.where("n > 1").select(NODE)
+    levels = ids.join(of.select(NODE), NODE, "left_anti").withColumn("level", F.lit(0))
+    if not several.isEmpty():
+        levels = _freed(levels, needs, checkpointed(several), one)
+    chained = one.where("not on").join(levels.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("base")), ["conv_id", "to"])
+    return levels.unionByName(chained.select("conv_id", "call_id", (F.col("base") + F.col("far")).alias("level")))
+
+
+def _freed(levels: DataFrame, needs: DataFrame, several: DataFrame, one: DataFrame) -> DataFrame:
+    """`levels` with those of the calls that need several others, each once all that it needs have theirs."""
+    ends = one.select("conv_id", F.col("call_id").alias("needs"), F.col("to").alias("end"), "far", "on")
     held = needs.join(several, NODE, "left_semi").join(ends, ["conv_id", "needs"], "left").select("conv_id", "call_id", F.coalesce("end", "needs").alias("to"), (1 + F.coalesce("far", F.lit(0))).alias("far"), F.coalesce("on", F.lit(False)).alias("stuck"))
-    free = ids.join(needs.select(NODE).distinct(), NODE, "left_anti").withColumn("level", F.lit(0))
-    held = held.join(free.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("base")), ["conv_id", "to"], "left")
-    held, levels = checkpointed(held), free
+    held = checkpointed(held.join(levels.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("base")), ["conv_id", "to"], "left"))
     while True:
         ready = held.groupBy(NODE).agg(F.max(F.col("base") + F.col("far")).alias("level"), F.max(F.col("base").isNull() | F.col("stuck")).alias("waits")).where("not waits").select("conv_id", "call_id", "level")
         ready = checkpointed(ready)
         if ready.isEmpty():
-            break
+            return levels
         levels = checkpointed(levels.unionByName(ready))  # plans stay short however long the chains
         left = held.join(ready.select(NODE), NODE, "left_anti")
         known = ready.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("now"))
         held = checkpointed(left.join(known, ["conv_id", "to"], "left").select("conv_id", "call_id", "to", "far", "stuck", F.coalesce("base", "now").alias("base")))
-    chained = one.where("not on") if "on" in one.columns else one
-    chained = chained.join(levels.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("base")), ["conv_id", "to"])
-    return levels.unionByName(chained.select("conv_id", "call_id", (F.col("base") + F.col("far")).alias("level")))
 
 
 def _ordered(calls: DataFrame) -> DataFrame:
