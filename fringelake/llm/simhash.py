@@ -25,6 +25,8 @@ from .textkit import buffers, column
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Rows compared with each other in one bucket at most.
 BUCKET = 1024
+#: Crowded buckets' keys that are broadcast at most (16 bytes each); more meet their rows in a salted join.
+MOST_CROWDED, SALTS = 1 << 18, 32
 
 
 def fingerprint_of(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> int:
@@ -115,17 +117,28 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
-def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def _of_crowded(keyed: DataFrame, crowded: DataFrame, few: bool, how: str) -> DataFrame:
+    """`keyed` joined with the crowded buckets (left_semi or left_anti); no task gets all rows of one of them."""
+    if few:
+        return keyed.join(F.broadcast(crowded), ["mask", "key"], how)
+    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    every = crowded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, ["mask", "key", "salt"], how).drop("salt")
+
+
+def links(distinct: DataFrame, bucket: int = BUCKET, most_crowded: int = MOST_CROWDED) -> DataFrame:
     """(src, dst) fingerprints at most RADIUS bits apart; their closure is that of all such pairs."""
     keyed = distinct.select("fp", F.explode(F.array([F.lit(m) for m in _scheme(distinct.count())])).alias("mask"))
     keyed = keyed.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = keyed.join(sizes.where(F.col("n") <= bucket).drop("n"), ["mask", "key"]).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
+    sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n"))  # summed before the shuffle
+    crowded = checkpointed(sizes.where(F.col("n") > bucket).select("mask", "key"))
+    few = crowded.count() <= most_crowded
+    # crowded buckets' rows leave before the others are dealt by bucket
+    groups = _of_crowded(keyed, crowded, few, "left_anti").groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     edges = groups.select("fps").mapInArrow(_forest, "src long, dst long")
     # two fingerprints are within RADIUS if and only if some value is within half of it of both, and
     # no more than 2,081 fingerprints are that near a value: linear work, and bounded groups
-    crowded = checkpointed(sizes.where(F.col("n") > bucket).select("mask", "key"))
-    members = keyed.join(crowded, ["mask", "key"]).select("fp").distinct()
+    members = _of_crowded(keyed, crowded, few, "left_semi").select("fp").distinct()
     near = members.mapInArrow(_halfway, "key long, fp long").groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     stars = near.select(F.explode("fps").alias("src"), F.array_min("fps").alias("dst")).where("src <> dst")
     return edges.unionByName(stars).distinct()
@@ -137,7 +150,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and blank texts have fingerprint zero and link like any other; texts
     of fewer than four words are one shingle; copies share a fingerprint and
     are never paired with each other. A null doc_id keeps its row; it takes the
-    component's smallest id that is not null. An empty table gives no rows.
+    component's smallest id that is not null. Long texts are hashed whole, in
+    pieces. Repeated rows are kept each; an empty table gives no rows; columns
+    other than doc_id and text are not read.
     """
     fps = checkpointed(fingerprints(docs))
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))

@@ -150,8 +150,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
 
     Only the text enters a score. Null and empty texts get the bias's score; a
     null doc_id keeps its row, with held_out false. Without any labels to learn
-    from all scores are 0.5. Repeated rows are scored each; columns other than
-    those named are not read.
+    from all scores are 0.5. Repeated rows are scored each; long texts are
+    scored whole; a score of 0.5 (a tie) is predicted 1. An empty table gives
+    no rows; columns other than those named are not read.
     """
     model = train(docs, labels, "toxic", p)[0]
     bits = p.bits

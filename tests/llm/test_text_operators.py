@@ -235,7 +235,8 @@ def test_simhash(docs):
     assert got == want
 
 
-def test_crowded_buckets_keep_every_link(spark):
+@pytest.mark.parametrize("most_crowded", [1 << 18, 0])
+def test_crowded_buckets_keep_every_link(spark, most_crowded):
     r = random.Random(3)
     center = r.getrandbits(64)
     prints = [center]
@@ -244,7 +245,7 @@ def test_crowded_buckets_keep_every_link(spark):
     prints = sorted(set(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     frame = spark.createDataFrame([(p,) for p in signed], "fp long")
-    found = {x["node"]: x["component"] for x in components(simhash.links(frame, bucket=8)).collect()}
+    found = {x["node"]: x["component"] for x in components(simhash.links(frame, bucket=8, most_crowded=most_crowded)).collect()}
     want = closure(list(range(len(prints))), prints)
     groups = {}
     for p, c in zip(signed, want):
