@@ -111,27 +111,32 @@ def fit_rates(scored: DataFrame, p: Mix) -> list[list[float]]:
     if not total:
         return []
 
-    def sums(options: list[list[list[float]]]) -> np.ndarray:
-        """Of each list of directions: the domains' tokens, then the curvature of the documents with a rate above zero."""
+    def sums(options: list[list[list[float]]], y: np.ndarray) -> tuple[np.ndarray, float]:
+        """Of each list of directions: the domains' tokens, then the curvature of the documents with a rate above zero. Then the least q y of all documents with tokens."""
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((len(options), n + n * n))
+            out, least = np.zeros((len(options), n + n * n)), np.inf
             for batch in batches:
                 q, tokens = matrix(batch), column(batch, "n_tokens").to_numpy().astype(float)
                 for k, d in enumerate(options):
                     rate = rates(q, d)
                     out[k, :n] += (rate * tokens) @ q
                     out[k, n:] += ((q * (tokens * (rate > 0))[:, None]).T @ q).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], ["k", "v"])
+                least = min(least, (q @ y)[tokens > 0].min(initial=np.inf))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size + 1)), pa.array([*out.ravel(), least])], ["k", "v"])
 
-        got = scored.mapInArrow(work, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(len(options) * (n + n * n))
+        got = scored.mapInArrow(work, "k long, v double").groupBy("k").agg(F.sum("v").alias("v"), F.min("v").alias("least")).collect()
+        out, least = np.zeros(len(options) * (n + n * n)), np.inf
         for r in got:
-            out[r["k"]] = r["v"] / total
-        return np.round(out.reshape(len(options), -1), 12)
+            if r["k"] < len(out):
+                out[r["k"]] = r["v"] / total
+            else:
+                least = r["least"]
+        return np.round(out.reshape(len(options), -1), 12), least
 
     directions: list[list[float]] = []
-    now = sums([directions])[0]
+    now = sums([directions], np.zeros(n))[0][0]
+    beyond = False
     for _ in range(p.steps):
         off = now[:n] - targets
         if np.all(np.abs(off) <= p.tolerance * targets):
@@ -142,12 +147,17 @@ def fit_rates(scored: DataFrame, p: Mix) -> list[list[float]]:
         ahead = curve @ plain / targets
         plain = plain * ((off / targets) @ ahead / max(ahead @ ahead, 1e-300))
         options = [[*directions, (x * d).round(12).tolist()] for x in LENGTHS for d in (step, plain)]
-        got = sums(options)
+        y = off / targets**2
+        got, least = sums(options, y)
+        # shares are weighted means of posteriors: if all of these are on one side of a plane, and the targets on the other, no rates reach them
+        beyond = beyond or least > targets @ y + 1e-9 * np.abs(y).max()
         error = (((got[:, :n] - targets) / targets) ** 2).sum(axis=1)
         best = int(error.argmin())
-        if error[best] >= ((off / targets) ** 2).sum() * (1 - 1e-9):
+        if error[best] >= ((off / targets) ** 2).sum() * (1 - (p.tolerance if beyond else 1e-9)):
             return directions  # no nearer to the targets: a domain is out of reach
         directions, now = options[best], got[best]
+    if beyond:
+        return directions
     raise RuntimeError(f"rates did not settle in {p.steps} steps: {now[:n].tolist()} for {targets.tolist()}")
 
 
@@ -162,8 +172,9 @@ def mix_rates(docs: DataFrame, labels: DataFrame, p: Mix = Mix(), key: str = "do
 
     A null or empty text has no tokens and gets its posterior's rate all the
     same; equal posteriors (ties) get equal rates; long texts count whole. The
-    targets are met within the tolerance, or the fit fails; where a domain is
-    out of reach (no document can belong to it), the nearest shares are kept.
+    targets are met within the tolerance, or the fit fails; where they are out
+    of reach (no nonnegative rates of these posteriors give them, which a plane
+    between the two proves), the nearest shares that the steps find are kept.
     Without labels every posterior is even and the rates are equal. Repeated
     rows count each; an empty table gives no rows; other columns are not read,
     but for `key`, which then stands as doc_id in the result (labels go by doc_id).

@@ -63,6 +63,23 @@ def test_awkward_rows(awkward, labels, name):
     assert empty.count() == 0
 
 
+def test_shares_out_of_reach(spark):
+    """Targets outside the posteriors' hull end at the nearest shares, as a plain solver finds them."""
+    import numpy as np
+
+    q = np.array([[0.46, 0.17, 0.37], [0.4845, 0.1331, 0.3824], [0.4818, 0.1331, 0.3851], [0.4898, 0.1186, 0.3916]])
+    tokens = np.array([4, 100_000, 200_000, 9])
+    scored = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(tokens, q)], "n_tokens long, q array<double>")
+    targets = np.array([0.4, 0.3, 0.3])
+    directions = mixing.fit_rates(scored, mixing.Mix(targets=tuple(targets)))
+    a = (q * tokens[:, None]).T / tokens.sum()
+    b, x = a / targets[:, None], np.ones(4)
+    for _ in range(50_000):
+        x = np.maximum(0, x - b.T @ (b @ x - 1) / np.linalg.norm(b, 2) ** 2)
+    off = lambda rate: (((a @ rate - targets) / targets) ** 2).sum()
+    assert off(mixing.rates(q, directions)) <= 1.01 * off(x)
+
+
 def test_measures_of_long_texts(awkward):
     """Long texts are measured whole."""
     got = {x["doc_id"]: x for x in quality.measures(awkward).collect()}
