@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, mixing, pii, quality, simhash, substring_rlz, suffix_dedup, toxicity, urls
+from . import chat, clusters, decontam, mixing, pii, quality, simhash, substring_rlz, suffix_dedup, toxicity, urls, vector_codes, warc
 from .session import table
 
 
@@ -50,9 +50,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_chat_format, op4_mixing, op5_quality_rules, op6_suffix_dedup, op7_decontamination, op8_simhash, op9_pii, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_chat_format, op4_mixing, op5_quality_rules, op6_suffix_dedup, op7_decontamination, op8_simhash, op9_pii, op10_url_filter, op11_vector_codes, op12_warc, op13_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substring_rlz.SQL, "op5_quality_rules": quality.SQL, "op6_suffix_dedup": suffix_dedup.SQL}
+    return {"op2_substring_dedup": substring_rlz.SQL, "op5_quality_rules": quality.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op11_vector_codes": vector_codes.SQL, "op12_warc": warc.SQL, "op13_clusters": clusters.SQL}
