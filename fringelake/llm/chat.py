@@ -4,7 +4,8 @@ An assistant turn whose text is a JSON object with `tool_calls` (a list of
 objects with id, name and arguments) makes calls; a `tool` turn whose text is a
 JSON object with `tool_call_id` and `content` answers one. Calls and results
 meet in a hash join on (conversation, identifier); calls are ordered so that
-one comes after every call whose result its arguments mention ("$id"); their
+one comes after every call whose result its arguments refer to ("$id" in a field
+that the schema has for references: text that looks like one is text); their
 arguments are checked against schemas; each message, call and result becomes
 one row with canonical JSON (sorted keys, no blanks). A conversation is never
 gathered into one row: (turn, level, seq) is its order.
@@ -22,16 +23,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .session import checkpointed
 
-#: Tool -> argument -> (type, required); types are string, integer, number, boolean, array, object.
+#: Tool -> argument -> (type, required); types are string, integer, number, boolean, array, object, and for
+#: results of other calls reference ("$id"), string|reference (text, or "$id" of a call that there is) and references (a list).
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
 TOOLS: Schemas = {
-    "search": {"query": ("string", True), "limit": ("integer", False)},
-    "calculator": {"expression": ("string", True)},
-    "weather": {"city": ("string", True), "days": ("integer", False), "metric": ("boolean", False)},
+    "search": {"query": ("string|reference", True), "limit": ("integer", False)},
+    "calculator": {"expression": ("string|reference", True), "given": ("references", False)},
+    "weather": {"city": ("string|reference", True), "days": ("integer", False), "metric": ("boolean", False)},
 }
 #: The tool that a plain conversation calls.
-REPLY: Schemas = {"reply": {"prompt": ("string", True), "after": ("string", False)}}
-_TYPES = {"string": "^STRING$", "integer": "^(BIGINT|DECIMAL\\(\\d+,0\\))$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}
+REPLY: Schemas = {"reply": {"prompt": ("string", True), "after": ("reference", False)}}
+_TYPES = {"string": "^STRING$", "integer": "^(BIGINT|DECIMAL\\(\\d+,0\\))$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT", "reference": "^STRING$", "string|reference": "^STRING$", "references": "^ARRAY<(STRING|VOID)>$"}
 
 
 def _problems(schemas: Schemas) -> Column:
@@ -43,6 +45,8 @@ def _problems(schemas: Schemas) -> Column:
             got = F.schema_of_variant(F.try_variant_get(F.col("args"), f"$.{arg}", "variant"))
             absent = got.isNull()
             fits = got.rlike(_TYPES[kind])
+            if kind == "reference":
+                fits = fits & F.coalesce(F.try_variant_get(F.col("args"), f"$.{arg}", "string").startswith("$"), F.lit(False))
             if kind == "integer":  # 1e0 is one too
                 number = F.try_variant_get(F.col("args"), f"$.{arg}", "double")
                 fits = fits | (got.rlike("^(DOUBLE|DECIMAL)") & F.coalesce(number == F.floor(number), F.lit(False)))
@@ -53,6 +57,17 @@ def _problems(schemas: Schemas) -> Column:
     return out.otherwise(F.array(F.lit("unknown tool")))
 
 
+def _references(schemas: Schemas) -> Column:
+    """The identifiers that the fields for references of a call's `args` name."""
+    out = F.when(F.lit(False), F.array().cast("array<string>"))
+    for tool, fields in sorted(schemas.items()):
+        one = [F.try_variant_get(F.col("args"), f"$.{arg}", "string") for arg, (kind, _) in sorted(fields.items()) if kind in ("reference", "string|reference")]
+        many = [F.coalesce(F.try_variant_get(F.col("args"), f"$.{arg}", "array<string>"), F.array().cast("array<string>")) for arg, (kind, _) in sorted(fields.items()) if kind == "references"]
+        every = F.concat(F.array(*one).cast("array<string>"), *many)
+        out = out.when(F.col("name") == tool, F.transform(F.filter(every, lambda x: x.startswith("$") & (F.length(x) > 1)), lambda x: F.substring(x, 2, 1 << 30)))
+    return out
+
+
 NODE = ["conv_id", "call_id"]
 
 
@@ -98,7 +113,7 @@ def _freed(levels: DataFrame, needs: DataFrame, several: DataFrame, one: DataFra
 
 def _ordered(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level, turns): level is null in a cycle and behind one; `turns` tells the two apart: in one."""
-    mention = F.explode(F.regexp_extract_all(F.to_json("args"), F.lit(r'"\$([^"\\]+)"'), F.lit(1))).alias("needs")
+    mention = F.explode("refers").alias("needs")
     ids = checkpointed(calls.select(NODE).where("conv_id is not null and call_id is not null").distinct())
     needs = calls.select("conv_id", "call_id", mention).distinct().join(ids.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"])
     needs = checkpointed(needs.select("conv_id", "call_id", "needs"))
@@ -163,7 +178,7 @@ def linked_chats(conversations: DataFrame, schemas: Schemas = TOOLS) -> DataFram
     calls = turns.where("calling").select("conv_id", "turn", "role", F.posexplode(items).alias("seq", "call")).select(
         "conv_id", "turn", "role", "seq", F.try_variant_get("call", "$.id", "string").alias("call_id"), F.try_variant_get("call", "$.name", "string").alias("name"), F.try_variant_get("call", "$.arguments", "variant").alias("args")
     )
-    calls = calls.withColumn("problems", _problems(schemas))
+    calls = calls.withColumn("problems", _problems(schemas)).withColumn("refers", _references(schemas))
     results = turns.where("answering").select("conv_id", "turn", "role", answer.alias("call_id"), F.try_variant_get("v", "$.content", "variant").alias("content"))
     key = ["conv_id", "call_id"]
     first_call = calls.groupBy(key).agg(F.min(F.struct("turn", "seq")).alias("first"))

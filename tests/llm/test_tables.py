@@ -50,6 +50,18 @@ def test_urls(spark):
     assert urls.url_verdicts(pages.limit(0)).count() == 0
 
 
+def test_text_is_no_reference(spark):
+    """Prompts that look like references, in any field for text, leave the order as it is."""
+    texts = ["$t0", "$t4", "$t4", '{"a": "$t2"}', "$t0", "$", "$t2", "$t6"]
+    c = spark.createDataFrame([(1, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r["call_id"]: (r["level"], r["status"]) for r in chat.linked_chats(chat.as_tool_traffic(c), {**chat.TOOLS, **chat.REPLY}).collect() if r["kind"] == "call"}
+    assert got == {"t0": (0, "ok"), "t2": (1, "ok"), "t4": (2, "ok"), "t6": (3, "ok")}
+    calls = CALL(("a", "reply", {"prompt": "$b", "after": "b"}), ("b", "reply", {"prompt": "$a", "after": "$a"}), ("d", "calculator", {"expression": "$zz", "given": ["$a", "$b", "x"]}), ("e", "calculator", {"expression": "1", "given": [1]}), ("$f", "calculator", {"$a": "$e", "expression": "$$f"}))
+    c = spark.createDataFrame([(1, 0, "assistant", calls)], "conv_id long, turn long, role string, text string")
+    got = {r["call_id"]: (r["level"], r["status"]) for r in chat.linked_chats(c, {**chat.TOOLS, **chat.REPLY}).collect()}
+    assert got == {"a": (0, "invalid: type after"), "b": (1, "unanswered"), "d": (2, "unanswered"), "e": (0, "invalid: type given"), "$f": (0, "invalid: unknown $a")}
+
+
 def test_long_chains_of_calls_have_levels(spark):
     calls = [(f"c{k}", "calculator", {"expression": f"$c{k - 1}" if k else "1"}) for k in range(40)]
     loop = [("a", "calculator", {"expression": "$b"}), ("b", "calculator", {"expression": "$a"}), ("d", "calculator", {"expression": "$a"})]
@@ -90,7 +102,7 @@ def test_links_against_brute_force(spark):
         calls, results = [], []
         for turn in range(6):
             if turn % 2 == 0:
-                made = [(r.choice(names), "calculator", {"expression": r.choice(["1", *[f"${n}" for n in names]]), **({"x": f"${r.choice(names)}"} if r.random() < 0.3 else {})}) for _ in range(r.randrange(3))]
+                made = [(r.choice(names), "calculator", {"expression": r.choice(["1", *[f"${n}" for n in names]]), **({"given": [f"${r.choice(names)}", f"${r.choice(names)}"]} if r.random() < 0.3 else {}), **({"x": f"${r.choice(names)}"} if r.random() < 0.1 else {})}) for _ in range(r.randrange(3))]
                 rows.append((conv, turn, "assistant", CALL(*made)))
                 calls += [(turn, k, *c) for k, c in enumerate(made)]
             else:
@@ -99,7 +111,7 @@ def test_links_against_brute_force(spark):
                 results.append((turn, n))
         first = {}
         for turn, k, n, _, a in calls:
-            first.setdefault(n, (turn, k, {v[1:] for v in a.values() if v[0] == "$"}))
+            first.setdefault(n, (turn, k, {v[1:] for v in [a["expression"], *a.get("given", [])] if v[0] == "$"}))
         needs = {n: x[2] & set(first) for n, x in first.items()}
 
         def level(n, seen=()):
