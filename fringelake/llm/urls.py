@@ -9,8 +9,10 @@ join, so neither the vocabulary nor the hosts have to fit anywhere at once.
 The classes are fitted to data: urls that the rules block against all others,
 without the words that the rules themselves look at (in the hosts and paths that
 they name), so that a site's other pages and its sister sites follow. Hosts of
-one fold are left out, to measure by. Counts are kept by token hash in a bounded
-number of buckets. Labelled example phrases, a parameter, add their own weights.
+one fold are left out, and the score is tried on them: where it doesn't tell
+hosts with a url that a rule blocks from hosts without, the classifier blocks nothing. Counts are kept by
+token hash in a bounded number of buckets. Labelled example phrases, a
+parameter, add their own weights.
 """
 
 from __future__ import annotations
@@ -31,29 +33,17 @@ from .textkit import column
 #: Rules of the query: (host, path, verdict).
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
-#: Labelled host and path examples that the classifier is fitted to; a parameter of the operator.
-BLOCKED = (
-    "adult video", "adult chat", "adult x", "xxx movies", "sex cams", "porn tube", "nude pics", "hot escort", "casino online", "online casino bonus", "poker bets", "free bets", "sports betting", "slot games win", "lottery jackpot win",
-    "spam farm", "link farm", "seo spam", "click farm", "ads track", "ad tracker", "ads server click", "track pixel ads", "popup ads", "banner ads click", "cheap pills", "buy viagra cheap", "online pharmacy pills", "cheap meds", "weight loss pills",
-    "free money fast", "payday loan cheap", "quick loan cash", "crypto doubler", "get rich fast", "replica watches cheap", "warez crack download", "keygen crack free", "torrent warez", "malware download", "phish login verify", "free gift winner", "free prize claim", "hack cheats free", "cheap rolex replica",
-)
-ALLOWED = (
-    "news daily", "world news", "science journal", "travel blog", "my blog", "open wiki", "school library", "public library", "university research", "college course", "city museum", "health clinic", "doctor advice", "recipe kitchen", "home garden",
-    "book reviews", "movie reviews", "music lessons", "photo gallery", "weather report", "sports results", "football club", "history archive", "art museum", "open source", "software docs", "developer guide", "code tutorial", "math help", "learn language", "local government", "city council",
-    "bank branch", "online store", "shop books", "tech support", "community forum", "about us", "contact",
-)
-
-
 @dataclass(frozen=True)
 class Filter:
-    """prior: P(block) before any token; smooth: Laplace count of the examples; shrink: pseudo
-    count that draws a token's share of blocked urls to the overall one; bits: of the token
+    """blocked, allowed: labelled example phrases; prior: P(block) before any token; smooth: Laplace count of the
+    examples; shrink: pseudo count that draws a token's share of blocked urls to the overall one; bits: of the token
     buckets; folds: hosts with crc32 modulo it 0 are not learnt from; longest: letters of a word
-    at most; example_weight: count of each example word in the unigram model."""
+    at most; example_weight: count of each example word in the unigram model; deviations: of
+    least_score."""
 
     rules: tuple[tuple[str, str, str], ...] = RULES
-    blocked: tuple[str, ...] = BLOCKED
-    allowed: tuple[str, ...] = ALLOWED
+    blocked: tuple[str, ...] = ()
+    allowed: tuple[str, ...] = ()
     prior: float = 0.3
     smooth: float = 0.5
     shrink: float = 10.0
@@ -61,6 +51,7 @@ class Filter:
     folds: int = 5
     longest: int = 20
     example_weight: int = 50
+    deviations: float = 5.0
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -146,14 +137,34 @@ def labels_of(host: Column) -> Column:
     return F.filter(F.split(host, r"[^a-z]+"), lambda x: x != "")
 
 
+#: A label in one of so many hosts is common.
+COMMON = 1000
+#: Starts of a long label whose substrings are sent at once.
+STARTS = 50_000
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+    """(id, word): every substring of a label that could be a word; a label of n letters has `longest` * n at most."""
+    for batch in batches:
+        ids, words = [], []
+        for own, label in zip(column(batch, "id").to_pylist(), column(batch, "label").to_pylist()):
+            for at in range(0, len(label), STARTS):
+                some = {label[k : k + n] for k in range(at, min(at + STARTS, len(label))) for n in range(1, min(longest, len(label) - k) + 1)}
+                ids += [own] * len(some)
+                words += sorted(some)
+                if len(ids) > STARTS:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(words, pa.string())], ["id", "word"])
+                    ids, words = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(words, pa.string())], ["id", "word"])
+
+
 def segmented(hosts: DataFrame, counts: DataFrame, f: Filter) -> DataFrame:
     """(label, words) of each distinct label of the hosts."""
-    labels = hosts.select(F.explode(labels_of(F.col("host"))).alias("label")).distinct()
-    # every substring of a label that could be a word, with its count; both sides are dealt by the word
-    spans = F.explode(F.sequence(F.lit(1), F.length("label"))).alias("start")
-    pieces = labels.select("label", spans).select("label", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(f.longest), F.length("label") - F.col("start") + 1)), lambda k: F.col("label").substr(F.col("start"), k))).alias("word")).distinct()
+    labels = checkpointed(hosts.select(F.explode(labels_of(F.col("host"))).alias("label")).distinct().withColumn("id", F.unhex(F.sha2("label", 256))))
+    # the substrings go by the label's digest to meet their counts; both sides are dealt by the word, of which a label has each once
+    pieces = labels.mapInArrow(lambda it: _pieces(it, f.longest), "id binary, word string")
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
-    known = pieces.join(counts, "word").groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
+    known = pieces.join(counts, "word").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("counts"))
     longest = f.longest
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +173,7 @@ def segmented(hosts: DataFrame, counts: DataFrame, f: Filter) -> DataFrame:
             words = [segment(name, dict(own or []), total, longest) for name, own in zip(names, column(batch, "counts").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.list_(pa.string()))], ["label", "words"])
 
-    return labels.join(known, "label", "left").mapInArrow(split, "label string, words array<string>")
+    return labels.join(known, "id", "left").select("label", "counts").mapInArrow(split, "label string, words array<string>")
 
 
 def learnt_counts(parts: DataFrame, labels: DataFrame, f: Filter) -> Counts:
@@ -189,11 +200,33 @@ def host_scores(hosts: DataFrame, labels: DataFrame, f: Filter, counts: Counts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     scored = labels.mapInArrow(score, "label string, words array<string>, score double")
-    of_host = hosts.select("host", F.posexplode(labels_of(F.col("host"))).alias("at", "label")).join(scored, "label")
+    every = hosts.select("host", F.posexplode(labels_of(F.col("host"))).alias("at", "label"))
+    # labels such as com stand in most hosts: those with a thousandth of all, a thousand at most, go to the hosts
+    often = every.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    total = often.agg(F.sum("n")).first()[0] or 0
+    scored = checkpointed(scored.join(often, "label"))
+    head = F.broadcast(scored.where(F.col("n") * COMMON >= total).drop("n"))
+    of_host = every.join(head, "label").unionByName(every.join(head.select("label"), "label", "left_anti").join(scored.drop("n"), "label"))
     words = F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: F.array_join(x["words"], " "))
     return of_host.groupBy("host").agg(F.sum("score").alias("host_score"), F.array_join(words, " ").alias("host_words"))
 
 
+def least_score(scored: DataFrame, f: Filter) -> float:
+    """Zero, where block is as likely as allow, if that tells hosts with a url that a rule blocks from hosts without; else infinite.
+
+    It does if of the held-out urls above zero so many fewer are of hosts without than of all held-out
+    urls that chance is f.deviations standard deviations away. With example phrases zero is taken as it is.
+    """
+    if f.blocked or f.allowed:
+        return 0.0
+    above, fine = F.col("score") > 0, ~F.col("bad_host")
+    count = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0))
+    every, spared, n, low = scored.where("held_out").agg(F.count(F.lit(1)), count(fine), count(above), count(above & fine)).first()
+    share = spared / every if every else 0.0
+    spread = math.sqrt(n * share * (1 - share))
+    return 0.0 if spread and n * share - low >= f.deviations * spread else math.inf
+
+
 def _path_scores(batches: Iterator[pa.RecordBatch], f: Filter, counts: Counts) -> Iterator[pa.RecordBatch]:
     model, parts = Bayes(f, counts), re.compile(r"[a-z]+")
     for batch in batches:
@@ -205,20 +238,21 @@ def url_verdicts(pages: DataFrame, f: Filter = Filter()) -> DataFrame:
     """page_id, host, path, rule, verdict, score, host_words, held_out of every page.
 
     A null url, or one without ://, has an empty host and path; no rule fits
-    it, and the classifier sees no token, so its prior allows it; a score of
-    zero (a tie) allows too. Long urls are read whole; a label's substrings are
-    words of `longest` letters at most. Repeated rows are judged each; an empty
+    it, and the classifier sees no token, so its prior allows it; a score that is no more than the
+    least one (a tie) allows too. Long urls and long labels are read whole; words have
+    `longest` letters at most. Repeated rows are judged each; an empty
     table gives no rows; other columns are not read. held_out: the host is not
     learnt from.
     """
     fold = F.crc32(F.col("host").cast("binary")) % f.folds == 0
     parts = with_parts(pages).withColumn("rule", _rule(f.rules, 0)).withColumn("ruled", _rule(f.rules, 1)).withColumn("held_out", fold)
-    hosts = checkpointed(with_parts(pages).select("host").distinct())
+    hosts = checkpointed(parts.groupBy("host").agg(F.max(F.coalesce(F.col("ruled") == "block", F.lit(False))).alias("bad_host")))
     labels = checkpointed(segmented(hosts, checkpointed(word_counts(pages, f)), f))
     counts = learnt_counts(parts, labels, f)
     parts = parts.mapInArrow(lambda it: _path_scores(it, f, counts), "page_id long, host string, path string, rule string, ruled string, held_out boolean, path_score double")
-    scores = checkpointed(host_scores(hosts, labels, f, counts).withColumnRenamed("host", "of_host"))
+    scores = host_scores(hosts, labels, f, counts).withColumnRenamed("host", "of_host")
+    scores = checkpointed(hosts.join(scores, F.col("host") == F.col("of_host"), "left").select(F.col("host").alias("of_host"), "bad_host", "host_score", "host_words"))
     score = F.col("path_score") + F.coalesce("host_score", F.lit(0.0))
-    return parts.join(scores, parts["host"] == scores["of_host"], "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(score > 0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), F.round(score, 6).alias("score"), "host_words", "held_out"
-    )
+    judged = checkpointed(parts.join(scores, parts["host"] == scores["of_host"], "left").withColumn("score", score))
+    blocked = F.when(F.col("score") > least_score(judged, f), F.lit("block")).otherwise(F.lit("allow"))
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", blocked).alias("verdict"), F.round("score", 6).alias("score"), "host_words", "held_out")
