@@ -32,8 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .session import checkpointed
-from .textkit import FOLDED, NON_ALNUM, U64, Sums, buffers, column, mix, slices, word_hashes, words
+from .session import bitmap, checkpointed
+from .textkit import FOLDED, NON_ALNUM, U64, Sums, buffers, column, mix, passing, slices, word_hashes, words
 
 
 @dataclass(frozen=True)
@@ -308,18 +308,6 @@ def prefixes(items: DataFrame, p: Match) -> DataFrame:
     return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(p.similarity) - 1e-9) + 1).select("item", "h", "size")
 
 
-def bitmap(prefix: DataFrame, p: Match) -> tuple[int, np.ndarray]:
-    """(bits, bytes): which hashes modulo 2**bits stand in a prefix; 2**p.most_bits bits at most."""
-    n = prefix.count()
-    bits = min(p.most_bits, max(16, (64 * n).bit_length()))
-    at = prefix.select((F.pmod("h", F.lit(1 << bits)) + 1).alias("at"))
-    rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect()
-    out = np.zeros(max(1 << bits, 1 << 15) // 8, np.uint8)
-    for r in rows:
-        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["map"], np.uint8)
-    return bits, out
-
-
 def _marked(batches: Iterator[pa.RecordBatch], bits: int, known: np.ndarray, sizes: list[int]) -> Iterator[pa.RecordBatch]:
     """doc_id; and of texts with windows that pass the bitmap: these, a digest of the text, the text."""
     for batch in batches:
@@ -330,8 +318,7 @@ def _marked(batches: Iterator[pa.RecordBatch], bits: int, known: np.ndarray, siz
             c = Canonical(data[off[i] : off[j]], off[i : j + 1] - off[i])
             for size in sizes:
                 w = c.windows(size)
-                place = w.key & U64((1 << bits) - 1)
-                k = np.flatnonzero((known[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8)) & 1)
+                k = passing(w.key, bits, known)
                 pairs = np.unique(np.column_stack([c.row[w.at[k]].astype(U64), w.key[k]]), axis=0) if len(k) else np.zeros((0, 2), U64)
                 for row, x in zip(pairs[:, 0].tolist(), pairs[:, 1].view(np.int64).tolist()):
                     hits[i + row].append(x)
@@ -369,7 +356,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Match = Match()) ->
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null").distinct()
     items = items.withColumn("item", F.xxhash64("item_id", "text"))
     prefix = checkpointed(prefixes(items, p))
-    bits, known = bitmap(prefix, p)
+    bits, known = bitmap(prefix.select("h"), p.most_bits)
     sizes = sorted(r["size"] for r in prefix.select("size").distinct().collect())  # p.window of them at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = checkpointed(texts.mapInArrow(lambda it: _marked(it, bits, known, sizes), "doc_id long, hits array<long>, digest binary, text string"))

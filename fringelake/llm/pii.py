@@ -3,17 +3,20 @@
 Protected entities are the e-mail addresses, IP addresses, card and phone
 numbers that the base patterns find, and secrets: long strings of letters and
 digits whose own entropy is high. A term (a word of letters) discloses an
-entity as far as seeing it predicts the entity, be it one value or any of its
-kind: over all documents, the share of the term's distinct surroundings that
-have the entity close by is P(entity | term), shrunk towards P(entity) as if by
-one more surrounding; log2(P(entity | term) / P(entity)) is what one of them
+entity as far as seeing it predicts a value, or a small set of values of a kind: over
+all documents, the share of the term's distinct surroundings that
+have the value close by is P(value | term), shrunk towards P(value) as if by
+one more surrounding; log2(P(value | term) / P(value)) is what one of them
 gives away. A term is protected wherever it stands if the shrunk share is above
 one half and all its surroundings give away more bits than it takes to pick the
-term from all that were tried, and some more: that limit follows the corpus.
+term from all that were tried, and some more: that limit follows the corpus. A
+set of values counts only where each comes back, on average, so a word that stands before
+ever new values (a cue such as "token" or "call") names no one and stays.
 
 The passes: (1) entities and the terms near them; (2) the surroundings of
-those terms in the whole corpus; (3) spans of every document. Term sets enter a
-pass in blocks of a fixed size, so nothing unbounded is sent to the executors.
+those terms in the whole corpus; (3) spans of every document. A term set of a bounded size goes to
+the tasks; a larger one leaves a bitmap of a bounded size there, and what
+passes it meets the terms in a join.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .session import checkpointed
-from .textkit import FOLDED, NON_ALNUM, SPACE, Sums, buffers, column, slices, word_hashes, words
+from .session import bitmap, checkpointed
+from .textkit import FOLDED, NON_ALNUM, SPACE, Sums, buffers, column, passing, slices, word_hashes, words
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -51,16 +54,19 @@ class Disclosure:
     """near: words on each side of an entity; around: words on each side of a term
     that tell its surroundings apart; support: least distinct surroundings with the
     entity; share: least shrunk P(entity | term); bits: gain over the cost of picking
-    the term; secret_bits: least entropy of a secret; block: terms a pass."""
+    the term; again: how often each value of a set comes back, on average; secret_bits: least
+    entropy of a secret; block: terms that are sent to tasks at most; most_bits: of the bitmap for more, as a power of two."""
 
     near: int = 6
     around: int = 3
     support: int = 2
     share: float = 0.5
     bits: float = 8.0
+    again: float = 2.0
     secret_bits: float = 64.0
     shortest: int = 4
     block: int = 1 << 20
+    most_bits: int = 27
 
 
 def _luhn(digits: str) -> bool:
@@ -180,13 +186,17 @@ def _cooccurrences(batches: Iterator[pa.RecordBatch], p: Disclosure) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(cat(x)) for x in (terms, values, kinds, rounds)], ["term", "entity", "kind", "around"])
 
 
-def _surroundings(batches: Iterator[pa.RecordBatch], terms: np.ndarray, p: Disclosure, one_in: int) -> Iterator[pa.RecordBatch]:
-    """Distinct (term, around) of the given terms, wherever they stand; of the surroundings one in so many, by their hash."""
+#: Which of some hashes may be those of a term set; exact or not.
+Member = Callable[[np.ndarray], np.ndarray]
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch], member: Member, p: Disclosure, one_in: int) -> Iterator[pa.RecordBatch]:
+    """Distinct (term, around) of the member terms, wherever they stand; of the surroundings one in so many, by their hash."""
     for batch in batches:
         data, off = buffers(column(batch, "text"))
         for i, j in slices(off):
             w = _Words(data[off[i] : off[j]], off[i : j + 1] - off[i], p)
-            at = np.flatnonzero(w.term & _among(w.h, terms))
+            at = np.flatnonzero(w.term & member(w.h))
             term, around = w.h[at], w.surroundings(at)
             if one_in > 1:
                 k = np.flatnonzero((around >> np.uint64(20)) % np.uint64(one_in) == 0)
@@ -204,22 +214,27 @@ def _among(h: np.ndarray, sorted_terms: np.ndarray) -> np.ndarray:
     return sorted_terms[at] == h
 
 
-def _blocks(terms: DataFrame, p: Disclosure) -> Iterator[np.ndarray]:
-    """The table's hashes in sorted blocks of about p.block."""
-    n = terms.count()
-    blocks = -(-n // p.block)
-    for k in range(blocks):
-        rows = terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).select("term").collect()
-        yield np.sort(np.array([r["term"] for r in rows], np.int64).view(np.uint64))
+def _member(terms: DataFrame, p: Disclosure) -> tuple[Member, bool]:
+    """Tells the table's terms from others, and whether it does so exactly: by their hashes, p.block at most, or by a bitmap of a bounded size."""
+    if terms.count() <= p.block:
+        known = np.sort(np.array([r["term"] for r in terms.select("term").collect()], np.int64).view(np.uint64))
+        return lambda h: _among(h, known), True
+    bits, marks = bitmap(terms.select("term"), p.most_bits)
+
+    def may(h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), bool)
+        out[passing(h, bits, marks)] = True
+        return out
+
+    return may, False
 
 
 def _alone(texts: DataFrame, terms: DataFrame, p: Disclosure, one_in: int) -> DataFrame:
     """(term, alone): how many distinct surroundings each term has, or one in so many of them."""
-    out = terms.select("term", F.lit(0).cast("long").alias("alone")).limit(0)
-    for block in _blocks(terms, p):
-        found = texts.mapInArrow(lambda it, b=block: _surroundings(it, b, p, one_in), "term long, around long").distinct()
-        out = out.unionByName(found.groupBy("term").agg(F.count(F.lit(1)).alias("alone")))
-    return checkpointed(out)
+    member, exact = _member(terms, p)
+    found = texts.mapInArrow(lambda it: _surroundings(it, member, p, one_in), "term long, around long").distinct()
+    alone = found.groupBy("term").agg(F.count(F.lit(1)).alias("alone"))
+    return checkpointed(alone if exact else alone.join(terms.select("term"), "term", "left_semi"))
 
 
 #: Surroundings of which one is counted first, to leave the frequent terms out.
@@ -227,15 +242,20 @@ ONE_IN = 16
 
 
 def disclosing_terms(texts: DataFrame, p: Disclosure) -> DataFrame:
-    """(term): hashes of the terms that give an entity, or one of its kind, away."""
+    """(term): hashes of the terms that give a value, or a few values of a kind, away."""
     seen = checkpointed(texts.mapInArrow(lambda it: _cooccurrences(it, p), "term long, entity long, kind long, around long").distinct())
-    # a kind is an entity too: any of its values
-    wide = seen.select("term", F.col("kind").alias("entity"), "around").distinct().unionByName(seen.select("term", "entity", "around"))
     blanks = F.length("text") - F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) + 1
     everything = float(texts.agg(F.sum(blanks)).first()[0] or 1)  # words of the corpus, about: any may have the entity close by
-    entity = wide.groupBy("entity").agg(F.countDistinct("around").alias("of_entity"))
-    pairs = wide.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= p.support)
-    pairs = checkpointed(pairs.join(entity, "entity").withColumn("before", F.least(F.lit(1.0), F.col("of_entity") / F.lit(everything))).drop("of_entity"))
+    entity = seen.groupBy("entity").agg(F.countDistinct("around").alias("of_entity"))
+    single = seen.groupBy("term", "entity", "kind").agg(F.count(F.lit(1)).alias("together")).join(entity, "entity")
+    single = checkpointed(single.select("term", "entity", "kind", "together", "of_entity"))
+    sets = single.groupBy("term", "kind").agg(F.count(F.lit(1)).alias("values"), F.sum("together").alias("of_values"), F.sum("of_entity").alias("of_entity")).where((F.col("values") > 1) & (F.col("of_values") >= p.again * F.col("values")))
+    # one surrounding may have several values by it
+    rounds = seen.join(sets.select("term", "kind"), ["term", "kind"], "left_semi").groupBy("term", "kind").agg(F.countDistinct("around").alias("together"))
+    sets = sets.join(rounds, ["term", "kind"])
+    named = ["term", "together", "of_entity"]
+    pairs = single.select(named).unionByName(sets.select(named)).where(F.col("together") >= p.support)
+    pairs = checkpointed(pairs.withColumn("before", F.least(F.lit(1.0), F.col("of_entity") / F.lit(everything))).drop("of_entity"))
     cost = log2(max(2, pairs.select("term").distinct().count())) + p.bits
     # what could not pass even if the term stood nowhere else, and what stands elsewhere too often by a part of its surroundings alone
     pairs = checkpointed(pairs.where(F.col("together") * F.log2((F.col("together") + F.col("before")) / (F.col("together") + 1) / F.col("before")) >= cost))
@@ -247,18 +267,37 @@ def disclosing_terms(texts: DataFrame, p: Disclosure) -> DataFrame:
     return checkpointed(pairs.join(every, "term").where((share > p.share) & (gain >= cost)).select("term").distinct())
 
 
-def _term_spans(batches: Iterator[pa.RecordBatch], terms: np.ndarray, p: Disclosure) -> Iterator[pa.RecordBatch]:
-    """Adds the byte spans of the given terms to each row's `found`."""
+def _term_spans(batches: Iterator[pa.RecordBatch], member: Member | None, p: Disclosure) -> Iterator[pa.RecordBatch]:
+    """(text and the other columns, found): the byte spans of the member terms, or of those that a row has in `own`."""
     for batch in _pieces(batches):
         data, off = buffers(column(batch, "text"))
-        out = [list(x or []) for x in column(batch, "found").to_pylist()]
+        own = column(batch, "own").to_pylist() if member is None else []
+        out: list[list[int]] = [[] for _ in range(batch.num_rows)]
         for i, j in slices(off):
             w = _Words(data[off[i] : off[j]], off[i : j + 1] - off[i], p)
-            for at in np.flatnonzero(w.term & _among(w.h, terms)).tolist():
-                row = int(w.row[at])
+            if member is not None:
+                at = np.flatnonzero(w.term & member(w.h))
+            else:
+                cuts = np.searchsorted(w.row, np.arange(j - i + 1))
+                at = np.concatenate([cuts[k] + np.flatnonzero((w.term & _among(w.h, np.sort(np.array(own[i + k] or [], np.int64).view(np.uint64))))[cuts[k] : cuts[k + 1]]) if own[i + k] else np.zeros(0, np.int64) for k in range(j - i)])
+            for a in at.tolist():
+                row = int(w.row[a])
                 shift = int(off[i + row] - off[i])
-                out[i + row] += [int(w.start[at]) - shift, int(w.end[at]) - shift]
-        yield pa.RecordBatch.from_arrays([*(pa.array(out, pa.list_(pa.int64())) if n == "found" else c for n, c in zip(batch.schema.names, batch.columns))], schema=batch.schema.set(batch.schema.get_field_index("found"), pa.field("found", pa.list_(pa.int64()))))
+                out[i + row] += [int(w.start[a]) - shift, int(w.end[a]) - shift]
+        keep = [n for n in batch.schema.names if n != "own"]
+        yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in keep), pa.array(out, pa.list_(pa.int64()))], [*keep, "found"])
+
+
+def _held(batches: Iterator[pa.RecordBatch], member: Member, p: Disclosure) -> Iterator[pa.RecordBatch]:
+    """Distinct (of, term): the digest of a text, and a term that it may hold."""
+    for batch in _pieces(batches):
+        data, off = buffers(column(batch, "text"))
+        for i, j in slices(off):
+            w = _Words(data[off[i] : off[j]], off[i : j + 1] - off[i], p)
+            at = np.flatnonzero(w.term & member(w.h))
+            pairs = np.unique(np.column_stack([w.row[at].astype(np.uint64), w.h[at]]), axis=0) if len(at) else np.zeros((0, 2), np.uint64)
+            of = column(batch, "of").slice(i, j - i).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([of[k] for k in pairs[:, 0].tolist()], pa.binary()), pa.array(pairs[:, 1].view(np.int64))], ["of", "term"])
 
 
 def all_spans(text: str, term_bytes: list[int], p: Disclosure) -> list[tuple[int, int, int]]:
@@ -322,17 +361,18 @@ def _sanitised(batches: Iterator[pa.RecordBatch], p: Disclosure) -> Iterator[pa.
 def _with_spans(docs: DataFrame, p: Disclosure, last: Callable[[Iterator[pa.RecordBatch], Disclosure], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """`last` over `docs` (text and others, but no `found`) with `found`, the byte spans of protected terms.
 
-    The last block of terms is marked in the same Python worker as `last` runs
+    Terms are marked in the same Python worker as `last` runs
     in: each further step would be a further worker for every task.
     """
-    terms = disclosing_terms(docs.select(F.col("text").cast("string").alias("text")), p)
-    marked = docs.withColumn("text", F.col("text").cast("string")).withColumn("found", F.array().cast("array<bigint>"))
-    final = None
-    for block in _blocks(terms, p):
-        if final is not None:
-            marked = marked.mapInArrow(lambda it, b=final: _term_spans(it, b, p), marked.schema)
-        final = block
-    return marked.mapInArrow(lambda it: last(it if final is None else _term_spans(it, final, p), p), schema)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    terms = disclosing_terms(docs.select("text"), p)
+    member, exact = _member(terms, p)
+    if exact:
+        return docs.mapInArrow(lambda it: last(_term_spans(it, member, p), p), schema)
+    keyed = docs.withColumn("of", F.unhex(F.sha2("text", 256)))
+    held = keyed.select("text", "of").mapInArrow(lambda it: _held(it, member, p), "of binary, term long").distinct().join(terms, "term")
+    own = checkpointed(held.groupBy("of").agg(F.collect_list("term").alias("own")))  # of a text: no more than its words
+    return keyed.join(own, "of", "left").drop("of").mapInArrow(lambda it: last(_term_spans(it, None, p), p), schema)
 
 
 def personal_data(docs: DataFrame, p: Disclosure = Disclosure()) -> DataFrame:

@@ -149,3 +149,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
 
 def column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def passing(h: np.ndarray, bits: int, known: np.ndarray) -> np.ndarray:
+    """Places of the hashes that the bitmap (see session.bitmap) lets pass."""
+    place = h & U64((1 << bits) - 1)
+    return np.flatnonzero((known[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8)) & 1)

@@ -334,8 +334,10 @@ def test_personal_data(spark):
         named += any(n in terms for n, _ in people)
         wrong += len(terms & set(plain))
         plain_words += len((t or "").split())
-        assert ("secret" in got[d]["spans"]) == ("3f9" in (t or ""))
+        assert ("secret" in got[d]["spans"]) == ("3f9" in (t or "")) and not terms & {"token", "only", "here"}  # a cue says nothing of a value
     assert named >= 0.9 * (2 * len(people) + 2) and wrong <= 0.001 * plain_words, (named, wrong)
+    joined = pii.personal_data(docs, pii.Disclosure(block=0, most_bits=10))
+    assert {x["doc_id"]: x for x in joined.collect()} == got
     out = pii.sanitise(docs)
     assert out.columns == docs.columns
     clean = {x["doc_id"]: x for x in out.collect()}
@@ -344,6 +346,19 @@ def test_personal_data(spark):
     assert pii.personal_data(docs.limit(0)).count() == 0 and pii.sanitise(docs.limit(0)).count() == 0
 
 
+def test_terms_disclose_values_and_small_sets(spark):
+    """A name beside one value, or beside two that come back, is a term; a word beside ever new values of a kind is none."""
+    r = random.Random(4)
+    some = lambda n: " ".join("".join(r.choice("bcdfgklm") + r.choice("aeiou") for _ in range(3)) for _ in range(n))
+    texts = [f"{some(9)} Solo {some(1)} first@a.example.org {some(9)}" for _ in range(3)]
+    texts += [f"{some(9)} Twain {some(1)} {x} {some(9)}" for x in ("one@b.example.org", "two@b.example.org") for _ in range(3)]
+    texts += [f"{some(9)} mailto {some(1)} u{k}@c{k}.example.org {some(9)}" for k in range(200)]
+    texts += [f"{some(9)} ringing +1 555 01{k:02d} 99{k:02d} {some(9)}" for k in range(50)] + [some(30) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {texts[x["doc_id"]][int(a) : int(b)] for x in pii.personal_data(docs).collect() for k, a, b in (y.split(":") for y in x["spans"].split(",") if y) if k == "term"}
+    assert {"Solo", "Twain"} <= found and not found & {"mailto", "ringing"}
+
+
 def test_decontamination(spark):
     r = random.Random(6)
     words_ = ["".join(r.choice("klmnopqr") for _ in range(5)) for _ in range(400)]
