@@ -410,9 +410,10 @@ def log_softmax(spark, d):
     return rounded(bridge.scan(spark, d).select("pos_id", (-F.ln(1 + F.exp(b - a))).alias("log_p")))
 
 
-@query("cx", sql="SELECT a.pos_id, m.label AS mode, a.y, a.x, round(a.re * m.re - a.im * m.im, 6) AS re, round(a.re * m.im + a.im * m.re, 6) AS im FROM cx a JOIN (SELECT pos_id AS label, y, x, re, im FROM cx WHERE pos_id < 3) m ON a.y = m.y AND a.x = m.x")
+@query("stack", sql=", r AS MATERIALIZED (SELECT a.pos_id, m.z AS mode, a.y, a.x, round(a.re * m.re - a.im * m.im, 6) AS re, round(a.re * m.im + a.im * m.re, 6) AS im FROM cx a JOIN stack m ON a.y = m.y AND a.x = m.x) SELECT * FROM r")
 def mode_product(spark, d):
-    modes = bridge.cx(spark, d).where("pos_id < 3").select(F.col("pos_id").alias("mode"), "y", "x", F.col("re").alias("mr"), F.col("im").alias("mi"))
+    """Every pattern times every label's mean as a mode."""
+    modes = bridge.stack(spark, d).select(F.col("z").alias("mode"), "y", "x", F.col("re").alias("mr"), F.col("im").alias("mi"))
     re, im = c_mul((F.col("re"), F.col("im")), (F.col("mr"), F.col("mi")))
     return rounded(bridge.cx(spark, d).join(F.broadcast(modes), ["y", "x"]).select("pos_id", "mode", "y", "x", re.alias("re"), im.alias("im")))
 

@@ -25,7 +25,7 @@ CTE = {
     "mask": "mask AS (SELECT k // 8 AS ky, k % 8 AS kx, CASE WHEN (k // 8 - 3.5) * (k // 8 - 3.5) + (k % 8 - 3.5) * (k % 8 - 3.5) <= 9 THEN 1.0 ELSE 0.0 END AS m FROM range(64) AS t(k))",
     "scan": "scan AS (SELECT vec_id AS pos_id, vec_id // 20 AS iy, vec_id % 20 AS ix, 0.6 * (vec_id // 20) + CAST(embedding[1] AS DOUBLE) AS y, 0.6 * (vec_id % 20) + CAST(embedding[2] AS DOUBLE) AS x FROM embeddings)",
     "starts": "starts AS (SELECT pos_id, CAST(round_even((y + 5.0) / 0.5 - 3.5, 0) AS BIGINT) AS start_y, CAST(round_even((x + 5.0) / 0.5 - 3.5, 0) AS BIGINT) AS start_x FROM scan)",
-    "pairs": "pairs AS (SELECT p.pos_id, p.ky, p.kx, p.v AS measured, q.v AS model, m.m FROM px p JOIN px q ON q.pos_id = p.pos_id + 1 AND q.ky = p.ky AND q.kx = p.kx JOIN mask m ON m.ky = p.ky AND m.kx = p.kx)",
+    "pairs": "pairs AS MATERIALIZED (SELECT p.pos_id, p.ky, p.kx, p.v AS measured, q.v AS model, m.m FROM px p JOIN px q ON q.pos_id = p.pos_id + 1 AND q.ky = p.ky AND q.kx = p.kx JOIN mask m ON m.ky = p.ky AND m.kx = p.kx)",
     "grid": "grid AS (SELECT k // 8 AS ky, k % 8 AS kx, (CASE WHEN k // 8 < 4 THEN k // 8 ELSE k // 8 - 8 END) / (8 * 0.25) AS fy, (CASE WHEN k % 8 < 4 THEN k % 8 ELSE k % 8 - 8 END) / (8 * 0.25) AS fx FROM range(64) AS t(k))",
     "img": "img AS (SELECT z, y, x, re AS v FROM stack)",
     "jobs": "jobs AS (SELECT user_id % 50 AS job_id, event_id, ts, event_type AS status, value, user_id FROM events)",
