@@ -145,13 +145,5 @@ def smooth_slices(img: DataFrame, n: int, sigma: float, weight: float) -> DataFr
     return blurred.select("z", "y", "x", ((1 - weight) * F.col("own") + weight * F.col("b")).alias("v"))
 
 
-def rank_nearest(points: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
-    """(pos_id, centroid, d2, rank): the k nearest of a few centroids, by a row-wise sort, no shuffle."""
-    c = centroids.agg(F.sort_array(F.collect_list(F.struct("centroid", "cy", "cx"))).alias("cs"))  # a grouping has few centroids
-    d2 = lambda s: (F.col("y") - s["cy"]) ** 2 + (F.col("x") - s["cx"]) ** 2
-    each = points.crossJoin(F.broadcast(c)).select("pos_id", F.slice(F.sort_array(F.transform("cs", lambda s: F.struct(d2(s).alias("d2"), s["centroid"].alias("centroid")))), 1, k).alias("near"))
-    return each.select("pos_id", F.posexplode("near").alias("rank", "s")).select("pos_id", "s.centroid", "s.d2", (F.col("rank") + 1).cast("long").alias("rank"))
-
-
 def window_order(*cols: str):
     return Window.orderBy(*cols)

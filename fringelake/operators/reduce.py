@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranks import exact_quantiles
+
 
 def known(c: str = "v") -> Column:
     """NaN as null, so that aggregates skip it."""
@@ -64,7 +66,8 @@ def first_crossing(curve: DataFrame, threshold: float) -> DataFrame:
 
 def robust_scale(img: DataFrame, bits: int, low: float = 0.001, high: float = 0.999, min_range: float = 0.0) -> DataFrame:
     """`img` (…, v) as integers between its exact quantiles."""
-    q = img.agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    ends = exact_quantiles(img, "v", [low, high], [])
+    q = ends.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     top = 2.0**bits - 1
     span = F.greatest(F.col("hi") - F.col("lo"), F.lit(min_range))
     scaled = F.least(F.greatest(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), span), F.lit(0.0)) * top, F.lit(0.0)), F.lit(top))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window, functions as F
 
 from ..functions.complexcol import c_mul
-from ..operators import images, losses, optics, preprocess, reduce
+from ..operators import images, losses, optics, preprocess, ranks, reduce
 from . import bridge
 from .bridge import N, query, rounded
 
@@ -434,12 +434,6 @@ def outer_product(spark, d):
     return rounded(p.groupBy("ky").agg(F.sum("v").alias("a")).crossJoin(F.broadcast(p.groupBy("kx").agg(F.sum("v").alias("b")))).select("ky", "kx", (F.col("a") * F.col("b")).alias("v")), 3)
 
 
-@query("scan", sql=", c AS (SELECT pos_id AS centroid, y AS cy, x AS cx FROM scan WHERE pos_id % 100 = 0), r AS (SELECT s.pos_id, centroid, (y - cy) * (y - cy) + (x - cx) * (x - cx) AS d2, row_number() OVER (PARTITION BY s.pos_id ORDER BY (y - cy) * (y - cy) + (x - cx) * (x - cx), centroid) AS rank FROM scan s, c) SELECT pos_id, centroid, round(d2, 6) AS d2, rank FROM r WHERE rank <= 3")
-def nearest_centroid(spark, d):
-    s = bridge.scan(spark, d)
-    return rounded(images.rank_nearest(s, s.where("pos_id % 100 = 0").select(F.col("pos_id").alias("centroid"), F.col("y").alias("cy"), F.col("x").alias("cx")), 3))
-
-
 @query("pairs", sql="SELECT pos_id, ky, kx, round(model - 0.1 * (0.9 * measured + (model - measured)), 6) AS p, round(0.9 * measured + (model - measured), 6) AS velocity FROM pairs")
 def sgd_step(spark, d):
     p, v = losses.sgd_step(F.col("model"), F.col("model") - F.col("measured"), F.col("measured"), 0.1, 0.9)
@@ -482,7 +476,8 @@ def mean_loss(spark, d):
 
 @query("img", sql="SELECT round(sum(q), 6) AS spread FROM (SELECT quantile_cont(v, 0.99) - quantile_cont(v, 0.01) AS q FROM img GROUP BY z)")
 def projected_spread(spark, d):
-    return rounded(bridge.img(spark, d).groupBy("z").agg((F.percentile("v", 0.99) - F.percentile("v", 0.01)).alias("q")).agg(F.sum("q").alias("spread")))
+    q = ranks.exact_quantiles(bridge.img(spark, d), "v", [0.01, 0.99], ["z"])
+    return rounded(q.agg(F.sum(F.when(F.col("share") > 0.5, F.col("v")).otherwise(-F.col("v"))).alias("spread")))
 
 
 @query("pairs", sql="SELECT round(sqrt(avg((measured - model) * (measured - model))), 6) AS rms FROM pairs")

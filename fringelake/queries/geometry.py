@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cutouts, grids, preprocess, reduce
+from ..operators import cutouts, grids, preprocess, reduce, tiles
 from . import bridge
-from .bridge import N, query, rounded
+from .bridge import N, query, rounded, table
 
 S = grids.Sampling(8, 8, 0.25, 0.25)
 
@@ -143,21 +143,52 @@ def _obj(spark):
     return grids.index_grid(spark, 80, 80).withColumn("v", (F.col("y") * 2 + F.col("x")).cast("double"))
 
 
+_TILES = tiles.Tiling(80, 80, size=32)
+
+
+def _packed(spark, d):
+    """(pos_id, start_y, start_x, data): each pattern as a window, packed as the table has it."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("pos_id"), F.transform("embedding", lambda a: 100 * a.cast("double") * a.cast("double")).alias("data"))
+    return e.join(bridge.starts(spark, d), "pos_id").select("pos_id", F.col("start_y").cast("long").alias("start_y"), F.col("start_x").cast("long").alias("start_x"), "data")
+
+
+def _starts(spark, d):
+    return bridge.starts(spark, d).select("pos_id", F.col("start_y").cast("long").alias("start_y"), F.col("start_x").cast("long").alias("start_x"))
+
+
 @query("starts", sql=", " + _OBJ + " SELECT wp.pos_id, wy, wx, coalesce(v, 1.0) AS v FROM wp LEFT JOIN obj ON wp.y = obj.y AND wp.x = obj.x")
 def cutout_gather(spark, d):
-    return cutouts.gather(_obj(spark), bridge.starts(spark, d), N, N)
+    got = tiles.gather(tiles.tiles_of(_obj(spark), _TILES), _starts(spark, d), N, N, _TILES)
+    return tiles.window_px(got, N, N).drop("wz")
+
+
+_SLICES = ", big AS (SELECT z, a.k * 8 + y AS y, b.k * 8 + x AS x, re * (1 + a.k) + b.k AS v FROM stack, range(5) AS a(k), range(5) AS b(k)), w AS (SELECT k // 8 AS wy, k % 8 AS wx FROM range(64) AS t(k)), wq AS (SELECT pos_id, wy, wx, ((start_y - 20 + wy) % 80 + 80) % 80 AS y, ((start_x - 20 + wx) % 80 + 80) % 80 AS x FROM starts, w), wp AS (SELECT pos_id, wy, wx, CASE WHEN y < 40 THEN y ELSE 79 - y END AS y, CASE WHEN x < 40 THEN x ELSE 79 - x END AS x FROM wq)"
+
+
+@query("stack", "starts", sql=_SLICES + " SELECT wp.pos_id, z AS wz, wy, wx, round(v, 6) AS v FROM wp JOIN big ON big.y = wp.y AND big.x = wp.x WHERE z < 3")
+def cutout_slices(spark, d):
+    """Windows of three slices of the label means, five by five of them, reflected at the edges."""
+    s = bridge.stack(spark, d).where("z < 3")
+    k = lambda n: F.explode(F.sequence(F.lit(0), F.lit(4))).alias(n)
+    big = s.select("z", "y", "x", "re", k("a")).select("z", "y", "x", "re", "a", k("b"))
+    big = big.select("z", (F.col("a") * N + F.col("y")).alias("y"), (F.col("b") * N + F.col("x")).alias("x"), (F.col("re") * (1 + F.col("a")) + F.col("b")).alias("v"))
+    t = tiles.Tiling(40, 40, 3, 16)
+    at = _starts(spark, d).select("pos_id", (F.col("start_y") - 20).alias("start_y"), (F.col("start_x") - 20).alias("start_x"))
+    return rounded(tiles.window_px(tiles.gather(tiles.tiles_of(big, t), at, N, N, t, "reflect"), N, N))
 
 
 @query("px", "starts", sql=", " + _OBJ + " SELECT wp.y, wp.x, round(sum(px.v), 6) AS v, count(*) AS n FROM wp JOIN px ON wp.pos_id = px.pos_id AND wy = ky AND wx = kx GROUP BY wp.y, wp.x")
 def cutout_scatter_add(spark, d):
-    w = bridge.px(spark, d).select("pos_id", F.col("ky").alias("wy"), F.col("kx").alias("wx"), "v")
-    return rounded(cutouts.scatter_add(w, bridge.starts(spark, d), N, N))
+    w = _packed(spark, d)
+    ny, nx = w.agg(F.max("start_y") + N, F.max("start_x") + N).first()  # the object is as large as the scan
+    t = tiles.Tiling(ny, nx, size=32)
+    return rounded(tiles.sum_px(tiles.scatter_add(w, N, N, t), t)).select("y", "x", "v", "n")
 
 
 @query("px", "starts", sql=", " + _OBJ + ", l AS (SELECT wp.y, wp.x, arg_max(px.v, wp.pos_id) AS u FROM wp JOIN px ON wp.pos_id = px.pos_id AND wy = ky AND wx = kx GROUP BY wp.y, wp.x) SELECT obj.y, obj.x, round(coalesce(u, v), 6) AS v FROM obj LEFT JOIN l ON obj.y = l.y AND obj.x = l.x")
 def cutout_scatter_set(spark, d):
-    w = bridge.px(spark, d).select("pos_id", F.col("ky").alias("wy"), F.col("kx").alias("wx"), "v")
-    return rounded(cutouts.scatter_set(_obj(spark), w, bridge.starts(spark, d), N, N))
+    got = tiles.scatter_set(tiles.tiles_of(_obj(spark), _TILES), _packed(spark, d), N, N, _TILES)
+    return rounded(tiles.pixels_of(got, _TILES).select("y", "x", "v"))
 
 
 @query("mask", "starts", sql=" SELECT start_y + ky AS y, start_x + kx AS x, sum(m) AS v FROM starts, mask GROUP BY 1, 2")

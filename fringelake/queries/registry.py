@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, control, engines, fourier, geometry  # noqa: F401  each registers its queries
+from . import analysis, compare, control, engines, fourier, geometry  # noqa: F401  each registers its queries
 from .bridge import QUERIES, SQL, Query
 
 
