@@ -10,6 +10,20 @@ from . import bridge
 from .bridge import N, query, rounded
 
 
+def _transform(source: str, name: str, inverse: bool = False) -> str:
+    """SQL tables of the unitary transform of 8 x 8 images (pos_id, y, x, re, im): real space is centred, reciprocal space has its origin at the corner."""
+    sign, at, out = ("", "{}", "((b + 4) % 8)") if inverse else ("-", "(({} + 4) % 8)", "b")
+    turn = lambda c: f"{sign}2 * pi() / 8 * (({at.format(c)} * b) % 8)"
+    line = lambda c, rest, of: f"sum(re * cos({turn(c)}) - im * sin({turn(c)})) / sqrt(8) AS re, sum(re * sin({turn(c)}) + im * cos({turn(c)})) / sqrt(8) AS im FROM {of}, range(8) AS r(b) GROUP BY {rest}"
+    rows = f"{name}_x AS MATERIALIZED (SELECT pos_id, y, {out} AS x, {line('x', '1, 2, 3', source)})"
+    return f"{rows}, {name} AS MATERIALIZED (SELECT pos_id, {out} AS y, x, {line('y', '1, 2, 3', name + '_x')})"
+
+
+_F = ", " + _transform("cx", "f")
+_K2 = "(power(CASE WHEN y < 4 THEN y ELSE y - 8 END, 2) + power(CASE WHEN x < 4 THEN x ELSE x - 8 END, 2)) / 16.0"  # of pixels 0.5 wide
+_MID = ", c AS MATERIALIZED (SELECT pos_id, (y + 4) % 8 AS y, (x + 4) % 8 AS x, re, im FROM f), n AS MATERIALIZED (SELECT c.pos_id, coalesce(d.re - c.re, 0) AS yr, coalesce(d.im - c.im, 0) AS yi, coalesce(e.re - c.re, 0) AS xr, coalesce(e.im - c.im, 0) AS xi FROM c LEFT JOIN c d ON d.pos_id = c.pos_id AND d.y = c.y + 1 AND d.x = c.x LEFT JOIN c e ON e.pos_id = c.pos_id AND e.y = c.y AND e.x = c.x + 1)"
+
+
 def _images(spark, d):
     return fourier.packed(bridge.cx(spark, d), "pos_id")
 
@@ -35,27 +49,27 @@ def object_low_pass(spark, d):
     return _filtered(spark, d, fourier.low_pass((N, N), 0.05))
 
 
-@query()
+@query("cx", sql=_F + f", m AS (SELECT pos_id, y, x, re, im FROM f WHERE sqrt({_K2}) * 0.025 <= 0.02), " + _transform("m", "o", True) + " SELECT pos_id, y, x, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM o")
 def limit_probe_support(spark, d):
     return _filtered(spark, d, fourier.probe_support((N, N), (0.5, 0.5), 0.025, 20.0))
 
 
-@query()
+@query("cx", sql=_F + f", m AS (SELECT pos_id, y, x, re * exp(-2 * pi() * pi() * 0.16 * {_K2}) AS re, im * exp(-2 * pi() * pi() * 0.16 * {_K2}) AS im FROM f), " + _transform("m", "o", True) + ", w AS MATERIALIZED (SELECT o.pos_id, o.y, o.x, 0.4 * cx.re + 0.6 * o.re AS re, 0.4 * cx.im + 0.6 * o.im AS im FROM o JOIN cx USING (pos_id, y, x)) SELECT pos_id, y, x, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM w")
 def object_gaussian(spark, d):
     return _filtered(spark, d, fourier.gaussian((N, N), (0.5, 0.5), 0.4, 0.6))
 
 
-@query()
+@query("cx", sql=_F + " SELECT pos_id, round(sum(sqrt(re * re + im * im)), 6) AS cost FROM f GROUP BY pos_id")
 def recip_l1_cost(spark, d):
     return rounded(fourier.measured(_images(spark, d), "pos_id", (N, N), fourier.recip_l1))
 
 
-@query()
+@query("cx", sql=_F + _MID + " SELECT pos_id, round(sum(yr * yr + yi * yi + xr * xr + xi * xi), 6) AS cost FROM n GROUP BY pos_id")
 def probe_recip_tikhonov(spark, d):
     return rounded(fourier.measured(_images(spark, d), "pos_id", (N, N), fourier.recip_tikhonov))
 
 
-@query()
+@query("cx", sql=_F + _MID + " SELECT pos_id, round(sum(sqrt(yr * yr + yi * yi + xr * xr + xi * xi + 1e-8)), 6) AS cost FROM n GROUP BY pos_id")
 def probe_recip_tv(spark, d):
     return rounded(fourier.measured(_images(spark, d), "pos_id", (N, N), fourier.recip_tv))
 
