@@ -21,6 +21,11 @@ def _transform(source: str, name: str, inverse: bool = False) -> str:
 
 _F = ", " + _transform("cx", "f")
 _K2 = "(power(CASE WHEN y < 4 THEN y ELSE y - 8 END, 2) + power(CASE WHEN x < 4 THEN x ELSE x - 8 END, 2)) / 16.0"  # of pixels 0.5 wide
+_HANN = "(0.5 - 0.5 * cos(2 * pi() * (y + 1) / 9)) * (0.5 - 0.5 * cos(2 * pi() * (x + 1) / 9))"
+_RING = f", h AS MATERIALIZED (SELECT pos_id, y, x, re * {_HANN} AS re, im * {_HANN} AS im FROM cx), " + _transform("h", "f") + """, t AS MATERIALIZED (SELECT CAST(floor(sqrt(power((CASE WHEN a.y < 4 THEN a.y ELSE a.y - 8 END) / 8.0, 2) + power((CASE WHEN a.x < 4 THEN a.x ELSE a.x - 8 END) / 8.0, 2)) / 0.1) AS BIGINT) AS r, a.re AS re1, a.im AS im1, b.re AS re2, b.im AS im2 FROM f a JOIN f b ON b.pos_id = a.pos_id + 1 AND b.y = a.y AND b.x = a.x)
+  SELECT r, round(sqrt(power(sum(re1 * re2 + im1 * im2), 2) + power(sum(im1 * re2 - re1 * im2), 2)) / sqrt(sum(re1 * re1 + im1 * im1) * sum(re2 * re2 + im2 * im2)), 6) AS frc, round(sqrt(sum(re1 * re1 + im1 * im1) / sum(re2 * re2 + im2 * im2)), 6) AS ratio FROM t GROUP BY r"""
+_CROSS = """, s AS (SELECT p.k - 4 AS dy, q.k - 4 AS dx FROM range(8) p(k), range(8) q(k) WHERE (p.k - 4) * (p.k - 4) + (q.k - 4) * (q.k - 4) <= 9), b AS MATERIALIZED (SELECT pos_id - 1 AS pos_id, (y + dy + 8) % 8 AS y, (x + dx + 8) % 8 AS x, re AS br, im AS bi, dy, dx FROM cx, s),
+  c AS MATERIALIZED (SELECT pos_id, dy, dx, sum(re * br + im * bi) AS v FROM cx JOIN b USING (pos_id, y, x) GROUP BY 1, 2, 3) SELECT pos_id, arg_max(dy, v) AS dy, arg_max(dx, v) AS dx FROM c GROUP BY pos_id"""
 _MID = ", c AS MATERIALIZED (SELECT pos_id, (y + 4) % 8 AS y, (x + 4) % 8 AS x, re, im FROM f), n AS MATERIALIZED (SELECT c.pos_id, coalesce(d.re - c.re, 0) AS yr, coalesce(d.im - c.im, 0) AS yi, coalesce(e.re - c.re, 0) AS xr, coalesce(e.im - c.im, 0) AS xi FROM c LEFT JOIN c d ON d.pos_id = c.pos_id AND d.y = c.y + 1 AND d.x = c.x LEFT JOIN c e ON e.pos_id = c.pos_id AND e.y = c.y AND e.x = c.x + 1)"
 
 
@@ -79,12 +84,12 @@ def probe_phase_tikhonov(spark, d):
     return rounded(fourier.measured(_images(spark, d), "pos_id", (N, N), fourier.recip_phase_tikhonov))
 
 
-@query()
+@query("cx", sql=_RING)
 def fourier_ring_correlation(spark, d):
     return rounded(reduce.ring_correlation(fourier.ring_terms(_pairs(spark, d), "pos_id", (N, N), 0.1)))
 
 
-@query()
+@query("cx", sql=_CROSS)
 def cross_correlate(spark, d):
     return fourier.shifts(_pairs(spark, d), "pos_id", (N, N), 3.0)
 
