@@ -107,8 +107,18 @@ class Views:
         self.obj = np.moveaxis(state.obj[:, self.rows[:, :, None], self.cols[:, None, :]], 1, 0)
         ky, kx = frequencies((ny, nx), state.step)
         self.filter = np.exp(-2j * np.pi * (sub_y[:, None, None] * ky + sub_x[:, None, None] * kx))[:, None]
+        self.tilt = None
+        if "ty" in batch.schema.names:
+            ty, tx = (np.tan(t * 1e-3)[:, None, None] for t in _numbers(batch, "ty", "tx"))
+            self.tilt = (ky * ty + kx * tx)[:, None]
         self.probe = self.shift(np.broadcast_to(state.probe, (len(y), *state.probe.shape)), self.filter) if np.any(sub_y) or np.any(sub_x) else np.broadcast_to(state.probe, (len(y), *state.probe.shape))
 
+    def props(self, base: list[np.ndarray]) -> list[np.ndarray]:
+        """Propagators of each position: those of no tilt, times the ramp of its own (`ty`, `tx` in mrad, where the table has them)."""
+        if self.tilt is None:
+            return base
+        return [p * np.exp(2j * np.pi * dz * self.tilt) for p, dz in zip(base, self.state.thickness)]
+
     @staticmethod
     def shift(a: np.ndarray, by: np.ndarray) -> np.ndarray:
         return ifft2(fft2(a) * by)
@@ -119,24 +129,27 @@ class Views:
 
 
 def simulate(positions: DataFrame, state: State) -> DataFrame:
-    """(pos_id, start_y, start_x, sub_y, sub_x, data): intensities of the model at each position."""
+    """(pos_id, start_y, start_x, sub_y, sub_x, ty and tx if given, data): intensities of the model at each position."""
     props = state.props()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, state):
             v = Views(batch, state)
-            model = (np.abs(forward(v.obj, v.probe, props)[1]) ** 2).sum(axis=1)
+            model = (np.abs(forward(v.obj, v.probe, v.props(props))[1]) ** 2).sum(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(model.reshape(batch.num_rows, -1)), pa.list_(pa.float64()))], [*batch.schema.names, "data"])
 
-    return positions.select("pos_id", "start_y", "start_x", "sub_y", "sub_x").mapInArrow(run, POSITION + ", data array<double>")
+    tilts = [c for c in ("ty", "tx") if c in positions.columns]
+    kept = positions.select("pos_id", "start_y", "start_x", "sub_y", "sub_x", *[F.col(c).cast("double") for c in tilts])
+    return kept.mapInArrow(run, POSITION + "".join(f", {c} double" for c in tilts) + ", data array<double>")
 
 
 def fit(model: np.ndarray, measured: np.ndarray, e: Engine) -> tuple[np.ndarray, np.ndarray]:
-    """(loss of each position, d loss / d intensity)."""
-    measured = np.maximum(measured, 0)
+    """(loss of each position, d loss / d intensity); a pixel measured as NaN is masked and adds nothing."""
+    seen = ~np.isnan(measured)
+    measured = np.where(seen, np.maximum(measured, 0), model)
     if e.noise == "poisson":
         loss = model + measured * (np.log(measured + e.eps) - np.log(model + e.eps) - 1)
-        return loss.sum(axis=(-2, -1)), 1 - measured / (model + e.eps)
+        return (loss * seen).sum(axis=(-2, -1)), (1 - measured / (model + e.eps)) * seen
     if e.noise != "amplitude":
         raise ValueError(f"unknown noise model {e.noise}")
     root = np.sqrt(model + e.offset)
@@ -148,7 +161,8 @@ def wave_update(far: np.ndarray, model: np.ndarray, measured: np.ndarray, e: Eng
     """What brings the far field to the measured intensity."""
     if e.noise == "poisson":
         return -far * fit(model, measured, e)[1][:, None]
-    return far * (np.sqrt(np.maximum(measured, 0) + e.offset) / (np.sqrt(model + e.offset) + e.eps) - 1)[:, None]
+    change = np.sqrt(np.maximum(measured, 0) + e.offset) / (np.sqrt(model + e.offset) + e.eps) - 1
+    return far * np.nan_to_num(change)[:, None]  # masked pixels stay as they are
 
 
 def loss_and_gradient(obj: np.ndarray, probe: np.ndarray, props: list[np.ndarray], measured: np.ndarray, e: Engine) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +171,7 @@ def loss_and_gradient(obj: np.ndarray, probe: np.ndarray, props: list[np.ndarray
     model = (np.abs(far) ** 2).sum(axis=-3)
     loss, slope = fit(model, measured, e)
     d_obj, d_probe = backward(far * slope[..., None, :, :], obj, waves, props)
-    return loss, d_obj, d_probe, ((model - measured) ** 2).sum(axis=(-2, -1))
+    return loss, d_obj, d_probe, np.nansum((model - measured) ** 2, axis=(-2, -1))
 
 
 def _length(wave: np.ndarray, along: np.ndarray, damping: float) -> np.ndarray:
@@ -182,7 +196,7 @@ def lsqml_sums(v: Views, props: list[np.ndarray], measured: np.ndarray, e: Engin
     step = chi * v.obj[:, 0, None].conj()
     length = _length(chi, step * v.obj[:, 0, None], e.gamma)[:, None, None, None]
     through = np.abs(np.prod(v.obj, axis=1))[:, None] ** 2
-    return v.shift(length * step * through, v.filter.conj()).sum(axis=0), ((model - measured) ** 2).sum(axis=(-2, -1)), chi
+    return v.shift(length * step * through, v.filter.conj()).sum(axis=0), np.nansum((model - measured) ** 2, axis=(-2, -1)), chi
 
 
 def _partial(state: State, e: Engine) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -196,10 +210,10 @@ def _partial(state: State, e: Engine) -> Callable[[Iterator[pa.RecordBatch]], It
         for batch in _pieces(batches, state):
             v, measured = Views(batch, state), _patterns(batch, shape)
             if e.solver == "lsqml":
-                steps, sq, _ = lsqml_sums(v, props, measured, e, d_obj, w_obj)
+                steps, sq, _ = lsqml_sums(v, v.props(props), measured, e, d_obj, w_obj)
                 d_probe += steps
             else:
-                ls, go, gp, sq = loss_and_gradient(v.obj, v.probe, props, measured, e)
+                ls, go, gp, sq = loss_and_gradient(v.obj, v.probe, v.props(props), measured, e)
                 for z in range(len(state.obj)):
                     v.add(d_obj[z], go[:, z])
                     v.add(w_obj[z], (np.abs(v.probe) ** 2).sum(axis=1))
@@ -302,7 +316,7 @@ def position_steps(patterns: DataFrame, state: State, e: Engine) -> DataFrame:
         k = frequencies(shape, state.step)
         for batch in _pieces(batches, state):
             v = Views(batch, state)
-            chi = lsqml_sums(v, props, _patterns(batch, shape), e, np.zeros_like(state.obj), np.zeros(state.obj.shape))[2]
+            chi = lsqml_sums(v, v.props(props), _patterns(batch, shape), e, np.zeros_like(state.obj), np.zeros(state.obj.shape))[2]
             steps = [_length(chi, v.shift(v.probe, -2j * np.pi * f) * v.obj[:, 0, None], e.gamma) for f in k]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("pos_id")), *map(pa.array, steps)], ["pos_id", "step_y", "step_x"])
 
@@ -329,7 +343,7 @@ def moved(patterns: DataFrame, state: State, e: Engine) -> DataFrame:
 
 
 def reconstruct(patterns: DataFrame, state: State, e: Engine, observer: Callable[[int, float], None] | None = None) -> State:
-    """Runs the engine; `patterns` has (pos_id, start_y, start_x, sub_y, sub_x, data)."""
+    """Runs the engine; `patterns` has (pos_id, start_y, start_x, sub_y, sub_x, data), and tilts (ty, tx) if positions have their own."""
     known = {*penalties.OBJECT_COSTS, *penalties.PROBE_COSTS}
     if bad := [n for n, _ in e.costs if n not in known] + [n for n, _, _ in e.constraints if n not in penalties.CONSTRAINTS]:
         raise ValueError(f"unknown costs or constraints {bad}")

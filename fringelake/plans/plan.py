@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import engines, preprocess
+from .output import Save, formatted
 from .registry import PlanError, Registry, record
 
 POST_LOAD = Registry("post_load")
@@ -134,6 +135,9 @@ class Plan:
     probe: Any = None
     object: Any = None
     slices: tuple[float, ...] = ()
+    raw_data: Any = None
+    tilt: Any = None
+    save: Any = None
 
     @staticmethod
     def from_data(data: dict[str, Any], allow_import: bool = False) -> Plan:
@@ -148,9 +152,17 @@ class Plan:
                     problems.append(str(e))
         if p.dtype not in ("float32", "float64"):
             problems.append(f"plan: unknown dtype {p.dtype}")
+        save = p.save
+        if save is not None:
+            try:
+                save = record(Save, {"out_dir": save} if isinstance(save, str) else save, "save")
+                formatted("out_dir", save.out_dir, name=p.name)
+                formatted("state_name", save.state_name, iter=0)
+            except PlanError as e:
+                problems.append(str(e))
         if problems:
             raise PlanError("\n".join(problems))
-        return Plan(p.name, out["engines"], out["post_load"], out["post_init"], p.seed, p.dtype, p.scan, p.probe, p.object, tuple(p.slices))
+        return Plan(p.name, out["engines"], out["post_load"], out["post_init"], p.seed, p.dtype, p.scan, p.probe, p.object, tuple(p.slices), p.raw_data, p.tilt, save)
 
     @staticmethod
     def from_json(text: str) -> Plan:
