@@ -14,7 +14,8 @@ from . import decontam, mixing, pii, quality, simhash
 from .session import checkpoint_folder, checkpointed, table
 
 #: Rows are told apart by a hash of all their columns: ids may be null or shared by unlike texts.
-KEY = "__row_key"
+#: Copies are rows that agree in a second hash as well, so two documents of one key may share a verdict, but both stay.
+KEY, CHECK = "__row_key", "__row_check"
 
 
 def free(name: str, taken: list[str]) -> str:
@@ -54,7 +55,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = keyed.select(KEY, F.col("doc_id").cast("long").alias("id")).distinct()
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col(KEY))
     first = groups.join(ids, KEY).groupBy("component_id").agg(F.min(order)[KEY].alias("doc_id"))
-    return _of(keyed, checkpointed(first)).dropDuplicates([KEY]).select(*docs.columns)
+    check = F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c in docs.columns])
+    return _of(keyed.withColumn(CHECK, check), checkpointed(first)).dropDuplicates([KEY, CHECK]).select(*docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
