@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from ..functions import text
+from ..functions.lineage import shared_folder
 from ..operators import control, preprocess
+from ..streaming import ordered
+from ..streaming.jobs import merged
 from . import bridge
 from .bridge import query, rounded, table
 
@@ -125,6 +130,25 @@ def update_gap_filter(spark, d):
     return control.throttled(_jobs(spark, d), "job_id", 3600).select("job_id", "event_id")
 
 
+@query("jobs", sql="SELECT job_id, event_id, row_number() OVER w - 1 AS i, lag(ts) OVER w IS NULL OR epoch_us(ts) - lag(epoch_us(ts)) OVER w > 3600000000 AS published FROM jobs WHERE ts IS NOT NULL AND event_id IS NOT NULL WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)")
+def stream_ordered_log(spark, d):
+    """The log through a stream to its end: a second source sends one event from far ahead, at which all buckets before it close."""
+    folder = f"{shared_folder(spark)}/ordered-log-{uuid.uuid4().hex}"
+    spark.range(1).select(F.lit(-1).cast("long").alias("job_id"), F.lit(0).cast("long").alias("event_id"), F.to_timestamp(F.lit("2200-01-01")).alias("ts"), F.lit("end").alias("status")).write.parquet(f"{folder}/end")
+    raw = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")  # a pattern: a stream takes no plain path of one file
+    events = raw.select((F.col("user_id") % 50).cast("long").alias("job_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("status"))
+    stream = merged(events, spark.readStream.schema(events.schema).parquet(f"{folder}/end"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    ordered.use_state_store(spark)
+    try:
+        out = ordered.ordered_log(stream, "job_id", bucket_seconds=6 * 3600, gap_seconds=3600)
+        run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema("job_id long, event_id long, i long, published boolean").parquet(f"{folder}/out").where("job_id >= 0")
+
+
 @query(sql="SELECT doc_id, CAST(regexp_extract(name, 'x(\\d+)_y(\\d+)', 1) AS BIGINT) AS nx, CAST(regexp_extract(name, 'x(\\d+)_y(\\d+)', 2) AS BIGINT) AS ny FROM (SELECT doc_id, 'scan_x' || doc_id || '_y' || n_chars || '.raw' AS name FROM documents)")
 def filename_dims(spark, d):
     name = F.concat(F.lit("scan_x"), F.col("doc_id"), F.lit("_y"), F.col("n_chars"), F.lit(".raw"))

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Times that a task can hold: within so many microseconds of 1970 (years 1678 to 2261).
+REACH = 9_200_000_000_000_000
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -76,13 +78,14 @@ def ordered_log(events: DataFrame, key: str, delay: str = "10 minutes", bucket_s
     i counts a key's events from 0 in order of (ts, event_id); published marks those more than
     `gap_seconds` after the one before, and the first. An event leaves once the watermark, `delay`
     behind the newest event, has passed its bucket; one that comes later than that is
-    dropped (Spark counts these). Events without time or id have no place in the order and are
-    left out; a null status stays null; of equal (ts, event_id) each keeps a number of its own.
+    dropped (Spark counts these). Events without time or id, or from before 1678 or after 2261, have no place in the
+    order and are left out; a null status stays null; of equal (ts, event_id) each keeps a number of its own.
     """
     if bucket_seconds < 1:
         raise ValueError("a bucket lasts a second at least")
     at = events.select(key, F.col("event_id").cast("long"), F.col("ts").cast("timestamp").alias("ts"), F.col("status").cast("string"))
-    marked = at.where("ts IS NOT NULL AND event_id IS NOT NULL").withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    us = F.unix_micros("ts")
+    marked = at.where(us.between(-REACH, REACH) & F.col("event_id").isNotNull()).withWatermark("ts", delay).withColumn("us", us)
     kind = at.schema[key].dataType.simpleString()
     out = marked.groupBy(key).transformWithStateInPandas(
         _Order(key, bucket_seconds * 1000, round(gap_seconds * 1e6)), f"`{key}` {kind}, event_id long, us long, status string, i long, published boolean", "Append", "EventTime"

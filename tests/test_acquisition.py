@@ -246,8 +246,8 @@ def test_streams_put_a_log_in_order(spark, tmp_path):
     schema = batch.schema
     for k in sorted(r["file"] for r in files.select("file").distinct().collect()):
         files.where(F.col("file") == k).drop("file").orderBy(F.xxhash64("event_id")).coalesce(1).write.mode("append").parquet(folder)
-    awkward = spark.sql("SELECT CAST(NULL AS BIGINT) AS job_id, 9L AS event_id, CAST(NULL AS TIMESTAMP) AS ts, 'x' AS status UNION ALL SELECT -1L, 10L, timestamp'2100-01-01', NULL UNION ALL SELECT -1L, 11L, timestamp'2200-01-01', NULL")
-    for k in (9, 10, 11):  # the far ones close all buckets before them
+    awkward = spark.sql("SELECT CAST(NULL AS BIGINT) AS job_id, 9L AS event_id, CAST(NULL AS TIMESTAMP) AS ts, 'x' AS status UNION ALL SELECT -1L, 10L, timestamp'2100-01-01', NULL UNION ALL SELECT -1L, 11L, timestamp'2200-01-01', NULL UNION ALL SELECT 1L, 12L, timestamp'9000-01-01', 'x'")
+    for k in (9, 12, 10, 11):  # the far ones close all buckets before them
         awkward.where(F.col("event_id") == k).coalesce(1).write.mode("append").parquet(folder)
     ordered.use_state_store(spark)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
