@@ -170,7 +170,7 @@ class _Writer(DataSourceArrowWriter):
         for info in disk.get_file_info(fs.FileSelector(path)):  # an earlier version's files, and what tasks that ran twice left
             if info.base_name == self.staging:
                 disk.delete_dir(info.path)
-            elif info.type == fs.FileType.File and info.base_name not in keep and re.fullmatch(r"part-\d{5,}-[0-9a-f]{8}\.raw", info.base_name):
+            elif info.type == fs.FileType.File and info.base_name not in keep and re.match(r"part-\d{5,}-[0-9a-f]{8}\.raw\Z", info.base_name):
                 disk.delete_file(info.path)
 
     def abort(self, messages: list[Written | None]) -> None:
