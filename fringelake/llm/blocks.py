@@ -178,6 +178,11 @@ def conclude(blocks: DataFrame, replies: DataFrame, schema: str, result: Callabl
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(work, schema)
 
 
+#: Low bits of a gram's hash that make way for its position. As many in a block of any size, so that
+#: equal windows compare the same upper bits and the same order of places, and pick the same anchor everywhere.
+PLACE_BITS = 32
+
+
 @dataclass
 class Runs:
     """Runs of consecutive windows first..last (starts) that pick the k-gram at `anchor`."""
@@ -198,7 +203,9 @@ def window_runs(grams: np.ndarray, offsets: np.ndarray, size: int, k: int) -> Ru
     none = np.zeros(0, np.int64)
     if n < size:
         return Runs(none, none, none)
-    place = U64((1 << n.bit_length()) - 1)  # the position stands in the low bits: of equal hashes the leftmost is least
+    if n >> PLACE_BITS:
+        raise ValueError("a text of 2^32 symbols or more")
+    place = U64((1 << PLACE_BITS) - 1)  # the position stands in the low bits: of equal upper bits the leftmost is least
     least = (grams & ~place) | np.arange(n, dtype=U64)
     span = 1
     while span * 2 <= width:

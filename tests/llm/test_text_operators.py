@@ -541,3 +541,16 @@ def test_words_match_python():
         got[k].append(raw[a:b])
     assert got == [t.encode().split() for t in texts]
     assert len(words(data, off, NON_ALNUM)[0]) == sum(len(re.findall(rb"[0-9A-Za-z\x80-\xff]+", t.encode())) for t in texts)
+
+
+@pytest.mark.parametrize("agree", [20, 31, 40, 43, 60])
+def test_equal_windows_pick_equal_anchors_in_blocks_of_any_size(agree):
+    """Two grams whose hashes agree in their first bits: the window's anchor doesn't depend on what else is in the block."""
+    low = (1 << (64 - agree)) - 1
+    window = np.full(50, (1 << 64) - 1, np.uint64)
+    window[10], window[20] = np.uint64((5 << (64 - agree)) | low), np.uint64(5 << (64 - agree))
+    alone = blocks.window_runs(window, np.array([0, 50]), 50, 1)
+    for n in (1 << 10, 1 << 20):
+        rest = np.random.default_rng(agree).integers(1 << 63, (1 << 64) - 1, n, np.uint64)
+        among = blocks.window_runs(np.concatenate([rest, window]), np.array([0, n, n + 50]), 50, 1)
+        assert among.anchor[-1] - n == alone.anchor[0] and among.first[-1] == n
