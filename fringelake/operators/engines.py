@@ -27,6 +27,8 @@ from .waves import backward, fft2, forward, frequencies, ifft2, propagator
 
 #: Largest object plus probe, in bytes, that is sent with a step.
 LARGEST_STATE = 256 << 20
+#: What a noise model adds to intensities under the root.
+OFFSETS = {"amplitude": 0.0, "anscombe": 0.375, "poisson": 0.0}
 
 
 @dataclass
@@ -46,7 +48,9 @@ class State:
 
 @dataclass(frozen=True)
 class Engine:
-    """solver: epie, lsqml, sgd, adam or polyak. noise: amplitude (offset under the roots) or poisson.
+    """solver: epie, lsqml, sgd, adam or polyak. noise: amplitude, anscombe or poisson; the first two compare roots with
+    `offset` under them (if None, that of OFFSETS), with a Gaussian variance beside that of the counts. presolve: the
+    probe is first brought to the measured intensity.
     gamma, illum_reg: damping of step lengths and of little lit pixels. costs: (name, weight) of
     regularisers, for the gradient solvers. constraints: (name, arguments, "group" or "iter").
     momentum, nesterov: of sgd and adam. Positions: none, steepest or momentum, moved by
@@ -59,9 +63,9 @@ class Engine:
     probe_rate: float = 0.5
     gamma: float = 1e-4
     illum_reg: float = 1e-2
-    offset: float = 0.375
+    offset: float | None = None
     eps: float = 1e-3
-    noise: str = "amplitude"
+    noise: str = "anscombe"
     update_probe: bool = True
     max_amplitude: float | None = None
     costs: tuple[tuple[str, float], ...] = ()
@@ -72,6 +76,14 @@ class Engine:
     position_rate: float = 0.5
     position_memory: float = 0.9
     max_move: float = 1.0
+    variance: float = 0.0
+    presolve: bool = False
+
+    def __post_init__(self) -> None:
+        if self.noise not in OFFSETS:
+            raise ValueError(f"unknown noise model {self.noise}; known are {', '.join(OFFSETS)}")
+        if self.offset is None:
+            object.__setattr__(self, "offset", OFFSETS[self.noise])
 
 
 POSITION = "pos_id long, start_y long, start_x long, sub_y double, sub_x double"
@@ -150,11 +162,9 @@ def fit(model: np.ndarray, measured: np.ndarray, e: Engine) -> tuple[np.ndarray,
     if e.noise == "poisson":
         loss = model + measured * (np.log(measured + e.eps) - np.log(model + e.eps) - 1)
         return (loss * seen).sum(axis=(-2, -1)), (1 - measured / (model + e.eps)) * seen
-    if e.noise != "amplitude":
-        raise ValueError(f"unknown noise model {e.noise}")
     root = np.sqrt(model + e.offset)
-    diff = root - np.sqrt(measured + e.offset)
-    return (diff**2).sum(axis=(-2, -1)), diff / np.maximum(root, 1e-30)
+    diff = (root - np.sqrt(measured + e.offset)) / (1 + e.variance)
+    return (diff**2).sum(axis=(-2, -1)) * (1 + e.variance), diff / np.maximum(root, 1e-30)
 
 
 def wave_update(far: np.ndarray, model: np.ndarray, measured: np.ndarray, e: Engine) -> np.ndarray:
@@ -348,6 +358,8 @@ def reconstruct(patterns: DataFrame, state: State, e: Engine, observer: Callable
     if bad := [n for n, _ in e.costs if n not in known] + [n for n, _, _ in e.constraints if n not in penalties.CONSTRAINTS]:
         raise ValueError(f"unknown costs or constraints {bad}")
     split = lambda p: [p.where(F.pmod(F.xxhash64("pos_id"), F.lit(e.groups)) == g).persist() for g in range(e.groups)]
+    if e.presolve:
+        state = presolved(patterns, state, e)
     frames = split(patterns)  # each group is read once and kept by itself
     moments: dict[str, list[np.ndarray]] = {}
     t = 0
@@ -379,10 +391,31 @@ def reconstruct(patterns: DataFrame, state: State, e: Engine, observer: Callable
 
 
 def rescaled(patterns: DataFrame, state: State, e: Engine) -> float:
-    """Mean over positions of measured over modelled intensity, before an engine starts."""
-    model = simulate(patterns, state).select("pos_id", F.aggregate("data", F.lit(0.0), lambda a, x: a + x).alias("m"))
-    both = patterns.select("pos_id", F.aggregate("data", F.lit(0.0), lambda a, x: a + x).alias("e")).join(model, "pos_id")
-    return both.agg(F.avg(F.try_divide("e", "m")).alias("f")).first()["f"]
+    """Mean over positions of measured over modelled intensity, before an engine starts.
+
+    A pixel measured as NaN is left out of both; positions that the model leaves dark have no say. Each position's sums
+    are made where its pattern is: no exchange but that of the mean's partial sums.
+    """
+    props = state.props()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = state.probe.shape[-2:]
+        for batch in _pieces(batches, state):
+            v, measured = Views(batch, state), _patterns(batch, shape)
+            model = (np.abs(forward(v.obj, v.probe, v.props(props))[1]) ** 2).sum(axis=1)
+            sums = [np.where(np.isnan(measured), 0, x).sum(axis=(1, 2)) for x in (measured, model)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums], ["e", "m"])
+
+    return patterns.mapInArrow(run, "e double, m double").agg(F.avg(F.try_divide("e", "m")).alias("f")).first()["f"]
+
+
+def presolved(patterns: DataFrame, state: State, e: Engine) -> State:
+    """The state with its probe brought to the measured intensity; a factor that is no positive number is an error."""
+    factor = rescaled(patterns, state, e)
+    if factor is None or not np.isfinite(factor) or factor <= 0:
+        raise ValueError(f"measured over modelled intensity is {factor}: patterns or probe are empty")
+    state.probe = state.probe * np.sqrt(factor)
+    return state
 
 
 def transformed(patterns: DataFrame, ny: int, nx: int, inverse: bool = False) -> DataFrame:

@@ -64,20 +64,27 @@ def first_crossing(curve: DataFrame, threshold: float) -> DataFrame:
     return d.select("r", at.alias("at")).agg(F.min_by("at", "r").alias("crossing"))
 
 
-def robust_scale(img: DataFrame, bits: int, low: float = 0.001, high: float = 0.999, min_range: float = 0.0) -> DataFrame:
-    """`img` (…, v) as integers between its exact quantiles."""
-    ends = exact_quantiles(img, "v", [low, high], [])
+def robust_scale(img: DataFrame, bits: int, low: float = 0.001, high: float = 0.999, min_range: float = 0.0, within: Column | None = None) -> DataFrame:
+    """`img` (…, v) as integers of `bits` bits between the exact quantiles of the pixels `within` (all, by default).
+
+    Quantiles less than `min_range` apart are moved apart to it, about their middle. What lies beyond them takes the end
+    of the range, a NaN is null, and an image of one value is zero.
+    """
+    ends = exact_quantiles(img if within is None else img.where(within), "v", [low, high], [])
     q = ends.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    top = 2.0**bits - 1
-    span = F.greatest(F.col("hi") - F.col("lo"), F.lit(min_range))
-    scaled = F.least(F.greatest(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), span), F.lit(0.0)) * top, F.lit(0.0)), F.lit(top))
-    return img.crossJoin(F.broadcast(q)).select(*[c for c in img.columns if c != "v"], F.floor(scaled).cast("long").alias("v"))
+    wider = F.greatest(F.lit(min_range) - (F.col("hi") - F.col("lo")), F.lit(0.0)) / 2
+    q = q.select((F.col("lo") - wider).alias("lo"), (F.col("hi") + wider).alias("hi"))
+    scaled = F.coalesce(F.try_divide(F.lit(2.0**bits), F.col("hi") - F.col("lo")), F.lit(0.0)) * (F.col("v") - F.col("lo"))
+    kind, exact = ("long", "double") if bits < 63 else ("decimal(20, 0)", "decimal(30, 6)")
+    top = F.lit(str(2**bits - 1)).cast(kind)
+    level = F.when(scaled >= 2.0**bits - 1, top).otherwise(F.floor(F.greatest(scaled, F.lit(0.0)).cast(exact)).cast(kind))
+    return img.crossJoin(F.broadcast(q)).select(*[c for c in img.columns if c != "v"], F.when(~F.isnan("v"), level).alias("v"))
 
 
-def remove_ramp(img: DataFrame, *by: str) -> DataFrame:
-    """Residual of the least-squares plane 1, x, y of each image, from its moments."""
+def remove_ramp(img: DataFrame, *by: str, within: Column | None = None) -> DataFrame:
+    """Residual of the least-squares plane 1, x, y of each image, from its moments; fitted to the pixels `within` (all, by default)."""
     x, y, v = F.col("x").cast("double"), F.col("y").cast("double"), F.col("v")
-    m = img.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(v).alias("mv"), F.covar_pop(x, x).alias("sxx"), F.covar_pop(x, y).alias("sxy"), F.covar_pop(y, y).alias("syy"), F.covar_pop(x, v).alias("sxv"), F.covar_pop(y, v).alias("syv"))
+    m = (img if within is None else img.where(within)).groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(v).alias("mv"), F.covar_pop(x, x).alias("sxx"), F.covar_pop(x, y).alias("sxy"), F.covar_pop(y, y).alias("syy"), F.covar_pop(x, v).alias("sxv"), F.covar_pop(y, v).alias("syv"))
     det = F.col("sxx") * F.col("syy") - F.col("sxy") ** 2
     m = m.withColumn("a", F.try_divide(F.col("sxv") * F.col("syy") - F.col("syv") * F.col("sxy"), det)).withColumn("b", F.try_divide(F.col("syv") * F.col("sxx") - F.col("sxv") * F.col("sxy"), det))
     m = m.select(*by, "mx", "my", "mv", "a", "b")

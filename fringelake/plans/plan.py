@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import engines, preprocess
+from ..operators import align, engines, preprocess
 from .output import Save, formatted
 from .registry import PlanError, Registry, record
 
 POST_LOAD = Registry("post_load")
 POST_INIT = Registry("post_init")
 ENGINES = Registry("engine")
+NOISE = Registry("noise_model")
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,45 @@ class DropNans:
     threshold: float = 0.9
 
 
+@dataclass(frozen=True)
+class Align:
+    pass
+
+
+@dataclass(frozen=True)
+class Amplitude:
+    gaussian_variance: float = 0.1
+    eps: float = 1e-3
+    offset: float = engines.OFFSETS["amplitude"]
+
+
+@dataclass(frozen=True)
+class Anscombe:
+    gaussian_variance: float = 0.1
+    eps: float = 1e-3
+    offset: float = engines.OFFSETS["anscombe"]
+
+
+@dataclass(frozen=True)
+class Counts:
+    eps: float = 1e-3
+
+
+@NOISE.add("amplitude", Amplitude)
+def _amplitude(e: engines.Engine, props: Amplitude) -> engines.Engine:
+    return replace(e, noise="amplitude", offset=props.offset, eps=props.eps, variance=props.gaussian_variance)
+
+
+@NOISE.add("anscombe", Anscombe)
+def _anscombe(e: engines.Engine, props: Anscombe) -> engines.Engine:
+    return replace(e, noise="anscombe", offset=props.offset, eps=props.eps, variance=props.gaussian_variance)
+
+
+@NOISE.add("poisson", Counts)
+def _counts(e: engines.Engine, props: Counts) -> engines.Engine:
+    return replace(e, noise="poisson", offset=engines.OFFSETS["poisson"], eps=props.eps)
+
+
 @POST_LOAD.add("crop_data", Crop)
 def _crop(px: DataFrame, shape: tuple[int, int], props: Crop) -> DataFrame:
     return preprocess.crop_scan(px, slice(*props.y), slice(*props.x), *shape)
@@ -57,9 +97,19 @@ def _poisson(px: DataFrame, shape: tuple[int, int], props: Poisson) -> DataFrame
 
 
 @POST_INIT.add("drop_nans", DropNans)
-def _drop(px: DataFrame, scan: DataFrame, props: DropNans) -> tuple[DataFrame, DataFrame]:
+def _drop(px: DataFrame, scan: DataFrame, mask: DataFrame, shape: tuple[int, int], props: DropNans) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Positions with more than the threshold of their pixels NaN go, from patterns and scan."""
     good = preprocess.drop_sparse(px, "isnan(v)", props.threshold)
-    return px.join(good, "pos_id", "left_semi"), scan.join(good, "pos_id", "left_semi")
+    return px.join(good, "pos_id", "left_semi"), scan.join(good, "pos_id", "left_semi"), mask
+
+
+@POST_INIT.add("diffraction_align", Align)
+def _align(px: DataFrame, scan: DataFrame, mask: DataFrame, shape: tuple[int, int], props: Align) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The mean pattern's centre comes to the middle; patterns and mask are shifted alike."""
+    by = align.centre(px, mask, shape, corner=True).first()  # one row
+    if by["dy"] is None:
+        raise PlanError("diffraction_align: the mean pattern is empty")
+    return align.shifted(px, (by["dy"], by["dx"]), shape, ["pos_id", "iy", "ix"], corner=True), scan, align.shifted(mask, (by["dy"], by["dx"]), shape, [], corner=True, value="m")
 
 
 Named = list[dict[str, Any]]
@@ -80,8 +130,9 @@ class Conventional:
     beta_probe: float = 0.5
     gamma: float = 1e-4
     illum_reg: float = 1e-2
-    noise_model: str = "amplitude"
+    noise_model: Any = "amplitude"
     update_probe: bool = True
+    presolve: bool = True
     position_solver: str = "none"
     position_rate: float = 0.5
     max_move: float = 1.0
@@ -98,8 +149,9 @@ class Gradient:
     probe_rate: float = 0.01
     momentum: float = 0.0
     nesterov: bool = False
-    noise_model: str = "amplitude"
+    noise_model: Any = "amplitude"
     update_probe: bool = True
+    presolve: bool = True
     regularizers: Named = field(default_factory=list)
     group_constraints: Named = field(default_factory=list)
     iter_constraints: Named = field(default_factory=list)
@@ -108,19 +160,19 @@ class Gradient:
 @ENGINES.add("conventional", Conventional)
 def _conventional(patterns: DataFrame, state: engines.State, props: Conventional, observer: Callable[[int, float], None] | None = None) -> engines.State:
     e = engines.Engine(
-        props.solver, props.niter, props.grouping, props.beta_object, props.beta_probe, props.gamma, props.illum_reg, noise=props.noise_model, update_probe=props.update_probe,
+        props.solver, props.niter, props.grouping, props.beta_object, props.beta_probe, props.gamma, props.illum_reg, presolve=props.presolve, update_probe=props.update_probe,
         constraints=_constraints(props.group_constraints, props.iter_constraints), positions=props.position_solver, position_rate=props.position_rate, max_move=props.max_move,
     )
-    return engines.reconstruct(patterns, state, e, observer)
+    return engines.reconstruct(patterns, state, NOISE.parse(props.noise_model)(e), observer)
 
 
 @ENGINES.add("gradient", Gradient)
 def _gradient(patterns: DataFrame, state: engines.State, props: Gradient, observer: Callable[[int, float], None] | None = None) -> engines.State:
     e = engines.Engine(
-        props.solver, props.niter, props.grouping, props.learning_rate, props.probe_rate, noise=props.noise_model, update_probe=props.update_probe, momentum=props.momentum, nesterov=props.nesterov,
+        props.solver, props.niter, props.grouping, props.learning_rate, props.probe_rate, presolve=props.presolve, update_probe=props.update_probe, momentum=props.momentum, nesterov=props.nesterov,
         costs=tuple((c["type"], float(c["cost"])) for c in props.regularizers), constraints=_constraints(props.group_constraints, props.iter_constraints),
     )
-    return engines.reconstruct(patterns, state, e, observer)
+    return engines.reconstruct(patterns, state, NOISE.parse(props.noise_model)(e), observer)
 
 
 @dataclass(frozen=True)
@@ -147,7 +199,10 @@ class Plan:
         for part, registry in (("post_load", POST_LOAD), ("post_init", POST_INIT), ("engines", ENGINES)):
             for spec in getattr(p, part):
                 try:
-                    out[part].append(registry.parse(spec, allow_import))
+                    hook = registry.parse(spec, allow_import)
+                    if noise := getattr(hook.props, "noise_model", None):
+                        NOISE.parse(noise, allow_import)
+                    out[part].append(hook)
                 except PlanError as e:
                     problems.append(str(e))
         if p.dtype not in ("float32", "float64"):

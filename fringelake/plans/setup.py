@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import engines, grids, optics, preprocess, waves
 from ..sources import frames, metadata, tilts
@@ -171,6 +171,13 @@ def packed(px: DataFrame) -> DataFrame:
     return px.groupBy("pos_id").agg(F.transform(pixels, lambda s: s["v"].cast("double")).alias("data"))
 
 
+def _within_edge(x: Experiment) -> Column:
+    inside = F.lit(True)
+    for axis, n in zip(("ky", "kx"), x.shape):
+        inside &= F.pmod(F.col(axis) + n // 2, F.lit(n)).between(x.edge, n - 1 - x.edge)
+    return inside
+
+
 def initialise(plan: Plan, x: Experiment, before: engines.State | None = None) -> tuple[DataFrame, engines.State]:
     """(patterns at their windows, state) as the engines take them."""
     px = x.px.withColumn("v", F.col("v").cast("float" if plan.dtype == "float32" else "double"))
@@ -187,13 +194,12 @@ def initialise(plan: Plan, x: Experiment, before: engines.State | None = None) -
     if not counts["agrees"]:
         raise PlanError(f"{counts['positions']} patterns at {counts['expected']} positions")
     tilt = TILTS.parse(plan.tilt)(x) if plan.tilt else None
+    mask = grids.index_grid(px.sparkSession, *x.shape, "ky", "kx").select("ky", "kx", _within_edge(x).cast("double").alias("m"))
     for hook in plan.post_init:
-        px, scan = hook(px, scan)
-    if x.edge:
-        inside = F.lit(True)
-        for axis, n in zip(("ky", "kx"), x.shape):
-            inside &= F.pmod(F.col(axis) + n // 2, F.lit(n)).between(x.edge, n - 1 - x.edge)
-        px = px.withColumn("v", F.when(inside, F.col("v")).otherwise(float("nan")))  # engines take NaN as masked
+        px, scan, mask = hook(px, scan, mask, x.shape)
+    if x.edge or plan.post_init:  # engines take NaN as masked; so is what comes in part from masked pixels
+        whole = F.col("m") > 1 - 1e-6
+        px = px.join(F.broadcast(mask), ["ky", "kx"]).withColumn("v", F.when(whole, F.col("v")).otherwise(float("nan"))).drop("m")
     probe = PROBES.parse(plan.probe or "focused")(x) if plan.probe or before is None else before.probe
     pad = tuple(n * s / 2 + 2 * s for n, s in zip(x.shape, x.step))
     g = grids.object_grid_from_scan(scan, x.step, max(pad)).first()

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window, functions as F
 
 from ..functions.complexcol import c_mul
-from ..operators import images, losses, optics, preprocess, ranks, reduce
+from ..operators import align, export, images, losses, optics, preprocess, ranks, reduce
 from . import bridge
 from .bridge import N, query, rounded
 
@@ -79,7 +79,7 @@ def frc_crossing(spark, d):
     return rounded(reduce.first_crossing(curve.crossJoin(F.broadcast(mean)).select("r", (F.col("frc") - F.col("mean")).alias("frc")), 0.0), 4)
 
 
-_SCALE = "SELECT z, y, x, CAST(floor(least(greatest((v - lo) / (hi - lo) * 255, 0), 255)) AS BIGINT) AS v FROM img, (SELECT quantile_cont(v, 0.001) AS lo, quantile_cont(v, 0.999) AS hi FROM img)"
+_SCALE = "SELECT z, y, x, CAST(floor(least(greatest(256 / (hi - lo) * (v - lo), 0), 255)) AS BIGINT) AS v FROM img, (SELECT quantile_cont(v, 0.001) AS lo, quantile_cont(v, 0.999) AS hi FROM img)"
 
 
 @query("img", sql=_SCALE)
@@ -245,24 +245,27 @@ def reslice_real(spark, d):
     return rounded(s.groupBy("part", "y", "x").agg(F.exp(F.sum(F.ln(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)))).alias("v")))
 
 
-def _com_shift_sql():
-    return """, c AS (SELECT sum(ky * v) / sum(v) - 3.5 AS dy, sum(kx * v) / sum(v) - 3.5 AS dx FROM px),
+_SHIFT = """, c AS (SELECT sum(ky * v * m) / sum(v * m) - 3.5 AS dy, sum(kx * v * m) / sum(v * m) - 3.5 AS dx FROM px JOIN {mask} USING (ky, kx)),
   o AS (SELECT k // 8 AS oy, k % 8 AS ox, k // 8 + dy AS u, k % 8 + dx AS w FROM range(64) AS t(k), c),
-  n AS (SELECT oy, ox, CAST(floor(u) AS BIGINT) + e AS ky, CAST(floor(w) AS BIGINT) + f AS kx, (CASE WHEN e = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN f = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END) AS wt FROM o, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS q(e, f))
-  SELECT px.pos_id, oy AS ky, ox AS kx, round(sum(wt * v), 5) AS v FROM n JOIN px ON px.ky = n.ky AND px.kx = n.kx WHERE wt > 0 GROUP BY px.pos_id, oy, ox"""
+  n AS (SELECT oy, ox, CAST(floor(u) AS BIGINT) + e AS ky, CAST(floor(w) AS BIGINT) + f AS kx, (CASE WHEN e = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN f = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END) AS wt FROM o, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS q(e, f))"""
+_ALL_SEEN = "(SELECT k // 8 AS ky, k % 8 AS kx, 1.0 AS m FROM range(64) AS t(k)) AS a"
+_MIDDLE = (3.5, 3.5)
 
 
-@query("px", sql=_com_shift_sql())
+@query("px", sql=_SHIFT.format(mask=_ALL_SEEN) + " SELECT px.pos_id, oy AS ky, ox AS kx, round(sum(wt * v), 5) AS v FROM n JOIN px ON px.ky = n.ky AND px.kx = n.kx WHERE wt > 0 GROUP BY px.pos_id, oy, ox")
 def diffraction_align(spark, d):
     px = bridge.px(spark, d)
-    com = px.agg((F.sum(F.col("ky") * F.col("v")) / F.sum("v") - 3.5).alias("dy"), (F.sum(F.col("kx") * F.col("v")) / F.sum("v") - 3.5).alias("dx")).first()  # one row
-    from ..operators.grids import index_grid
+    seen = bridge.mask(spark).withColumn("m", F.lit(1.0))
+    by = align.centre(px, seen, (N, N), middle=_MIDDLE).first()  # one row
+    return rounded(align.shifted(px, (by["dy"], by["dx"]), (N, N), ["pos_id"]), 5)
 
-    o = index_grid(spark, N, N, "oy", "ox").select("oy", "ox", (F.col("oy") + com["dy"]).alias("u"), (F.col("ox") + com["dx"]).alias("w"))
-    fy, fx = F.col("u") - F.floor("u"), F.col("w") - F.floor("w")
-    tap = lambda e, f: F.struct((F.floor("u") + e).alias("ky"), (F.floor("w") + f).alias("kx"), ((fy if e else 1 - fy) * (fx if f else 1 - fx)).alias("wt"))
-    near = o.select("oy", "ox", F.explode(F.array(tap(0, 0), tap(0, 1), tap(1, 0), tap(1, 1))).alias("n")).select("oy", "ox", "n.*").where("wt > 0")
-    return rounded(px.join(F.broadcast(near), ["ky", "kx"]).groupBy("pos_id", F.col("oy").alias("ky2"), F.col("ox").alias("kx2")).agg(F.sum(F.col("wt") * F.col("v")).alias("v")).select("pos_id", F.col("ky2").alias("ky"), F.col("kx2").alias("kx"), "v"), 5)
+
+@query("px", "mask", sql=_SHIFT.format(mask="mask") + " SELECT oy AS ky, ox AS kx, round(sum(CASE WHEN wt > 0 THEN wt * coalesce(m, 0) ELSE 0 END), 6) AS m FROM n LEFT JOIN mask ON mask.ky = n.ky AND mask.kx = n.kx GROUP BY oy, ox")
+def diffraction_align_mask(spark, d):
+    """The mask moves with the patterns, whose centre is that of what it leaves."""
+    mask = bridge.mask(spark)
+    by = align.centre(bridge.px(spark, d), mask, (N, N), middle=_MIDDLE).first()  # one row
+    return rounded(align.shifted(mask, (by["dy"], by["dx"]), (N, N), [], value="m"))
 
 
 def _dft_sql(inverse):
@@ -485,16 +488,52 @@ def rms_error(spark, d):
     return rounded(bridge.pairs(spark, d).agg(F.sqrt(F.avg((F.col("measured") - F.col("model")) ** 2)).alias("rms")))
 
 
-_PHASE = ", s AS (SELECT y, x, sum(atan2(im, re)) AS v FROM stack WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 GROUP BY y, x), s0 AS (SELECT 0 AS z, y, x, v FROM s)" + _RAMP.format(img="s0")
+_ROI = "y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6"
+_PHASE = f""", p AS (SELECT z, y, x, atan2(im, re) AS v FROM stack WHERE {{where}}), pa AS (SELECT z, y, x, v, coalesce(v - lag(v) OVER (PARTITION BY z, y ORDER BY x), 0.0) AS d FROM p),
+pb AS (SELECT z, y, x, v + 2 * {PI} * sum(0 - floor((d + {PI}) / (2 * {PI}))) OVER (PARTITION BY z, y ORDER BY x) AS v FROM pa),
+pc AS (SELECT z, y, x, v, coalesce(v - lag(v) OVER (PARTITION BY z, x ORDER BY y), 0.0) AS d FROM pb),
+ph AS (SELECT z, y, x, v + 2 * {PI} * sum(0 - floor((d + {PI}) / (2 * {PI}))) OVER (PARTITION BY z, x ORDER BY y) AS v FROM pc)"""
+_FLAT_SUM = _PHASE + ", s0 AS (SELECT 0 AS z, y, x, sum(v) AS v FROM ph GROUP BY y, x)" + _RAMP.format(img="s0")
+#: A plane fitted to the region alone.
+_RAMP_ROI = _RAMP.replace("FROM {img} GROUP BY z)", f"FROM {{img}} WHERE {_ROI} GROUP BY z)")
+
+
+def _level_sql(source: str, cols: str, bits: int, least: float, where: str = "true") -> str:
+    """SQL of `source` (cols, v) scaled to integers between quantiles."""
+    top = 2**bits
+    return f""", e0 AS (SELECT {cols}, round(v, 9) AS v FROM {source}), q0 AS (SELECT quantile_cont(v, 0.001) AS lo, quantile_cont(v, 0.999) AS hi FROM e0 WHERE {where}),
+  q1 AS (SELECT lo - greatest({least} - (hi - lo), 0) / 2 AS lo, hi + greatest({least} - (hi - lo), 0) / 2 AS hi FROM q0)
+  SELECT {cols}, CAST(floor(least(greatest({top} / (hi - lo) * (v - lo), 0), {top - 1})) AS BIGINT) AS v FROM e0, q1"""
 
 
-@query("stack", sql=_PHASE + " SELECT y, x, round(v, 6) + 0.0 AS v FROM r")
+@query("stack", sql=_FLAT_SUM.format(where=_ROI, img="s0") + " SELECT y, x, round(v, 6) + 0.0 AS v FROM r")
 def export_phase_sum(spark, d):
-    s = bridge.stack(spark, d).where("y between 1 and 6 and x between 1 and 6").groupBy("y", "x").agg(F.sum(F.atan2("im", "re")).alias("v")).withColumn("z", F.lit(0))
-    return rounded(reduce.remove_ramp(s, "z").select("y", "x", "v"))
+    return rounded(export.phase_image(bridge.stack(spark, d), F.expr(_ROI)))
+
+
+@query("stack", sql=_PHASE.format(where=_ROI) + _RAMP.format(img="ph") + _level_sql("r", "z, y, x", 16, 0.0))
+def export_phase_stack(spark, d):
+    return export.phase_image(bridge.stack(spark, d), F.expr(_ROI), stack=True, bits=16)
+
+
+@query("stack", sql=_PHASE.format(where="true") + _RAMP_ROI.format(img="ph") + _level_sql("r", "z, y, x", 8, 0.0, _ROI))
+def export_phase_whole(spark, d):
+    """The whole stack; plane and scale go by the region of interest."""
+    return export.phase_image(bridge.stack(spark, d), F.expr(_ROI), crop=False, stack=True, bits=8)
+
+
+@query("stack", sql=f", g AS (SELECT z, y, x, re * re + im * im AS v FROM stack WHERE {_ROI})" + _level_sql("g", "z, y, x", 8, 0.2))
+def export_mag_stack(spark, d):
+    return export.magnitude_image(bridge.stack(spark, d), F.expr(_ROI), stack=True, bits=8)
+
+
+@query("stack", sql=", g AS (SELECT y, x, product(re * re + im * im) AS v FROM stack GROUP BY y, x)" + _level_sql("g", "y, x", 16, 0.2, _ROI))
+def export_mag_product(spark, d):
+    """The product over slices, whole, scaled by the region of interest."""
+    return export.magnitude_image(bridge.stack(spark, d), F.expr(_ROI), crop=False, bits=16)
 
 
-@query("cx", sql=", p AS (SELECT y, x, round(avg(re * re + im * im), 9) AS v FROM cx GROUP BY 1, 2) SELECT y, x, CAST(floor(least(greatest((v - lo) / (hi - lo) * 65535, 0), 65535)) AS BIGINT) AS v FROM p, (SELECT quantile_cont(v, 0.001) AS lo, quantile_cont(v, 0.999) AS hi FROM p)")
+@query("cx", sql=", p AS (SELECT y, x, round(avg(re * re + im * im), 9) AS v FROM cx GROUP BY 1, 2) SELECT y, x, CAST(floor(least(greatest(65536 / (hi - lo) * (v - lo), 0), 65535)) AS BIGINT) AS v FROM p, (SELECT quantile_cont(v, 0.001) AS lo, quantile_cont(v, 0.999) AS hi FROM p)")
 def export_probe_mag(spark, d):
     return reduce.robust_scale(bridge.cx(spark, d).groupBy("y", "x").agg(F.round(F.avg(F.col("re") ** 2 + F.col("im") ** 2), 9).alias("v")), 16)
 

@@ -136,6 +136,17 @@ def drop_sparse_positions(spark, d):
     return rounded(bridge.scan(spark, d).join(good, "pos_id", "left_semi").select("pos_id", "y", "x"))
 
 
+@query("px", "scan", sql=", l AS (SELECT pos_id, ky, kx, CASE WHEN a >= 0 THEN ln(a) ELSE CAST('nan' AS DOUBLE) END AS v FROM px WHERE a <> 0), s AS (SELECT pos_id, avg(CASE WHEN isnan(v) THEN 1 ELSE 0 END) AS share FROM l GROUP BY pos_id) SELECT pos_id, CAST(count(*) AS BIGINT) AS pixels, CAST(sum(CASE WHEN isnan(v) THEN 1 ELSE 0 END) AS BIGINT) AS absent, round(sum(CASE WHEN isnan(v) THEN 0 ELSE v END), 6) AS total FROM l WHERE pos_id IN (SELECT pos_id FROM s WHERE share <= 0.5) AND pos_id IN (SELECT pos_id FROM scan) GROUP BY pos_id")
+def drop_nan_patterns(spark, d):
+    """Logarithms of the entries, NaN where one is negative: positions with over half their pixels NaN go from patterns and scan."""
+    px = bridge.px(spark, d).where("a <> 0").withColumn("v", F.when(F.col("a") >= 0, F.ln("a")).otherwise(float("nan")))
+    good = preprocess.drop_sparse(px, "isnan(v)", 0.5)
+    scan = bridge.scan(spark, d).join(good, "pos_id", "left_semi")
+    kept = px.join(good, "pos_id", "left_semi").join(scan.select("pos_id"), "pos_id", "left_semi")
+    nan = F.isnan("v")
+    return rounded(kept.groupBy("pos_id").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(nan).alias("absent"), F.sum(F.when(nan, 0.0).otherwise(F.col("v"))).alias("total")))
+
+
 _OBJ = "obj AS (SELECT k // 80 AS y, k % 80 AS x, CAST((k // 80) * 2 + (k % 80) AS DOUBLE) AS v FROM range(6400) AS t(k)), w AS (SELECT k // 8 AS wy, k % 8 AS wx FROM range(64) AS t(k)), wp AS (SELECT pos_id, wy, wx, start_y + wy AS y, start_x + wx AS x FROM starts, w)"
 
 
