@@ -33,7 +33,7 @@ OFFSETS = {"amplitude": 0.0, "anscombe": 0.375, "poisson": 0.0}
 
 @dataclass
 class State:
-    """obj (z, Ny, Nx), probe (modes, ny, nx), steps in Å and one error for each iteration."""
+    """obj (z, Ny, Nx), probe (modes, ny, nx), steps in Å and one error for each iteration; corner: where the object's first pixel lies, if known."""
 
     obj: np.ndarray
     probe: np.ndarray
@@ -41,6 +41,7 @@ class State:
     lam: float
     thickness: list[float] = field(default_factory=list)
     errors: list[float] = field(default_factory=list)
+    corner: tuple[float, float] | None = None
 
     def props(self) -> list[np.ndarray]:
         return [propagator(self.probe.shape[-2:], self.step, self.lam, dz) for dz in self.thickness[: len(self.obj) - 1]]

@@ -92,6 +92,15 @@ def slice_weights(old: list[float], new: list[float], align: str = "middle", pad
     return out
 
 
+def reslicing(old: list[float], new: list[float], align: str = "middle", pad: str = "vacuum") -> list[tuple[int, int, float]]:
+    """(new slice, old slice, weight of its logarithm), also from or to a single slice."""
+    if len(new) < 2:
+        return [(0, k, 1.0) for k in range(len(old))]
+    if len(old) == 1:
+        return [(n, 0, t / sum(new)) for n, t in enumerate(new)]
+    return slice_weights(old, new, align, pad)
+
+
 def resample_slices(obj: DataFrame, old: list[float], new: list[float], align: str = "middle", pad: str = "vacuum") -> DataFrame:
     """(z, y, x, re, im) at the new thicknesses, the average potential conserved.
 
@@ -99,13 +108,7 @@ def resample_slices(obj: DataFrame, old: list[float], new: list[float], align: s
     numbers: one join on z and one sum. One slice from many is their product,
     many from one share its logarithm by thickness.
     """
-    if len(new) < 2:
-        weights = [(0, k, 1.0) for k in range(len(old))]
-    elif len(old) == 1:
-        weights = [(n, 0, t / sum(new)) for n, t in enumerate(new)]
-    else:
-        weights = slice_weights(old, new, align, pad)
-    table = obj.sparkSession.createDataFrame(weights, "nz long, z long, weight double")
+    table = obj.sparkSession.createDataFrame(reslicing(old, new, align, pad), "nz long, z long, weight double")
     log, angle = 0.5 * F.log(F.col("re") ** 2 + F.col("im") ** 2), F.atan2("im", "re")
     sums = obj.join(F.broadcast(table), "z").groupBy("nz", "y", "x").agg(F.sum(F.col("weight") * log).alias("a"), F.sum(F.col("weight") * angle).alias("p"))
     return sums.select(F.col("nz").alias("z"), "y", "x", (F.exp("a") * F.cos("p")).alias("re"), (F.exp("a") * F.sin("p")).alias("im"))

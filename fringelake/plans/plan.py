@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import align, engines, preprocess
 from .output import Save, formatted
+from .prepare import Preparation, prepare
 from .registry import PlanError, Registry, record
 
 POST_LOAD = Registry("post_load")
@@ -121,6 +122,14 @@ def _constraints(group: Named, every: Named) -> tuple:
     return tuple((c["type"], plain(c), when) for when, some in (("group", group), ("iter", every)) for c in some)
 
 
+def _preparation(props: Any) -> Preparation | None:
+    """What the engine asks for; an engine from elsewhere asks for nothing."""
+    if not isinstance(props, (Conventional, Gradient)):
+        return None
+    sequence = lambda v: None if v is None else tuple(v)
+    return Preparation(sequence(props.sim_shape), props.resize_method, props.obj_pad_px, props.probe_modes, props.base_mode_power, sequence(props.slices))
+
+
 @dataclass(frozen=True)
 class Conventional:
     niter: int
@@ -138,6 +147,12 @@ class Conventional:
     max_move: float = 1.0
     group_constraints: Named = field(default_factory=list)
     iter_constraints: Named = field(default_factory=list)
+    sim_shape: Any = None
+    resize_method: str = "pad_crop"
+    obj_pad_px: float | None = None
+    probe_modes: int | None = None
+    base_mode_power: float = 0.7
+    slices: Any = None
 
 
 @dataclass(frozen=True)
@@ -155,6 +170,12 @@ class Gradient:
     regularizers: Named = field(default_factory=list)
     group_constraints: Named = field(default_factory=list)
     iter_constraints: Named = field(default_factory=list)
+    sim_shape: Any = None
+    resize_method: str = "pad_crop"
+    obj_pad_px: float | None = None
+    probe_modes: int | None = None
+    base_mode_power: float = 0.7
+    slices: Any = None
 
 
 @ENGINES.add("conventional", Conventional)
@@ -202,6 +223,8 @@ class Plan:
                     hook = registry.parse(spec, allow_import)
                     if noise := getattr(hook.props, "noise_model", None):
                         NOISE.parse(noise, allow_import)
+                    if wanted := _preparation(hook.props):
+                        wanted.checked()
                     out[part].append(hook)
                 except PlanError as e:
                     problems.append(str(e))
@@ -231,10 +254,19 @@ class Plan:
         return [Plan.from_data(d) for d in yaml.safe_load_all(text)]
 
 
-def execute(plan: Plan, patterns: DataFrame, state: engines.State, observer: Callable[[int, float], None] | None = None) -> engines.State:
-    """The plan's engines one after the other on packed patterns."""
+def execute(plan: Plan, patterns: DataFrame, state: engines.State, observer: Callable[[int, float], None] | None = None, watch: Callable[[int, float, engines.State], None] | None = None) -> engines.State:
+    """The plan's engines one after the other on packed patterns, each prepared for; `watch` sees the state at work as well."""
     if patterns.agg(F.count(F.lit(1))).first()[0] == 0:
         raise PlanError("no patterns")
     for engine in plan.engines:
-        state = engine(patterns, state, observer=observer)
+        if wanted := _preparation(engine.props):
+            patterns, state = prepare(patterns, state, wanted)
+
+        def see(i: int, error: float, state: engines.State = state) -> None:
+            if watch:
+                watch(i, error, state)
+            if observer:
+                observer(i, error)
+
+        state = engine(patterns, state, observer=see)
     return state

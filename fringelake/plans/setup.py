@@ -17,6 +17,7 @@ from ..operators import engines, grids, optics, preprocess, waves
 from ..sources import frames, metadata, tilts
 from .output import OutputRun, formatted
 from .plan import Plan, PlanError
+from .prepare import padded
 from .registry import Registry
 
 RAW = Registry("raw_data")
@@ -201,6 +202,8 @@ def initialise(plan: Plan, x: Experiment, before: engines.State | None = None) -
         whole = F.col("m") > 1 - 1e-6
         px = px.join(F.broadcast(mask), ["ky", "kx"]).withColumn("v", F.when(whole, F.col("v")).otherwise(float("nan"))).drop("m")
     probe = PROBES.parse(plan.probe or "focused")(x) if plan.probe or before is None else before.probe
+    if probe.shape[-2:] != tuple(x.shape):
+        raise PlanError(f"the earlier probe has {probe.shape[-2:]} pixels, the patterns {x.shape}")
     pad = tuple(n * s / 2 + 2 * s for n, s in zip(x.shape, x.step))
     g = grids.object_grid_from_scan(scan, x.step, max(pad)).first()
     size, corner = (g["ny"], g["nx"]), (g["corner_y"], g["corner_x"])
@@ -209,14 +212,21 @@ def initialise(plan: Plan, x: Experiment, before: engines.State | None = None) -
         obj = OBJECTS.parse(plan.object or "random")((len(slices), *size), plan.seed)
     else:
         obj = before.obj
-    if obj.shape[1:] != size:
-        raise PlanError(f"the earlier object has {obj.shape[1:]} pixels, the scan needs {size}")
+        if not np.allclose(before.step, x.step):
+            raise PlanError(f"the earlier object has pixels of {before.step} Å, the patterns {x.step}")
+        if before.corner is not None:  # it grows by whole pixels where the scan goes beyond it
+            low = tuple(max(0, int(np.ceil((b - c) / s - 1e-6))) for b, c, s in zip(before.corner, corner, x.step))
+            start = tuple(b - n * s for b, n, s in zip(before.corner, low, x.step))
+            high = tuple(max(0, int(np.ceil((c - b) / s - 1e-6)) + n - m - k) for b, c, s, n, m, k in zip(start, corner, x.step, size, obj.shape[1:], low))
+            obj, corner = padded(obj, low, high), start
+        elif obj.shape[1:] != size:
+            raise PlanError(f"the earlier object has {obj.shape[1:]} pixels and no corner, the scan needs {size}")
     starts = grids.cutout_index(scan, corner, x.step, x.shape)
     patterns = packed(px).join(starts, "pos_id").select("pos_id", "start_y", "start_x", "sub_y", "sub_x", "data")
     if tilt is not None:
         absent = F.raise_error(F.concat(F.lit("no tilt of position "), F.col("pos_id"))).cast("double")
         patterns = patterns.join(tilt, "pos_id", "left").withColumns({c: F.coalesce(c, absent) for c in ("ty", "tx")})
-    state = engines.State(obj, probe, x.step, x.lam, slices)
+    state = engines.State(obj, probe, x.step, x.lam, slices, corner=corner)
     intensity = patterns.select(F.aggregate("data", F.lit(0.0), lambda a, v: a + F.nanvl(v, F.lit(0.0))).alias("i")).agg(F.avg("i")).first()[0]
     state.probe = state.probe * np.sqrt(max(intensity, 0.0) / max(float((np.abs(state.probe) ** 2).sum()), 1e-300))
     return patterns, state
@@ -262,6 +272,6 @@ def _run(plan: Plan, x: Experiment, before: engines.State | None, watch: Callabl
     patterns, state = initialise(plan, x, before)
     patterns = patterns.persist()
     try:
-        return execute(plan, patterns, state, lambda i, error: watch(i, error, state))
+        return execute(plan, patterns, state, watch=watch)
     finally:
         patterns.unpersist()

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from test_kernels import scan_starts, start_state, true_state
 
 from fringelake.operators import align, engines, export, reduce
-from fringelake.plans import setup
-from fringelake.plans.plan import Plan, PlanError
+from fringelake.plans import prepare, setup
+from fringelake.plans.plan import Plan, PlanError, execute
 
 PX = "pos_id long, iy long, ix long, ky long, kx long, v double"
 
@@ -146,3 +146,72 @@ def test_levels(spark, bits, least):
         level = 2.0**bits / (hi - lo) * (x - lo)
         want = 2**bits - 1 if level >= 2**bits - 1 else int(max(level, 0))
         assert abs(got[i] - want) <= max(0, 2 ** (bits - 50))
+
+
+def test_patterns_at_another_shape(spark):
+    """Padding and cropping about the zero frequency; other sampling against a plain loop; masked and outer pixels are NaN."""
+    rng = np.random.default_rng(8)
+    for old, new, ratio in (((6, 7), (8, 9), (1.0, 1.0)), ((8, 8), (6, 4), (1.0, 1.0)), ((8, 6), (10, 9), (0.8, 6 / 9))):
+        a = rng.random((3, *old))
+        a[1, 4, 2] = np.nan
+        rows = [(p, [float(v) for v in np.fft.ifftshift(x).ravel()]) for p, x in enumerate(a)]
+        got = {r["pos_id"]: np.fft.fftshift(np.array(r["data"]).reshape(new)) for r in prepare.resized(spark.createDataFrame(rows, "pos_id long, data array<double>"), old, new, ratio).collect()}
+        for p in range(3):
+            for y, x in np.ndindex(*new):
+                v, w = (r * (k - m // 2) + n // 2 for k, m, n, r in zip((y, x), new, old, ratio))
+                near = [(b, c, (1 - abs(v - b)) * (1 - abs(w - c))) for b in range(old[0]) for c in range(old[1]) if abs(v - b) < 1 - 1e-12 and abs(w - c) < 1 - 1e-12]
+                want = sum(k * a[p, b, c] for b, c, k in near) if np.isclose(sum(k for *_, k in near), 1) else np.nan
+                assert np.isclose(got[p][y, x], want, equal_nan=True)
+
+
+@pytest.mark.parametrize("method", ["pad_crop", "resample"])
+def test_windows_stay_where_they_are(spark, method):
+    """Another shape moves no position: windows' middles, in Å from where the object began, are as before, and fit the object."""
+    s, data = true_state(), engines.simulate(scan_starts(spark), true_state())
+    s.corner = (-3.0, 2.0)
+    middle = lambda rows, s: {r["pos_id"]: [c + (r[f"start_{a}"] + (n - 1) / 2) * d + r[f"sub_{a}"] for a, n, d, c in zip("yx", s.probe.shape[-2:], s.step, s.corner)] for r in rows}
+    was = middle(data.collect(), s)
+    p, t = prepare.prepare(data, s, prepare.Preparation((20, 24), method, 3.0, 2, 0.7, (2.0, 3.0)))
+    rows = p.collect()
+    now = middle(rows, t)
+    assert all(np.allclose(was[k], now[k]) for k in was) and len(now) == len(was)
+    assert t.probe.shape == (2, 20, 24) and t.thickness == [2.0, 3.0] and len(t.obj) == 2 and len(rows[0]["data"]) == 480
+    assert np.allclose(t.step, (0.4 * 16 / 20, 0.4 * 16 / 24) if method == "pad_crop" else (0.4, 0.4))
+    for r in rows:
+        for k, (a, n) in enumerate(zip("yx", (20, 24))):
+            assert r[f"start_{a}"] >= 2 and r[f"start_{a}"] + n <= t.obj.shape[1 + k] - 2 and abs(r[f"sub_{a}"]) <= t.step[k] / 2 + 1e-9
+    whole = np.prod(t.obj, axis=0)  # two slices are the one they come from
+    assert np.isclose(abs(whole).max(), abs(s.obj[0]).max(), atol=0.05) and s.probe.shape[-2:] == (16, 16) and s.step == (0.4, 0.4)
+    assert prepare.prepare(data, s, prepare.Preparation())[1] is s
+
+
+def test_engines_of_different_shapes_follow_one_another(spark):
+    truth = true_state()
+    data = engines.simulate(scan_starts(spark), truth)
+    seen = []
+    first = {"type": "conventional", "niter": 2, "grouping": 2}
+    plan = Plan.from_data({"name": "s", "engines": [{**first, "sim_shape": [12, 12]}, {**first, "sim_shape": [16, 16], "probe_modes": 2, "obj_pad_px": 2}]})
+    done = execute(plan, data, start_state(), watch=lambda i, e, s: seen.append((i, s.probe.shape)))
+    assert seen == [(1, (1, 12, 12)), (2, (1, 12, 12)), (1, (2, 16, 16)), (2, (2, 16, 16))] and len(done.errors) == 4 and np.isfinite(done.errors).all()
+    with pytest.raises(PlanError) as e:
+        Plan.from_data({"name": "s", "engines": [{**first, "resize_method": "stretch"}, {**first, "sim_shape": [0, 3]}, {**first, "probe_modes": 0}]})
+    assert len(str(e.value).splitlines()) == 3
+
+
+def test_an_earlier_object_grows_to_the_scan(spark):
+    truth = true_state()
+    rows = [(p, p // 2, p % 2, y, x, 1.0) for p in range(4) for y in range(16) for x in range(16)]
+    x = setup.Experiment(spark.createDataFrame(rows, PX), (2, 2), (16, 16), (0.4, 0.4), truth.lam, (1.2, 1.2), 18.0, 60.0)
+    plan = Plan.from_data({"name": "g", "engines": []})
+    small = setup.initialise(plan, x)[1]
+    marked = engines.State(small.obj * 0 + 2, small.probe, small.step, small.lam, small.thickness, corner=small.corner)
+    wide = {"name": "g", "engines": [], "scan": {"type": "raster", "step": (6.0, 1.2)}}
+    patterns, grown = setup.initialise(Plan.from_data(wide), x, marked)
+    fresh = setup.initialise(Plan.from_data(wide), x)[1]
+    assert (grown.obj == 2).sum() == marked.obj.size and set(np.unique(grown.obj)) == {1, 2} and grown.obj.shape[1] >= fresh.obj.shape[1]
+    at = [int(round((b - c) / 0.4)) for b, c in zip(marked.corner, grown.corner)]
+    assert (grown.obj[0, at[0] : at[0] + marked.obj.shape[1], at[1] : at[1] + marked.obj.shape[2]] == 2).all()
+    ends = patterns.agg(F.min("start_y"), F.max("start_y") + 16).first()
+    assert ends[0] >= 0 and ends[1] <= grown.obj.shape[1]
+    with pytest.raises(PlanError, match="pixels of"):
+        setup.initialise(plan, x, engines.State(marked.obj, marked.probe, (0.3, 0.3), marked.lam, marked.thickness))
