@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import engines, grids, preprocess, waves
+from ..plans import prepare
 from . import analysis, bridge
 from .bridge import N, SQL, query, rounded
 
@@ -13,9 +14,10 @@ LAM = 0.0250793
 
 
 def _packed(spark, d):
-    c = bridge.cx(spark, d)
-    ordered = lambda n: F.transform(F.sort_array(F.collect_list(F.struct("y", "x", n))), lambda s: s[n]).alias(n)
-    return c.groupBy("pos_id").agg(ordered("re"), ordered("im"))  # 64 values a pattern
+    """(pos_id, re, im), packed as the table has them: nothing is exchanged."""
+    real = lambda a: F.transform(a, lambda v: v.cast("double"))
+    e, half = F.col("embedding"), N * N // 2
+    return bridge.table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("pos_id"), F.transform(real(e), lambda v: 1 + v).alias("re"), real(F.concat(F.slice(e, half + 1, half), F.slice(e, 1, half))).alias("im"))
 
 
 def _long(df):
@@ -33,6 +35,17 @@ def ifft2_packed(spark, d):
     return rounded(_long(engines.transformed(_packed(spark, d), N, N, inverse=True)))
 
 
+@query("px", sql=", o AS (SELECT k // 10 AS oy, k % 10 AS ox, 0.8 * (k // 10) AS u, 0.8 * (k % 10) AS w FROM range(100) AS t(k)), n AS (SELECT oy, ox, CAST(floor(u) AS BIGINT) + e AS ky, CAST(floor(w) AS BIGINT) + f AS kx, (CASE WHEN e = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN f = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END) AS wt FROM o, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS q(e, f) WHERE u <= 7 AND w <= 7) SELECT pos_id, oy AS ky, ox AS kx, round(sum(wt * v), 5) AS v FROM n JOIN px USING (ky, kx) WHERE wt > 0 GROUP BY pos_id, oy, ox")
+def resize_patterns(spark, d):
+    """Patterns on 10 x 10 pixels of 0.8 old ones about the zero frequency; pixels beyond the detector are masked and left out."""
+    e = bridge.table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("pos_id"), F.transform("embedding", lambda v: 100 * v.cast("double") * v.cast("double")).alias("e"))
+    turned = lambda k: F.pmod(F.floor(k / N) + N // 2, F.lit(N)) * N + F.pmod(k + N // 2, F.lit(N))
+    corner = e.select("pos_id", F.transform(F.sequence(F.lit(0), F.lit(N * N - 1)), lambda k: F.element_at("e", (turned(k) + 1).cast("int"))).alias("data"))
+    out = prepare.resized(corner, (N, N), (10, 10), (0.8, 0.8)).select("pos_id", F.posexplode("data").alias("k", "v")).where("not isnan(v)")
+    place = lambda c: F.pmod(c + 5, F.lit(10)).cast("long")
+    return rounded(out.select("pos_id", place(F.floor(F.col("k") / 10)).alias("ky"), place(F.col("k")).alias("kx"), "v"), 5)
+
+
 def true_state(modes: int = 1, slices: int = 1) -> engines.State:
     """A known phase object and focused probe, for simulated scans."""
     y, x = np.mgrid[:40, :40]
