@@ -31,7 +31,7 @@ from .session import checkpointed
 from .textkit import column
 
 #: Rules of the query: (host, path, verdict).
-RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
 @dataclass(frozen=True)
 class Filter:
