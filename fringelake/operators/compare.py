@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .images import resample
+from . import shifts
 
 
 def box_sums(img: DataFrame, radius: int, names: list[str], by: list[str]) -> DataFrame:
@@ -76,29 +76,26 @@ def _halved(img: DataFrame, times: int) -> DataFrame:
 Range = tuple[int, int]
 
 
-def shift_scores(img: DataFrame, truth: DataFrame, dys: Range, dxs: Range, overlap: int) -> DataFrame:
+def shift_scores(img: DataFrame | shifts.Image, truth: DataFrame, dys: Range, dxs: Range, overlap: int) -> DataFrame:
     """(dy, dx, n, score): correlation of img at (y, x) with truth at (y + dy, x + dx), first to last shift of each axis, where `overlap` pixels at least meet.
 
-    A pixel is sent once for each shift; a search has few shifts a level.
+    Blocks meet, not pixels: an exchange has each pixel about once, whatever the number of shifts.
     """
-    each = img.select("y", "x", F.col("v").alias("a"), F.explode(F.sequence(F.lit(dys[0]).cast("long"), F.lit(dys[1]).cast("long"))).alias("dy"))
-    each = each.select("y", "x", "a", "dy", F.explode(F.sequence(F.lit(dxs[0]).cast("long"), F.lit(dxs[1]).cast("long"))).alias("dx"))
-    moved = each.select((F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "a", "dy", "dx")
-    met = moved.join(truth.select("y", "x", F.col("v").alias("b")), ["y", "x"])
-    return met.groupBy("dy", "dx").agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("score")).where(F.col("n") >= overlap)
+    img = img if isinstance(img, shifts.Image) else shifts.plain(img)
+    return shifts.scores(img, truth, dys, dxs).where(F.col("n") >= overlap)
 
 
-def best_shift(img: DataFrame, truth: DataFrame, most: int, levels: int = 0, share: float = 0.5) -> tuple[int, int]:
+def best_shift(img: DataFrame | shifts.Image, truth: DataFrame, most: int, levels: int = 0, share: float = 0.5) -> tuple[int, int]:
     """The whole shift of at most `most` pixels along each axis with the largest correlation, `share` of the image's pixels overlapping.
 
     Searched on images of means of 2**levels pixels first, all shifts there, then
     among the neighbours on each finer level; of equal scores the least shift.
     """
-    at, reach = (0, 0), -(-most >> levels) if most else 0
+    at, reach, blocks = (0, 0), -(-most >> levels) if most else 0, isinstance(img, shifts.Image)
     for level in range(levels, -1, -1):
         size = 1 << level
-        a, b = (_halved(img, level), _halved(truth, level)) if level else (img, truth)
-        n = a.count()
+        a, b = (_halved(shifts.pixels(img) if blocks else img, level), _halved(truth, level)) if level else (img, truth)
+        n = shifts.count(a) if isinstance(a, shifts.Image) else a.count()
         around = reach if level == levels else 2
         centre = at if level == levels else (2 * at[0], 2 * at[1])
         limit = -(-most // size)
@@ -119,24 +116,27 @@ def subpixel(scores: DataFrame, at: tuple[int, int]) -> DataFrame:
     return s.select((F.lit(float(at[0])) + peak("u", "d")).alias("dy"), (F.lit(float(at[1])) + peak("l", "r")).alias("dx"), F.col("o").alias("score"))
 
 
+def _gridded(obj: DataFrame, shape: tuple[int, int], step: tuple[float, float], truth_step: tuple[float, float], corner: tuple[float, float], truth_corner: tuple[float, float], order: int = 1, last: tuple[int, int] | None = None) -> shifts.Image:
+    scale = (truth_step[0] / step[0], truth_step[1] / step[1])
+    return shifts.gridded(obj, shape, scale, tuple((truth_corner[i] - corner[i]) / step[i] for i in (0, 1)), order, last)
+
+
 def on_truth_grid(obj: DataFrame, shape: tuple[int, int], step: tuple[float, float], truth_step: tuple[float, float], corner: tuple[float, float] = (0.0, 0.0), truth_corner: tuple[float, float] = (0.0, 0.0), order: int = 1) -> DataFrame:
     """`obj` (y, x, v), sampled by `step` from `corner` on, at the truth's pixels; those outside have no row."""
-    scale = ((truth_step[0] / step[0], 0.0), (0.0, truth_step[1] / step[1]))
-    offset = tuple((truth_corner[i] - corner[i]) / step[i] for i in (0, 1))
-    inside = obj.select("y", "x", F.lit(1.0).alias("v"))
-    at = resample(inside, shape, scale, offset, 0.0, order=order).where("v > 0.999999").select("y", "x")
-    return resample(obj, shape, scale, offset, 0.0, order=order).join(at, ["y", "x"])
+    return shifts.pixels(_gridded(obj, shape, step, truth_step, corner, truth_corner, order))
 
 
 def aligned_difference(obj: DataFrame, truth: DataFrame, shape: tuple[int, int], step: tuple[float, float], truth_step: tuple[float, float], most: int, levels: int = 0) -> DataFrame:
     """(y, x, object, truth, d) on the truth's grid, cropped to what both have, after the object is moved to where it fits best.
 
     `obj` and `truth` are (y, x, v); `shape` is the truth's; `most`: truth pixels of the shift at most.
+    A pixel that the object lacks before its last line and column is 0, if one beside it is there.
+    The object is read on that grid in the tasks that hold its blocks, so no exchange has it at the truth's pixels.
     """
-    seen = on_truth_grid(obj, shape, step, truth_step)
+    last = tuple(obj.agg(F.max("y"), F.max("x")).first())
+    seen = _gridded(obj, shape, step, truth_step, (0.0, 0.0), (0.0, 0.0), last=None if None in last else last)
     dy, dx = best_shift(seen, truth, most, levels)
-    moved = seen.select((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.col("v").alias("object"))
-    return moved.join(truth.select("y", "x", F.col("v").alias("truth")), ["y", "x"]).withColumn("d", F.col("object") - F.col("truth"))
+    return shifts.met(seen, truth, dy, dx).withColumn("d", F.col("object") - F.col("truth"))
 
 
 def hann(i: Column, n: int) -> Column:
